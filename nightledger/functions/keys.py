@@ -17,7 +17,7 @@ def normal_key(key: Column) -> Column:
 
 def event_key(source: Column, event_name: Column) -> Column:
     """The identity of a telemetry channel: source and event name."""
-    return normal_key(F.concat_ws(".", source, event_name))
+    return F.concat(normal_key(source), F.lit("."), event_name)
 
 
 def exposure_parts(exposure_id: Column) -> Column:

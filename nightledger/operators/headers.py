@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.cards import fits_card
 from nightledger.functions.keys import exposure_subsystem
+from nightledger.operators.sizes import broadcast_if_small
 
 
 def _assemble(wanted: DataFrame, values: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def exposure_keywords(exposures: DataFrame, header_lists: DataFrame) -> DataFram
     asked = exposures.select("exposure_id").distinct()
     return (
         asked.withColumn("subsystem", exposure_subsystem(F.col("exposure_id")))
-        .join(lists, "subsystem", "left")
+        .join(broadcast_if_small(lists), "subsystem", "left")
         .select("exposure_id", "pos", "keyword")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.keys import exposure_subsystem, normal_key
 from nightledger.functions.params import EVENT_MISSING, all_params, lookup
-from nightledger.operators.mapping import mapping_for
+from nightledger.operators.sizes import broadcast_if_small
 from nightledger.operators.snapshot import OBSERVE_COLUMNS
 from nightledger.sources.config import CONSTANT
 
@@ -37,12 +37,10 @@ def keyword_outcomes(observes: DataFrame, snapshot: DataFrame, mappings: DataFra
     rules = mappings.withColumn("subsystem", F.upper("subsystem")).withColumn(
         "event_key", normal_key(F.col("event_key"))
     )
-    wanted = asked.join(
-        rules.select(
-            "subsystem", "obs_event_name", "keyword", "kind", "value", "event_key", "key_name", "key_index", "attribute"
-        ),
-        ["subsystem", "obs_event_name"],
+    rules = rules.select(
+        "subsystem", "obs_event_name", "keyword", "kind", "value", "event_key", "key_name", "key_index", "attribute"
     )
+    wanted = asked.join(broadcast_if_small(rules), ["subsystem", "obs_event_name"])
     kinds = snapshot.schema["paramSet"].dataType
     states = snapshot.select("obs_event_id", "obs_time", "event_key", "paramSet")
     derived = lookup(F.col("paramSet"), kinds, F.col("key_name"), F.col("key_index"), F.col("attribute"))
@@ -74,7 +72,8 @@ def keyword_rejects(observes: DataFrame, snapshot: DataFrame, mappings: DataFram
 def constant_keywords(observes: DataFrame, mappings: DataFrame) -> DataFrame:
     """The constant keyword values of each observe event."""
     asked = observes.withColumn("subsystem", exposure_subsystem(F.col("exposure_id")))
-    rules = mappings.filter(F.col("kind") == CONSTANT).withColumn("subsystem", F.upper("subsystem"))
-    return mapping_for(rules.withColumnRenamed("subsystem", "_subsystem"), asked).filter(
-        F.col("subsystem") == F.col("_subsystem")
-    ).select(*OBSERVE_COLUMNS, "keyword", "value")
+    rules = mappings.filter(F.col("kind") == CONSTANT).select(
+        F.upper("subsystem").alias("subsystem"), "obs_event_name", "keyword", "value"
+    )
+    found = asked.join(broadcast_if_small(rules), ["subsystem", "obs_event_name"])
+    return found.select(*OBSERVE_COLUMNS, "keyword", "value")

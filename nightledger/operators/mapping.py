@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nightledger.operators.sizes import broadcast_if_small
+
 MAPPING_FIELDS = ["value", "obs_event_name", "event_key", "param_key", "attribute"]
 
 
@@ -18,19 +20,19 @@ def merge_layers(layers: DataFrame) -> DataFrame:
 
 def override_subsystems(base: DataFrame, external: DataFrame) -> DataFrame:
     """External rows replace everything of the subsystems they name; other subsystems keep their rows."""
-    named = external.select("subsystem").distinct()
+    named = broadcast_if_small(external.select("subsystem").distinct())
     return base.join(named, "subsystem", "left_anti").unionByName(external)
 
 
 def known_subsystems(entries: DataFrame, subsystems: DataFrame, column: str = "subsystem") -> DataFrame:
     """Entries whose name is a known subsystem, compared without case and returned in upper case."""
     known = subsystems.select(F.upper("name").alias(column)).distinct()
-    return entries.withColumn(column, F.upper(column)).join(known, column, "left_semi")
+    return entries.withColumn(column, F.upper(column)).join(broadcast_if_small(known), column, "left_semi")
 
 
 def mapping_for(mappings: DataFrame, observes: DataFrame) -> DataFrame:
     """The mapping rows that apply to each observe event's name."""
-    return observes.join(mappings, "obs_event_name")
+    return observes.join(broadcast_if_small(mappings), "obs_event_name")
 
 
 def concat_header_lists(own: DataFrame, shared: DataFrame) -> DataFrame:

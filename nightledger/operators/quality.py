@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.functions.keys import EXPOSURE_PARTS, exposure_parts, exposure_subsystem
+from nightledger.operators.sizes import broadcast_if_small
 from nightledger.schema import TEXT_LIMIT
 
 NO_EXPOSURE_ID = "NO_EXPOSURE_ID"
@@ -23,7 +24,7 @@ def with_subsystem(rows: DataFrame, subsystems: DataFrame) -> DataFrame:
     )
     return (
         rows.withColumn("subsystem", exposure_subsystem(F.col("exposure_id")))
-        .join(known, "subsystem", "left")
+        .join(broadcast_if_small(known), "subsystem", "left")
         .withColumn("reason", reason)
         .withColumn("subsystem", F.when(F.col("_known"), F.col("subsystem")))
         .drop("_known")

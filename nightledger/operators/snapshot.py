@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightledger.functions.params import value_at
+from nightledger.operators.sizes import broadcast_if_small
 from nightledger.operators.state import EVENT_COLUMNS
 from nightledger.schema import OBSERVE_EVENTS
 
@@ -100,7 +101,7 @@ def event_snapshot(
     is_obs = F.col("eventName").isin(*names)
     events = bus.filter(F.col("eventTimeStamp") <= F.lit(last).cast("timestamp"))
     if keys is not None:
-        events = events.join(keys.select("event_key"), "event_key", "left_semi")
+        events = events.join(broadcast_if_small(keys.select("event_key")), "event_key", "left_semi")
 
     observes = observes.withColumn("cell", _cell(F.col("obs_time"), seconds))
     cells = observes.groupBy("cell").agg(F.sort_array(F.collect_set("obs_time")).alias("obs_times"))
@@ -114,11 +115,15 @@ def event_snapshot(
         .withColumn("slot", F.when(is_obs, F.col("eventTimeStamp")).otherwise(next_seen))
         .withColumn("slot_id", F.when(is_obs, F.col("eventId")))
         .groupBy("event_key", "cell", "slot", "slot_id")
-        .agg(F.max_by(F.struct(*EVENT_COLUMNS), F.struct("eventTimeStamp", "eventId")).alias("state"))
+        .agg(
+            F.max_by(F.struct(*EVENT_COLUMNS), F.struct("eventTimeStamp", "eventId")).alias("state"),
+            F.max("slot").alias("seen_at"),
+        )
     )
 
     # The state each channel brings into every cell from its first one on.
-    order = F.struct("state.eventTimeStamp", F.col("slot_id").isNotNull(), "state.eventId")
+    # ``seen_at`` decides nothing here; naming it keeps the plan of ``seen`` the same in both its uses.
+    order = F.struct("state.eventTimeStamp", F.col("slot_id").isNotNull(), "state.eventId", "seen_at")
     by_key = Window.partitionBy("event_key").orderBy("cell")
     ends = (
         seen.groupBy("event_key", "cell")
@@ -132,29 +137,31 @@ def event_snapshot(
         F.when(F.col("at") == F.col("cell"), F.col("before")).otherwise(F.col("end")).alias("carry"),
     )
 
-    # One row per channel and observe event; only a cell's first observe event carries the incoming state.
+    # One row per channel and observe event. A cell's first observe event also brings the carried state, as a row that
+    # sorts before all others of the cell.
     in_cell = Window.partitionBy("cell").orderBy("obs_time", "obs_event_id")
-    numbered = observes.withColumn("first", F.rank().over(in_cell) == 1)
-    asked = carried.join(numbered, "cell").select(
+    parts = F.when(F.rank().over(in_cell) == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    asking = observes.withColumn("parts", parts).withColumn("asks", F.explode("parts"))
+    asked = carried.join(asking, "cell").select(
         "event_key",
         "cell",
-        F.col("obs_time").alias("slot"),
-        F.col("obs_event_id").alias("slot_id"),
-        F.lit(1).alias("asks"),
-        F.when(F.col("first"), F.col("carry")).alias("carry"),
-        F.lit(None).cast(seen.schema["state"].dataType).alias("state"),
+        F.when(F.col("asks") == 1, F.col("obs_time")).alias("slot"),
+        F.when(F.col("asks") == 1, F.col("obs_event_id")).alias("slot_id"),
+        F.when(F.col("asks") == 0, F.col("carry")).alias("state"),
+        "asks",
         *OBSERVE_COLUMNS,
     )
-    told = seen.filter(F.col("slot").isNotNull()).withColumn("asks", F.lit(0))
+    # Filtered by an output of the aggregate, not by its key, so that the filter stays above it: both uses of ``seen``
+    # share one shuffle and the events are read once.
+    told = seen.filter(F.col("seen_at").isNotNull()).drop("seen_at").withColumn("asks", F.lit(0))
     running = (
         Window.partitionBy("event_key", "cell")
-        .orderBy("slot", F.col("slot_id").asc_nulls_first(), "asks")
+        .orderBy(F.col("slot").asc_nulls_first(), F.col("slot_id").asc_nulls_first(), "asks")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    state = F.coalesce(F.last("state", ignorenulls=True).over(running), F.last("carry", ignorenulls=True).over(running))
     return (
         told.unionByName(asked, allowMissingColumns=True)
-        .withColumn("found", state)
+        .withColumn("found", F.last("state", ignorenulls=True).over(running))
         .filter((F.col("asks") == 1) & F.col("found").isNotNull())
         .select(*OBSERVE_COLUMNS, "event_key", "found.*")
     )

@@ -17,7 +17,7 @@ from nightledger.operators.keywords import keyword_extract, mapped_keys
 from nightledger.operators.layout import TIME_ORDER
 from nightledger.operators.mapping import merge_layers
 from nightledger.operators.snapshot import event_snapshot, observe_events
-from nightledger.schema import EXPOSURE_END, EXPOSURE_START, MAPPING_SCHEMA, SUBSYSTEMS, event_schema
+from nightledger.schema import EXPOSURE_END, EXPOSURE_START, SUBSYSTEMS, event_schema
 from nightledger.session import scratch
 from nightledger.sources.archive import archive_rows, read_archive, write_archive
 from nightledger.sources.config import classify_mappings
@@ -30,6 +30,7 @@ EVENT = event_schema(PARAM_TYPES)
 PARAMS = EVENT["paramSet"].dataType
 
 _built: dict[tuple[str, str, str], str] = {}
+_opened: dict[str, DataFrame] = {}
 
 
 def built(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
@@ -123,16 +124,35 @@ def bus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_key(archive_rows(landed_bus(spark, sf_dir)))
 
 
+def stored_bus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events with channel key and time, from the archive."""
+    return with_key(archive(spark, sf_dir))
+
+
 def observes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe_events(bus(spark, sf_dir))
+    return observe_events(archive(spark, sf_dir))
 
 
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observes(spark, sf_dir).select("exposure_id").distinct()
 
 
+def _sql_text(value: object) -> str:
+    return "NULL" if value is None else str(value) if isinstance(value, int) else f"'{value}'"
+
+
+def sql_values(rows: list[tuple]) -> str:
+    """Rows as an SQL VALUES list."""
+    return ", ".join("(" + ", ".join(map(_sql_text, row)) + ")" for row in rows)
+
+
+def values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small inline table."""
+    return spark.sql(f"SELECT * FROM VALUES {sql_values(rows)} AS t({columns})")
+
+
 def subsystems(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SUBSYSTEMS], "name string")
+    return values(spark, [(s,) for s in SUBSYSTEMS], "name")
 
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +161,10 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build(path: str) -> None:
         write_archive(archive_rows(landed_bus(spark, sf_dir)), path)
 
-    return read_archive(spark, built(spark, sf_dir, "archive", build), EVENT)
+    path = built(spark, sf_dir, "archive", build)
+    if path not in _opened:
+        _opened[path] = read_archive(spark, path, EVENT)
+    return _opened[path]
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> str:
@@ -189,18 +212,23 @@ OWN_HEADERS = [
 
 def header_lists(spark: SparkSession) -> DataFrame:
     """``(subsystem, pos, keyword)`` of the sample lists."""
-    rows = [(s, pos, k) for s, _, keywords in OWN_HEADERS for pos, k in enumerate(keywords)]
-    return spark.createDataFrame(rows, "subsystem string, pos int, keyword string")
+    return values(spark, _HEADER_ROWS, "subsystem, pos, keyword")
 
 
 def mappings(spark: SparkSession) -> DataFrame:
-    """The sample mappings, merged and classified."""
-    return classify_mappings(merge_layers(spark.createDataFrame(MAPPING_LAYERS, MAPPING_SCHEMA)))
+    """The sample mappings, merged and classified, as a stored table."""
+    columns = "subsystem, layer, keyword, value, obs_event_name, event_key, param_key, attribute"
+
+    def build(path: str) -> None:
+        layers = values(spark, MAPPING_LAYERS, columns)
+        classify_mappings(merge_layers(layers)).coalesce(1).write.parquet(path)
+
+    return spark.read.parquet(built(spark, "", "mapping-table", build))
 
 
 def mapped_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of the channels the sample mappings read."""
-    return event_snapshot(bus(spark, sf_dir), keys=mapped_keys(mappings(spark)))
+    return event_snapshot(stored_bus(spark, sf_dir), keys=mapped_keys(mappings(spark)))
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,15 +297,6 @@ def run_exposure_stream(spark: SparkSession, sf_dir: str) -> str:
     return built(spark, sf_dir, "exposures", build)
 
 
-def _sql_text(value: object) -> str:
-    return "NULL" if value is None else str(value) if isinstance(value, int) else f"'{value}'"
-
-
-def sql_values(rows: list[tuple]) -> str:
-    """Rows as an SQL VALUES list."""
-    return ", ".join("(" + ", ".join(map(_sql_text, row)) + ")" for row in rows)
-
-
 _HEADER_ROWS = [(s, pos, k) for s, _, keywords in OWN_HEADERS for pos, k in enumerate(keywords)]
 _FULL_HEADER_ROWS = [
     (s, pos, k)

@@ -51,4 +51,4 @@ def header_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 def observe_names(spark: SparkSession, names: list[str]) -> DataFrame:
     """The set of observe-event names that trigger a snapshot."""
-    return spark.createDataFrame([(name,) for name in names], "event_name string").distinct()
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("event_name")).distinct()
