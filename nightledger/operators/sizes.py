@@ -1,4 +1,4 @@
-"""Broadcasting configuration only after its size has been checked."""
+"""Using configuration as a broadcast or a literal list only after its size has been checked."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 100_000
+SMALL_VALUES = 10_000
 
 
 def broadcast_if_small(config: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -15,3 +16,16 @@ def broadcast_if_small(config: DataFrame, max_rows: int = SMALL_ROWS) -> DataFra
     events against a table of a few hundred rows must not happen.
     """
     return F.broadcast(config) if config.limit(max_rows + 1).count() <= max_rows else config
+
+
+def keep_values(rows: DataFrame, column: str, wanted: DataFrame, max_values: int = SMALL_VALUES) -> DataFrame:
+    """Rows whose ``column`` is among the wanted values.
+
+    Up to ``max_values`` of them become a literal list, which also prunes partitions when the column is computed from
+    partition columns; more are left to a semi join.
+    """
+    values = wanted.select(column).distinct()
+    found = [row[0] for row in values.limit(max_values + 1).collect()]
+    if len(found) > max_values:
+        return rows.join(values, column, "left_semi")
+    return rows.filter(F.col(column).isin(*found))

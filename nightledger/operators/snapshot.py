@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightledger.functions.params import value_at
-from nightledger.operators.sizes import broadcast_if_small
+from nightledger.operators.sizes import keep_values
 from nightledger.operators.state import EVENT_COLUMNS
 from nightledger.schema import OBSERVE_EVENTS
 
@@ -38,8 +38,8 @@ def _cell(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_timestamp(ts) / seconds).cast("bigint")
 
 
-def _choose_cells(observes: DataFrame) -> tuple[int, object, object] | None:
-    """Widest cell length that keeps observe events per cell low, and the first and last observe time.
+def _choose_cells(observes: DataFrame) -> tuple[int, int, int] | None:
+    """Widest cell length that keeps observe events per cell low, and the first and last observe time in microseconds.
 
     One job over the observe events alone; it brings back one row per candidate length.
     """
@@ -48,7 +48,11 @@ def _choose_cells(observes: DataFrame) -> tuple[int, object, object] | None:
         lengths.groupBy("seconds", F.floor(F.unix_timestamp("obs_time") / F.col("seconds")).alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("obs_time").alias("first"), F.max("obs_time").alias("last"))
         .groupBy("seconds")
-        .agg(F.max("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .agg(
+            F.max("n").alias("n"),
+            F.unix_micros(F.min("first")).alias("first"),
+            F.unix_micros(F.max("last")).alias("last"),
+        )
         .collect()
     )
     if not densities:
@@ -96,12 +100,13 @@ def event_snapshot(
     seconds, first, last = _choose_cells(observes) or (CELL_SECONDS[0], None, None)
     seconds = cell_seconds or seconds
     # Everything before the first observe event's cell only matters for what it carries in: one cell holds it all.
-    earliest = _cell(F.lit(first).cast("timestamp"), seconds) - 1
-    latest = _cell(F.lit(last).cast("timestamp"), seconds)
+    last = F.timestamp_micros(F.lit(last).cast("bigint"))
+    earliest = _cell(F.timestamp_micros(F.lit(first).cast("bigint")), seconds) - 1
+    latest = _cell(last, seconds)
     is_obs = F.col("eventName").isin(*names)
-    events = bus.filter(F.col("eventTimeStamp") <= F.lit(last).cast("timestamp"))
+    events = bus.filter(F.col("eventTimeStamp") <= last)
     if keys is not None:
-        events = events.join(broadcast_if_small(keys.select("event_key")), "event_key", "left_semi")
+        events = keep_values(events, "event_key", keys)
 
     observes = observes.withColumn("cell", _cell(F.col("obs_time"), seconds))
     cells = observes.groupBy("cell").agg(F.sort_array(F.collect_set("obs_time")).alias("obs_times"))
