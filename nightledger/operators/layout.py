@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nightledger.operators.sizes import broadcast_if_small
 from nightledger.schema import CHANNEL_COLUMNS
-from nightledger.session import shared_dir
+from nightledger.session import scratch
 
 # Rows one task writes into one table partition before the partition is split by time.
 TARGET_ROWS = 5_000_000
@@ -46,10 +47,11 @@ def numbered(rows: DataFrame, order: list[str], tasks: int | None = None) -> Dat
     """Add ``row_no``, 0, 1, 2 … over the whole table in a total order, with no task holding more than its share.
 
     Rows are range partitioned by the order, numbered inside each range, and moved up by the sizes of the ranges
-    before. The ranges are checkpointed so that both passes see the same ones; ``order`` must be unique.
+    before. The ranges are written to the shared folder, so that both passes see the same ones and a lost executor
+    changes nothing; ``order`` must be unique.
     """
     spark = rows.sparkSession
-    shared_dir(spark)
+    path = scratch(spark, "numbered")
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     local = F.monotonically_increasing_id()
     ranged = (
@@ -57,8 +59,9 @@ def numbered(rows: DataFrame, order: list[str], tasks: int | None = None) -> Dat
         .sortWithinPartitions(*order)
         .withColumn("_range", F.shiftright(local, 33).cast("int"))
         .withColumn("_local", local.bitwiseAND(F.lit((1 << 33) - 1)))
-        .checkpoint()
     )
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     # One row per range, so the window and the broadcast hold at most ``tasks`` rows whatever the data.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -86,7 +89,7 @@ def time_count_chunks(events: DataFrame, max_rows: int, duration: str) -> DataFr
     rows = numbered(events.withColumn("window_start", tumbling(F.col("eventTimeStamp"), duration)), TIME_ORDER)
     firsts = rows.groupBy("window_start").agg(F.min("row_no").alias("_first"))
     return (
-        rows.join(firsts, "window_start")
+        rows.join(broadcast_if_small(firsts), "window_start")
         .withColumn("chunk", F.floor((F.col("row_no") - F.col("_first")) / max_rows).cast("bigint"))
         .drop("row_no", "_first")
     )

@@ -20,7 +20,7 @@ from nightledger.operators.state import EVENT_COLUMNS, latest_per_key
 from nightledger.schema import OBSERVE_EVENTS
 from nightledger.sources.archive import archive_rows
 from nightledger.sources.landing import with_key
-from nightledger.sources.tables import write_keyword_values
+from nightledger.sources.tables import SNAPSHOT_COLUMNS, snapshot_table, write_keyword_values
 
 STATE = "state"
 SNAPSHOTS = "snapshots"
@@ -121,6 +121,11 @@ def stored_snapshots(spark: SparkSession, root: str, params: T.StructType) -> Da
     return spark.read.schema(schema).parquet(f"{root}/{SNAPSHOTS}").drop(BATCH)
 
 
+def stored_snapshot_table(spark: SparkSession, root: str, params: T.StructType) -> DataFrame:
+    """The same in the columns of the snapshot table, parameters as JSON text."""
+    return snapshot_table(stored_snapshots(spark, root, params)).select(*SNAPSHOT_COLUMNS)
+
+
 def stored_keyword_values(spark: SparkSession, root: str) -> DataFrame:
     """All keyword values the stream wrote."""
     schema = _observe_schema().add("keyword", T.StringType()).add("value", T.StringType()).add(BATCH, T.LongType())
