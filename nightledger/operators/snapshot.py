@@ -119,7 +119,7 @@ def event_snapshot(
         .join(cells, "cell", "left")
         .withColumn("slot", F.when(is_obs, F.col("eventTimeStamp")).otherwise(next_seen))
         .withColumn("slot_id", F.when(is_obs, F.col("eventId")))
-        .groupBy("event_key", "cell", "slot", "slot_id")
+        .groupBy("slot", "cell", "event_key", "slot_id")
         .agg(
             F.max_by(F.struct(*EVENT_COLUMNS), F.struct("eventTimeStamp", "eventId")).alias("state"),
             F.max("slot").alias("seen_at"),
