@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nightledger.operators.sizes import broadcast_if_small
+from nightledger.operators.sizes import SMALL_ROWS, broadcast_if_small
 from nightledger.schema import CHANNEL_COLUMNS
 from nightledger.session import scratch
 
@@ -29,17 +29,18 @@ def channel_layout(archive: DataFrame, target_rows: int = TARGET_ROWS) -> DataFr
     Sizes are counted over the partition columns alone before anything is moved.
     """
     sizes = archive.groupBy(*CHANNEL_COLUMNS).count()
-    hot = sizes.filter(F.col("count") > target_rows).drop("count")
-    hot_rows = sizes.filter(F.col("count") > target_rows).agg(F.sum("count")).first()[0]
-    if hot_rows is None:
+    hot = sizes.filter(F.col("count") > target_rows)
+    n_hot, hot_rows = hot.agg(F.count(F.lit(1)), F.sum("count")).first()
+    if n_hot == 0:
         placed = by_channel(archive)
     else:
         tasks = math.ceil(hot_rows / target_rows)
+        hot = F.broadcast(hot) if n_hot <= SMALL_ROWS else hot
         same = [F.col(f"a.{c}").eqNullSafe(F.col(f"h.{c}")) for c in CHANNEL_COLUMNS]
         a, h = archive.alias("a"), hot.alias("h")
-        cold_rows = by_channel(a.join(h, same, "left_anti"))
+        cold_part = by_channel(a.join(h, same, "left_anti"))
         hot_part = a.join(h, same, "left_semi").repartitionByRange(tasks, *CHANNEL_COLUMNS, *TIME_ORDER)
-        placed = cold_rows.unionByName(hot_part)
+        placed = cold_part.unionByName(hot_part)
     return placed.sortWithinPartitions(*CHANNEL_COLUMNS, *TIME_ORDER)
 
 

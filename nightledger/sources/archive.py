@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +36,33 @@ def write_archive(
     rows.write.format(fmt).mode(mode).partitionBy(*CHANNEL_COLUMNS).save(path)
 
 
-def read_archive(spark: SparkSession, path: str, event: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
-    """The whole archive. The schema is given, so channel names stay text and no file is opened to infer it."""
-    return spark.read.format(fmt).schema(archive_schema(event or event_schema())).load(path)
+def read_archive(
+    spark: SparkSession,
+    path: str,
+    event: T.StructType | None = None,
+    fmt: str = "parquet",
+    days: list[tuple[int, int, int]] | None = None,
+) -> DataFrame:
+    """The whole archive. The schema is given, so channel names stay text and no file is opened to infer it.
+
+    ``days`` (year, month, day) lists only those days' folders, so that a point query does not list every channel of
+    every day first.
+    """
+
+    def reader() -> DataFrameReader:
+        return spark.read.format(fmt).schema(archive_schema(event or event_schema()))
+
+    if days is None:
+        return reader().load(path)
+    base = path.rstrip("/")
+    try:
+        return reader().option("basePath", base).load([f"{base}/year={y}/month={m}/day={d}" for y, m, d in days])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # A day without events has no folder: find the others by their partition columns.
+    wanted = [(F.col("year") == y) & (F.col("month") == m) & (F.col("day") == d) for y, m, d in days]
+    return reader().load(path).filter(reduce(lambda a, b: a | b, wanted, F.lit(False)))
 
 
 def compact(

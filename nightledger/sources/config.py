@@ -18,6 +18,18 @@ def read_mappings(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     return (reader.option("header", True) if fmt == "csv" else reader).load(path)
 
 
+def read_mapping_files(spark: SparkSession, paths: list[str], names: list[str], fmt: str = "json") -> DataFrame:
+    """Mapping rows of files kept per subsystem: the subsystem is the first name found in the file's name.
+
+    Files that name no known subsystem are left out.
+    """
+    file_name = F.lower("_metadata.file_name")
+    named = F.coalesce(*[F.when(file_name.contains(name.lower()), F.lit(name)) for name in names])
+    rows = spark.read.schema(MAPPING_SCHEMA).format(fmt)
+    rows = (rows.option("header", True) if fmt == "csv" else rows).load(paths)
+    return rows.withColumn("subsystem", named).filter(F.col("subsystem").isNotNull())
+
+
 def classify_mappings(mappings: DataFrame) -> DataFrame:
     """Mark each mapping constant (it has a value) or complex, and parse its parameter path.
 

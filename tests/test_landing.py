@@ -85,6 +85,22 @@ def test_mapping_files_of_every_format(spark):
         assert sorted(map(tuple, config.read_mappings(spark, path, fmt).collect()), key=str) == sorted(rows, key=str)
 
 
+def test_mapping_files_name_their_subsystem(spark):
+    from nightledger.schema import MAPPING_SCHEMA, SUBSYSTEMS
+
+    folder = scratch(spark, "mapping-files")
+    base = local(folder)
+    for name in ("IRIS-keyword-mappings.json", "my-wfos.json", "other.json"):
+        with open(f"{base}/{name}", "w") as f:
+            f.write(json.dumps({"keyword": name, "layer": 0, "value": "v"}))
+    rows = config.read_mapping_files(spark, [folder], SUBSYSTEMS)
+    assert rows.columns == spark.createDataFrame([], MAPPING_SCHEMA).columns
+    assert sorted((r.subsystem, r.keyword) for r in rows.collect()) == [
+        ("IRIS", "IRIS-keyword-mappings.json"),
+        ("WFOS", "my-wfos.json"),
+    ]
+
+
 def test_override_replaces_whole_subsystems(spark):
     base = spark.createDataFrame([("IRIS", "A"), ("IRIS", "B"), ("WFOS", "A")], "subsystem string, keyword string")
     external = spark.createDataFrame([("IRIS", "C")], "subsystem string, keyword string")

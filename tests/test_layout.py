@@ -99,3 +99,21 @@ def test_one_task_per_channel(spark):
     placed = placed.withColumn("task", F.spark_partition_id())
     tasks = placed.groupBy(*CHANNEL_COLUMNS).agg(F.count_distinct("task").alias("n"))
     assert tasks.filter("n > 1").count() == 0
+
+
+def test_days_are_read_by_folder(spark):
+    day = 86400_000_000
+    rows = [h.event(f"e{i}", f"event_key_{i % 3}", i * day // 2) for i in range(8)]
+    path = scratch(spark, "days")
+    store.write_archive(store.archive_rows(h.landed(spark, rows)), path)
+    whole = store.read_archive(spark, path, EVENT)
+
+    def ids(days):
+        picked = store.read_archive(spark, path, EVENT, days=days)
+        assert picked.columns == whole.columns
+        return sorted(r.eventId for r in picked.collect())
+
+    assert ids([(2024, 1, 2)]) == ["e2", "e3"]
+    assert ids([(2024, 1, 1), (2024, 1, 4)]) == ["e0", "e1", "e6", "e7"]
+    assert ids([(2024, 1, 1), (2030, 1, 1)]) == ["e0", "e1"]
+    assert ids([(2030, 1, 1)]) == []
