@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.keys import glob_like
 from nightledger.functions.params import value_at
+from nightledger.operators.layout import TIME_ORDER, numbered
+from nightledger.operators.sizes import SMALL_ROWS
 
 
 def by_key_pattern(events: DataFrame, patterns: list[str]) -> DataFrame:
@@ -66,12 +68,14 @@ def multi_event_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def ordered_by_time(events: DataFrame) -> DataFrame:
     """Events in time order; the id breaks ties, so equal times do not end up in one task."""
-    return events.orderBy("eventTimeStamp", "eventId")
+    return events.orderBy(*TIME_ORDER)
 
 
-def first_events(events: DataFrame, n: int) -> DataFrame:
-    """The n earliest events."""
-    return ordered_by_time(events).limit(n)
+def first_events(events: DataFrame, n: int, small: int = SMALL_ROWS) -> DataFrame:
+    """The n earliest events. A sorted limit ends in one task, so it is only used for few rows."""
+    if n <= small:
+        return ordered_by_time(events).limit(n)
+    return numbered(events, TIME_ORDER).filter(F.col("row_no") < n).drop("row_no")
 
 
 def row_count(rows: DataFrame) -> DataFrame:

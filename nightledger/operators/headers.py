@@ -32,7 +32,7 @@ def exposure_keywords(exposures: DataFrame, header_lists: DataFrame) -> DataFram
     An exposure whose subsystem has no list keeps one row without a keyword.
     """
     lists = header_lists.select(F.upper("subsystem").alias("subsystem"), "pos", "keyword")
-    asked = exposures.select("exposure_id").distinct()
+    asked = exposures.select("exposure_id").filter(F.col("exposure_id").isNotNull()).distinct()
     return (
         asked.withColumn("subsystem", exposure_subsystem(F.col("exposure_id")))
         .join(broadcast_if_small(lists), "subsystem", "left")

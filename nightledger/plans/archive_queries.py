@@ -53,11 +53,7 @@ def json_landing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of one JSON array per batch of events, read as rows."""
 
     def build(path: str) -> None:
-        rows = fx.bus(spark, sf_dir)
-        fields = [F.col(name) for name in fx.EVENT.fieldNames()]
-        batches = layout.time_count_chunks(rows, 200, "1 day").groupBy("window_start", "chunk")
-        arrays = batches.agg(F.to_json(F.collect_list(F.struct(*fields))).alias("value"))
-        arrays.select("value").write.option("compression", "gzip").text(path)
+        landing.write_landing_arrays(fx.bus(spark, sf_dir), path, 500, "1 day")
 
     return _shown(landing.read_landing(spark, fx.built(spark, sf_dir, "arrays", build), fx.EVENT))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nightledger.functions.keys import event_key
+from nightledger.operators.layout import time_count_chunks
 from nightledger.schema import event_schema
 
 FILE_EVENTS = 40000
@@ -41,6 +42,22 @@ def write_landing(events: DataFrame, path: str, file_events: int = FILE_EVENTS)
     events.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", file_events).json(path)
 
 
+def write_landing_arrays(
+    archive: DataFrame, path: str, file_events: int = FILE_EVENTS, duration: str = "2 seconds"
+) -> None:
+    """Append events as gzip files of one JSON array each: a batch of ``time_count_chunks``, in time order.
+
+    ``archive`` has the event columns and the parsed time. An array holds at most ``file_events`` events.
+    """
+    event = [name for name in event_schema().fieldNames() if name in archive.columns]
+    rows = archive.select("eventTimeStamp", *event)
+    batches = time_count_chunks(rows, file_events, duration).groupBy("window_start", "chunk")
+    member = F.struct("eventTimeStamp", "eventId", F.struct(*event).alias("event"))
+    ordered = F.sort_array(F.collect_list(member))
+    arrays = batches.agg(F.to_json(F.transform(ordered, lambda m: m["event"])).alias("value"))
+    arrays.select("value").write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+
+
 def infer_schema(spark: SparkSession, path: str, multi_line: bool = False) -> T.StructType:
     """The schema of landed JSON; ``.json()`` of it is what to keep, ``StructType.fromJson`` reloads it.
 

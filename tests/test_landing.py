@@ -59,6 +59,23 @@ def test_files_hold_a_bounded_number_of_events(spark):
     assert landing.read_landing(spark, path, EVENT).count() == 100
 
 
+def test_array_files_hold_one_batch_each(spark):
+    from nightledger.sources.archive import archive_rows
+
+    path = scratch(spark, "array-files")
+    events = [h.event(f"e{i:03d}", "c", i * 100_000) for i in range(100)]
+    landing.write_landing_arrays(archive_rows(h.landed(spark, events)), path, 15, "2 seconds")
+    folder = path.removeprefix("file:")
+    batches = []
+    for name in os.listdir(folder):
+        if name.endswith(".gz"):
+            with gzip.open(f"{folder}/{name}", "rt") as f:
+                batches.append([e["eventId"] for e in json.loads(f.read())])
+    assert sorted(map(len, batches)) == [5] * 5 + [15] * 5
+    assert all(b == sorted(b) for b in batches)
+    assert sorted(r.eventId for r in landing.read_landing(spark, path, EVENT).collect()) == [e[0] for e in events]
+
+
 def test_bad_payloads_become_flagged_rows(spark):
     good = json.dumps(payload(1))
     cases = [(1, good), (2, good[:-4]), (3, "nope"), (4, ""), (5, None), (6, "{}"), (7, json.dumps(payload(7, extra=1)))]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nightledger.operators import layout
+from nightledger.operators import filters, layout
 from nightledger.plans.fixtures import EVENT
 from nightledger.schema import CHANNEL_COLUMNS
 from nightledger.session import scratch
@@ -101,6 +101,14 @@ def test_one_task_per_channel(spark):
     assert tasks.filter("n > 1").count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_first_events(spark, small):
+    rows = [h.event(f"e{i:03d}", "c", (i * 37) % 50) for i in range(300)]
+    got = filters.first_events(store.archive_rows(h.landed(spark, rows)), 70, small=small)
+    want = sorted((r[3], r[0]) for r in rows)[:70]
+    assert sorted((r.eventTime, r.eventId) for r in got.collect()) == want
+
+
 def test_days_are_read_by_folder(spark):
     day = 86400_000_000
     rows = [h.event(f"e{i}", f"event_key_{i % 3}", i * day // 2) for i in range(8)]
