@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.cards import fits_card
 from nightledger.functions.keys import exposure_subsystem
-from nightledger.operators.sizes import broadcast_if_small
+from nightledger.operators.sizes import broadcast_if_small, narrow_to
 
 
 def _assemble(wanted: DataFrame, values: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def fits_headers(exposures: DataFrame, header_lists: DataFrame, values: DataFram
 
     ``values`` hold one row per exposure and keyword. An exposure without values has an empty header.
     """
-    return _assemble(exposure_keywords(exposures, header_lists), values)
+    return _assemble(exposure_keywords(exposures, header_lists), narrow_to(values, "exposure_id", exposures))
 
 
 def requested_keywords(requests: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def requested_keywords(requests: DataFrame) -> DataFrame:
 
 def header_subset(requests: DataFrame, values: DataFrame) -> DataFrame:
     """Headers with the requested keywords only, in request order; the exposure id may have any form."""
-    return _assemble(requested_keywords(requests), values)
+    return _assemble(requested_keywords(requests), narrow_to(values, "exposure_id", requests))
 
 
 def ordered_header_list(header_lists: DataFrame, by: str = "subsystem") -> DataFrame:

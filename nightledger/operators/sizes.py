@@ -29,3 +29,12 @@ def keep_values(rows: DataFrame, column: str, wanted: DataFrame, max_values: int
     if len(found) > max_values:
         return rows.join(values, column, "left_semi")
     return rows.filter(F.col(column).isin(*found))
+
+
+def narrow_to(rows: DataFrame, column: str, wanted: DataFrame, max_rows: int = SMALL_VALUES) -> DataFrame:
+    """Rows that can match ``wanted``, when that has few rows; all rows when it has many.
+
+    For use before a join on the column: a request for a few values then reads and shuffles only theirs.
+    """
+    found = [row[0] for row in wanted.select(column).limit(max_rows + 1).collect()]
+    return rows if len(found) > max_rows else rows.filter(F.col(column).isin(*set(found)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from nightledger.schema import OBSERVE_EVENTS
 # Lengths, in seconds, a time cell may have, and the most observe events a cell should hold.
 CELL_SECONDS = [86400 * 30, 86400 * 7, 86400, 21600, 3600, 600, 60, 10, 1]
 CELL_OBSERVES = 64
+# Observe events are broadcast, as times per cell or as rows, if that takes at most this much by a generous estimate.
+BROADCAST_BYTES = 256 << 20
+CELL_ROW_BYTES, OBSERVE_ROW_BYTES = 64, 256
 # Cells are expanded in two steps of at most this many, so no row ever holds one array of all cells.
 CELL_BLOCK = 1024
 
@@ -38,27 +43,41 @@ def _cell(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_timestamp(ts) / seconds).cast("bigint")
 
 
-def _choose_cells(observes: DataFrame) -> tuple[int, int, int] | None:
-    """Widest cell length that keeps observe events per cell low, and the first and last observe time in microseconds.
+class _Cells(NamedTuple):
+    """Length of the time cells, the first and last observe time in microseconds, and how much there is."""
+
+    seconds: int
+    first: int | None
+    last: int | None
+    cells: int
+    observes: int
+
+
+def _choose_cells(observes: DataFrame, cell_seconds: int | None) -> _Cells:
+    """The widest cell length that keeps observe events per cell low, or the given one.
 
     One job over the observe events alone; it brings back one row per candidate length.
     """
-    lengths = observes.select("obs_time", F.explode(F.array(*map(F.lit, CELL_SECONDS))).alias("seconds"))
-    densities = (
+    candidates = CELL_SECONDS if cell_seconds is None else [cell_seconds]
+    lengths = observes.select("obs_time", F.explode(F.array(*map(F.lit, candidates))).alias("seconds"))
+    found = (
         lengths.groupBy("seconds", F.floor(F.unix_timestamp("obs_time") / F.col("seconds")).alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("obs_time").alias("first"), F.max("obs_time").alias("last"))
         .groupBy("seconds")
         .agg(
-            F.max("n").alias("n"),
+            F.max("n").alias("densest"),
             F.unix_micros(F.min("first")).alias("first"),
             F.unix_micros(F.max("last")).alias("last"),
+            F.count(F.lit(1)).alias("cells"),
+            F.sum("n").alias("observes"),
         )
         .collect()
     )
-    if not densities:
-        return None
-    fitting = [row.seconds for row in densities if row.n <= CELL_OBSERVES]
-    return max(fitting, default=min(CELL_SECONDS)), densities[0].first, densities[0].last
+    if not found:
+        return _Cells(max(candidates), None, None, 0, 0)
+    fitting = [row for row in found if row.densest <= CELL_OBSERVES]
+    best = max(fitting, key=lambda row: row.seconds) if fitting else min(found, key=lambda row: row.seconds)
+    return _Cells(best.seconds, best.first, best.last, best.cells, best.observes)
 
 
 def _expand_cells(rows: DataFrame) -> DataFrame:
@@ -97,11 +116,11 @@ def event_snapshot(
     events per cell, never on how many events a channel has.
     """
     observes = observe_events(bus, names) if observes is None else observes
-    seconds, first, last = _choose_cells(observes) or (CELL_SECONDS[0], None, None)
-    seconds = cell_seconds or seconds
+    chosen = _choose_cells(observes, cell_seconds)
+    seconds = chosen.seconds
     # Everything before the first observe event's cell only matters for what it carries in: one cell holds it all.
-    last = F.timestamp_micros(F.lit(last).cast("bigint"))
-    earliest = _cell(F.timestamp_micros(F.lit(first).cast("bigint")), seconds) - 1
+    last = F.timestamp_micros(F.lit(chosen.last).cast("bigint"))
+    earliest = _cell(F.timestamp_micros(F.lit(chosen.first).cast("bigint")), seconds) - 1
     latest = _cell(last, seconds)
     is_obs = F.col("eventName").isin(*names)
     events = bus.filter(F.col("eventTimeStamp") <= last)
@@ -110,6 +129,9 @@ def event_snapshot(
 
     observes = observes.withColumn("cell", _cell(F.col("obs_time"), seconds))
     cells = observes.groupBy("cell").agg(F.sort_array(F.collect_set("obs_time")).alias("obs_times"))
+    # Beyond the size checked here the joins shuffle; both are inner or left equi-joins that AQE splits when skewed.
+    if 8 * chosen.observes + CELL_ROW_BYTES * chosen.cells <= BROADCAST_BYTES:
+        cells = F.broadcast(cells)
 
     # Last event per channel, cell and next observe time; no observe time after it in the cell gives null.
     # An observe event is its own observe time and is told apart from others at that time by its id.
@@ -147,6 +169,8 @@ def event_snapshot(
     in_cell = Window.partitionBy("cell").orderBy("obs_time", "obs_event_id")
     parts = F.when(F.rank().over(in_cell) == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
     asking = observes.withColumn("parts", parts).withColumn("asks", F.explode("parts"))
+    if OBSERVE_ROW_BYTES * chosen.observes <= BROADCAST_BYTES:
+        asking = F.broadcast(asking)
     asked = carried.join(asking, "cell").select(
         "event_key",
         "cell",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightledger.operators.sizes import narrow_to
+
 SNAPSHOT_COLUMNS = ["exposure_id", "obs_event_name", "source", "eventname", "eventid", "eventtime", "paramset"]
 KEYWORD_COLUMNS = ["exposure_id", "keyword", "value"]
 
@@ -63,5 +65,6 @@ def keyword_values_of(values: DataFrame, exposure_ids: list[str]) -> DataFrame:
 
 
 def keyword_values_for(values: DataFrame, requests: DataFrame) -> DataFrame:
-    """Keyword values of every exposure in a request table."""
+    """Keyword values of every exposure in a request table. Few requests reach the files' statistics as well."""
+    values = narrow_to(values, "exposure_id", requests)
     return values.join(requests.select("exposure_id"), "exposure_id", "left_semi")

@@ -72,3 +72,11 @@ def test_sizes_decide(spark):
         assert sizes.keep_values(rows, "k", wanted, max_values=limit).count() == rows.filter("k < 5").count()
     assert "broadcast" in sizes.broadcast_if_small(wanted)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in sizes.broadcast_if_small(wanted, 2)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_few_requests_narrow_the_scan(spark):
+    rows = spark.range(50).withColumn("k", F.col("id") % 7)
+    wanted = spark.createDataFrame([(1,), (1,), (None,)], "k bigint")
+    assert sizes.narrow_to(rows, "k", wanted).count() == rows.filter("k = 1").count()
+    assert sizes.narrow_to(rows, "k", wanted, max_rows=2).count() == 50
+    assert sizes.narrow_to(rows, "k", wanted.filter("k > 5")).count() == 0

@@ -42,6 +42,18 @@ def test_snapshot_equals_brute_force(spark, rows, cell_seconds):
     assert got == h.brute_force_snapshot(rows)
 
 
+def test_snapshot_without_broadcasts_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sn, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = random_rows(12, 900, 4, 5 * MINUTE, 100, hot=0.5)
+        df = sn.event_snapshot(h.bus(spark, rows))
+        assert "BroadcastHashJoin" not in h.plan(df)
+        assert h.snapshot_dict(df) == h.brute_force_snapshot(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_earlier_state_gives_the_observe_event_only(spark):
     rows = [h.observe("o1", 10), h.event("e1", "event_key_1", 11)]
     assert h.snapshot_dict(sn.event_snapshot(h.bus(spark, rows))) == {
