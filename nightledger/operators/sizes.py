@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 100_000
-SMALL_VALUES = 10_000
+SMALL_VALUES = 1_000
 
 
 def broadcast_if_small(config: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:

@@ -125,3 +125,13 @@ def test_days_are_read_by_folder(spark):
     assert ids([(2024, 1, 1), (2024, 1, 4)]) == ["e0", "e1", "e6", "e7"]
     assert ids([(2024, 1, 1), (2030, 1, 1)]) == ["e0", "e1"]
     assert ids([(2030, 1, 1)]) == []
+
+
+def test_malformed_times_stay_in_the_archive(spark):
+    good = h.event("e1", "event_key_1", 1)
+    bad = ("e2", "IRIS.filter", "event_key_1", "not a time", good[4])
+    path = scratch(spark, "malformed")
+    store.write_archive(store.archive_rows(h.landed(spark, [good, bad, bad])), path, target_rows=1)
+    rows = store.read_archive(spark, path, EVENT).collect()
+    assert sorted((r.eventId, r.year) for r in rows if r.year) == [("e1", 2024)]
+    assert [(r.eventId, r.eventTime, r.eventTimeStamp) for r in rows if not r.year] == [("e2", "not a time", None)] * 2
