@@ -1,6 +1,17 @@
 """All queries of this subpackage; importing it registers them."""
 
-from nightledger.llm import bpe, exact, html, mixing, pii, quality, sharding  # noqa: F401
+from nightledger.llm import (  # noqa: F401
+    bpe,
+    bytes_dedup,
+    exact,
+    html,
+    jaccard,
+    mixing,
+    pii,
+    quality,
+    sharding,
+    words_dedup,
+)
 from nightledger.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

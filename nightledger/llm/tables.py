@@ -31,8 +31,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def pieces(df: DataFrame, per_piece: int = PIECE_BYTES) -> int:
     """Into how many parts a table is dealt: as many as shuffles have, or one for each ``per_piece`` stored bytes."""
-    stored = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored // per_piece))
+    stored = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(str(stored)) // per_piece))
 
 
 def ascii_lower(text: Column) -> Column:
