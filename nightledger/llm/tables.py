@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from nightledger.session import prepare, scratch
 
-PIECE_BYTES = 16 << 20
-
 #: Text columns reach Python in batches of so many rows, so that a run of long texts stays within a task's memory.
 BATCH_ROWS = "200"
 
@@ -29,10 +27,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pieces(df: DataFrame, per_piece: int = PIECE_BYTES) -> int:
-    """Into how many parts a table is dealt: as many as shuffles have, or one for each ``per_piece`` stored bytes."""
+def pieces(df: DataFrame, per_piece: int, least: int = 4) -> int:
+    """Into how many parts a table is dealt: one for each ``per_piece`` stored bytes, whatever shuffles are set to."""
     stored = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(str(stored)) // per_piece))
+    return max(least, -(-int(str(stored)) // per_piece))
 
 
 def ascii_lower(text: Column) -> Column:
