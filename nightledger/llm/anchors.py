@@ -78,11 +78,10 @@ def rolling(values: np.ndarray, length: int) -> np.ndarray:
     return mixed((run[length:] - run[:-length]) * np.cumprod(down))
 
 
-def range_marks(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """Two independent 64-bit marks of each range of symbols, by polynomials over prefix sums."""
+def range_marks(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, factors=FACTORS) -> list[np.ndarray]:
+    """64-bit marks of each range of (scattered) values, by polynomials over prefix sums, one for each factor."""
     out = []
-    values = mixed(symbols + np.uint64(1))
-    for factor in FACTORS:
+    for factor in factors:
         inverse = pow(factor, -1, 1 << 64)
         up, down = np.full(len(values), factor, np.uint64), np.full(len(values) + 1, inverse, np.uint64)
         if len(up):
@@ -96,7 +95,7 @@ def range_marks(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> l
 
 def first_of(marks: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One index for each different range, and for every range the number of its like."""
-    order = np.lexsort((sizes, marks[1], marks[0]))
+    order = np.argsort(marks[0])
     new = np.ones(len(order), bool)
     for x in (marks[0], marks[1], sizes):
         y = x[order]
@@ -120,7 +119,7 @@ class Symbols:
 
 @dataclass(frozen=True)
 class Shape:
-    """Window length, q-gram length of the anchors, and how to read symbols: K - q + 1 is a power of two."""
+    """Window length, q-gram length of the anchors, and how to read symbols."""
 
     window: int
     gram: int
@@ -132,13 +131,14 @@ class Segments:
 
     def __init__(self, shape: Shape, symbols: Symbols, grams: np.ndarray):
         k, w = shape.window, shape.window - shape.gram + 1
-        # The doubled minimum: smallest gram of 1, 2, 4, ... w places, and where it is.
-        best, place, step = grams, np.arange(len(grams)), 1
-        while step < w and len(best) > step:
+        # The smallest gram of 1, 2, 4, ... and at last w places, and where it is.
+        best, place, wide = (grams >> np.uint64(32)).astype(np.uint32), np.arange(len(grams), dtype=np.int32), 1
+        while wide < w and len(best) > wide:
+            step = min(wide, w - wide)
             right = best[step:] < best[:-step]
             best = np.where(right, best[step:], best[:-step])
             place = np.where(right, place[step:], place[:-step])
-            step *= 2
+            wide += step
         sizes = np.diff(symbols.at)
         starts = spread(symbols.at[:-1], np.maximum(sizes - k + 1, 0))
         doc = np.repeat(np.arange(len(sizes)), np.maximum(sizes - k + 1, 0))
@@ -154,8 +154,9 @@ class Segments:
         low = self.key & np.uint64((1 << SHARD_BITS) - 1)
         return ((low * np.uint64(shards)) >> np.uint64(SHARD_BITS)).astype(np.int64)
 
-    def mark(self) -> np.ndarray:
-        return self.key >> np.uint64(SHARD_BITS)
+    def sent(self, shards: int) -> np.ndarray:
+        """The shard and, below it, the rest of the anchor's mark."""
+        return (self.shard(shards).astype(np.uint64) << np.uint64(KEY_BITS)) | (self.key >> np.uint64(SHARD_BITS))
 
 
 def blocked(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -199,15 +200,15 @@ def announce(shape: Shape, shards: int):
     def run(block: pa.Table) -> pa.Table:
         symbols = shape.read(block["text"])
         found = Segments(shape, symbols, rolling(symbols.values, shape.gram))
-        order = np.lexsort((found.doc, found.mark(), found.shard(shards)))
-        shard, mark, doc = found.shard(shards)[order], found.mark()[order], found.doc[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (shard[1:] != shard[:-1]) | (mark[1:] != mark[:-1])
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(order)]])[: len(first)] - 1
-        sent = (mark[first] << np.uint64(1)) | (doc[first] != doc[last]).astype(np.uint64)
+        key = found.sent(shards)
+        order = np.argsort(key)
+        key, doc = key[order], found.doc[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
+        sent = ((key[first] & np.uint64((1 << KEY_BITS) - 1)) << np.uint64(1)) | several.astype(np.uint64)
+        shard = (key[first] >> np.uint64(KEY_BITS)).astype(np.int64)
         number = int(block["block"][0].as_py())
-        return message([(s, number, ANCHORS, six(sent[at])) for s, at in by_shard(shard[first])])
+        return message([(s, number, ANCHORS, six(sent[at])) for s, at in by_shard(shard)])
 
     return run
 
@@ -255,9 +256,9 @@ class Outgoing:
                 known.append((np.uint64(shard << KEY_BITS) | (values >> np.uint64(1)), values & np.uint64(1)))
         keys = np.concatenate([k for k, _ in known]) if known else np.zeros(0, np.uint64)
         hot = np.concatenate([h for _, h in known]) if known else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, hot = keys[order], hot[order]
-        own = (found.shard(shards).astype(np.uint64) << np.uint64(KEY_BITS)) | found.mark()
+        own = found.sent(shards)
         at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
         stays = keys[at] == own if len(keys) else np.zeros(len(own), bool)
         burning = hot[at] == 1 if len(keys) else stays
@@ -272,7 +273,7 @@ class Outgoing:
         shard = np.concatenate([found.shard(shards)[warm], one.astype(np.int64)])
         first, self.number = first_of(marks, sizes)
         # Equal segments of one shard are sent once, in the order of the shard.
-        order = np.lexsort((np.arange(len(first)), shard[first]))
+        order = np.argsort(shard[first], kind="stable")
         place = np.empty(len(first), np.int64)
         place[order] = np.arange(len(first))
         self.number = place[self.number] if len(first) else self.number
@@ -370,7 +371,7 @@ def refined(keys: np.ndarray, length: int, depth: int) -> tuple[np.ndarray, np.n
     therefore reaches twice as far; buckets of one are left alone.
     """
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.ones(n, bool)
     new[1:] = keys[order][1:] != keys[order][:-1]
     pointer = np.empty(n, np.int64)
@@ -384,7 +385,7 @@ def refined(keys: np.ndarray, length: int, depth: int) -> tuple[np.ndarray, np.n
         crowded = order[slots]
         later = np.where(crowded + step < n, pointer[np.minimum(crowded + step, n - 1)] + 1, 0)
         own = pointer[crowded]
-        by = np.argsort(own * np.int64(n + 1) + later, kind="stable")
+        by = np.argsort(own * np.int64(n + 1) + later)
         own, later, crowded = own[by], later[by], crowded[by]
         start = np.ones(len(by), bool)
         start[1:] = own[1:] != own[:-1]

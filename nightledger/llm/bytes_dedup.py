@@ -24,6 +24,9 @@ from nightledger.llm.words import flat, mixed
 
 LENGTH, QGRAM = 50, 8
 
+#: Anchors are of so many bytes: long enough to be rare unless a passage is repeated.
+ANCHOR = 27
+
 #: A number for every byte, so that sums of them tell strings apart.
 BYTE_MARKS = mixed(np.arange(1, 257))
 
@@ -82,7 +85,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text: str
     """doc_id, n_bytes, n_removed, n_spans, and the removed spans with the bytes that stay, or the digest of those."""
     columns = "kept_sha256 string" if digests else "span_starts array<long>, span_ends array<long>, kept binary"
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {columns}"
-    shape = Shape(LENGTH, LENGTH - 31, read)
+    shape = Shape(LENGTH, ANCHOR, read)
     return dedup(docs, id_column, text, shape, least_ids, result(digests), schema)
 
 

@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from nightledger.llm.anchors import NO_ID, Shape, Symbols, dedup, first_of, range_marks, refined, spread
+from nightledger.llm.anchors import FACTORS, NO_ID, Shape, Symbols, dedup, first_of, range_marks, refined, spread
 from nightledger.llm.bytes_dedup import BYTE_MARKS
 from nightledger.llm.registry import query
 from nightledger.llm.tables import documents
-from nightledger.llm.words import Words, flat
+from nightledger.llm.words import Words, flat, mixed
 
 WINDOW = 13
 
@@ -36,7 +36,7 @@ def read(texts: pa.Array) -> Symbols:
     """Words as symbols; in ``raw`` each is followed by one space."""
     words = Words(*flat(texts))
     sizes = words.end - words.start
-    marks = range_marks(BYTE_MARKS[words.data], words.start, sizes)[0]
+    marks = range_marks(BYTE_MARKS[words.data], words.start, sizes, FACTORS[:1])[0]
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     raw = np.full(int(begin[-1]), 0x20, np.uint8)
     keep = np.ones(len(raw), bool)
@@ -121,7 +121,7 @@ def least_ids(raw: np.ndarray, sizes: np.ndarray, lows: np.ndarray) -> tuple[np.
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(gaps), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
     ids = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
     begin = np.cumsum(sizes) - sizes
-    first, number = first_of(range_marks(ids.astype(np.uint64), begin, sizes), sizes)
+    first, number = first_of(range_marks(mixed(ids), begin, sizes), sizes)
     low = np.full(len(first), NO_ID, np.int64)
     np.minimum.at(low, number, lows)
     begin, sizes = begin[first], sizes[first]
