@@ -122,7 +122,9 @@ def look_alikes() -> dict[str, str]:
 
 
 GLYPHS = look_alikes()
-GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
+
+#: Where characters of GLYPHS may be; others are left as they are.
+GLYPH = re.compile("[\xa0\xad\u0100-\U0010ffff]")
 
 # The spelled digits.
 SPELLED = {
@@ -141,7 +143,21 @@ DISGUISE = re.compile(
     re.IGNORECASE,
 )
 NUMBER_PART = re.compile(rf"plus|{NUMERAL}|[0-9]", re.IGNORECASE)
-HINT = re.compile(rf"\bdot\b|[\[({{<]{GAP}(?:at|@|dot|\.){GAP}[\])}}>]|\b{NUMERAL}\b(?:[ \t]{{1,2}}|-|,[ \t]?)(?:{NUMERAL}|[0-9])\b", re.IGNORECASE)
+#: What a disguise cannot do without, searched in lower case: cheap tests that most texts fail.
+BRACKETED = re.compile(rf"[\[({{<]{GAP}(?:at|@|dot|\.){GAP}[\])}}>]")
+ONES = re.compile(r"one(?:[ \t]{1,2}|-|,[ \t]?)(?:one|[0-9])")
+OTHERS = tuple(SPELLED)[:1] + tuple(SPELLED)[2:]
+
+
+def hinted(text: str) -> bool:
+    """Whether the second transducer may find something to rewrite."""
+    low = text.lower()
+    return (
+        "dot" in low
+        or any(word in low for word in OTHERS)
+        or ("one" in low and ONES.search(low) is not None)
+        or any(c in low and BRACKETED.search(low) is not None for c in "[({<")
+    )
 
 
 class Traced:
@@ -187,12 +203,12 @@ def undisguised(match: re.Match) -> str | None:
 def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """Base spans, and the base spans with the disguised ones, by kind and in order."""
     base = identifiers(text)
-    glyphs = not text.isascii() and GLYPH.search(text) is not None
-    if not glyphs and not HINT.search(text):
+    glyphs = not text.isascii() and not GLYPHS.keys().isdisjoint(GLYPH.findall(text))
+    if not glyphs and not hinted(text):
         return base, base
     traced = Traced(text)
     if glyphs:
-        traced = traced.rewritten(GLYPH, lambda m: GLYPHS[m[0]])
+        traced = traced.rewritten(GLYPH, lambda m: GLYPHS.get(m[0]))
     traced = traced.rewritten(DISGUISE, undisguised)
     every = {}
     for kind, found in identifiers(traced.text).items():
