@@ -146,6 +146,7 @@ NUMBER_PART = re.compile(rf"plus|{NUMERAL}|[0-9]", re.IGNORECASE)
 #: What a disguise cannot do without, searched in lower case: cheap tests that most texts fail.
 BRACKETED = re.compile(rf"[\[({{<]{GAP}(?:at|@|dot|\.){GAP}[\])}}>]")
 ONES = re.compile(r"one(?:[ \t]{1,2}|-|,[ \t]?)(?:one|[0-9])")
+NEXT = re.compile(rf"{NUMERAL}(?:[ \t]{{1,2}}|-|,[ \t]?)(?:{NUMERAL}|[0-9])")
 OTHERS = tuple(SPELLED)[:1] + tuple(SPELLED)[2:]
 
 
@@ -153,8 +154,8 @@ def hinted(text: str) -> bool:
     """Whether the second transducer may find something to rewrite."""
     low = text.lower()
     return (
-        "dot" in low
-        or any(word in low for word in OTHERS)
+        any(dot in low for dot in (" dot ", "\tdot", "dot\t"))
+        or (any(word in low for word in OTHERS) and NEXT.search(low) is not None)
         or ("one" in low and ONES.search(low) is not None)
         or any(c in low and BRACKETED.search(low) is not None for c in "[({<")
     )
