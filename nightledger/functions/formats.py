@@ -23,20 +23,21 @@ def plain_text(value: Column, kind: T.DataType) -> Column:
 
 
 def three_decimals(value: Column) -> Column:
-    return F.format_string("%.3f", value)
+    return F.when(value.isNotNull(), F.format_string("%.3f", value))
 
 
 def right_ascension(degrees: Column) -> Column:
     """``HH:MM:SS.mmm`` of an angle in degrees, rounded once in milliseconds of time so 60 never shows."""
     day = 24 * 3600 * 1000
     millis = F.pmod(F.round(degrees / 15 * 3600 * 1000).cast("bigint"), F.lit(day))
-    return F.format_string(
+    text = F.format_string(
         "%02d:%02d:%02d.%03d",
         F.floor(millis / 3600000),
         F.floor(millis / 60000) % 60,
         F.floor(millis / 1000) % 60,
         millis % 1000,
     )
+    return F.when(degrees.isNotNull(), text)
 
 
 def double_formats(value: Column) -> dict[str, Column]:

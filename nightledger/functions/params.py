@@ -42,8 +42,8 @@ def path_index(path: Column) -> Column:
 
 
 def has_name(key_name: Column) -> Column:
-    """False for a null or blank parameter name."""
-    return F.coalesce(F.length(F.trim(key_name)) > 0, F.lit(False))
+    """False for a null parameter name and for one of white space alone, of any script."""
+    return F.coalesce(key_name.rlike(r"(?U)\S"), F.lit(False))
 
 
 def value_type(param_set: T.StructType, type_key: str) -> T.DataType:

@@ -30,8 +30,10 @@ def on_day(archive: DataFrame, year: int, month: int, day: int) -> DataFrame:
 
 
 def in_time_range(archive: DataFrame, low: str, high: str) -> DataFrame:
-    """Events between two instants, both included, compared as instants."""
-    return archive.filter(F.col("eventTimeStamp").between(F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")))
+    """Events between two instants, both included, compared as instants. The days between prune the partitions."""
+    first, last = F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")
+    day = F.make_date("year", "month", "day")
+    return archive.filter(day.between(F.to_date(first), F.to_date(last)) & F.col("eventTimeStamp").between(first, last))
 
 
 def of_channel(archive: DataFrame, source: str, event_name: str) -> DataFrame:
@@ -75,7 +77,7 @@ def first_events(events: DataFrame, n: int, small: int = SMALL_ROWS) -> DataFram
     """The n earliest events. A sorted limit ends in one task, so it is only used for few rows."""
     if n <= small:
         return ordered_by_time(events).limit(n)
-    return numbered(events, TIME_ORDER).filter(F.col("row_no") < n).drop("row_no")
+    return numbered(events, TIME_ORDER).filter(F.col("row_no") < n).orderBy("row_no").drop("row_no")
 
 
 def row_count(rows: DataFrame) -> DataFrame:

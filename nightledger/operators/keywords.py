@@ -42,7 +42,7 @@ def keyword_outcomes(observes: DataFrame, snapshot: DataFrame, mappings: DataFra
     )
     wanted = asked.join(broadcast_if_small(rules), ["subsystem", "obs_event_name"])
     kinds = snapshot.schema["paramSet"].dataType
-    states = snapshot.select("obs_event_id", "obs_time", "event_key", "paramSet")
+    states = snapshot.select("obs_event_id", "obs_time", "event_key", "paramSet", F.lit(True).alias("seen"))
     derived = lookup(F.col("paramSet"), kinds, F.col("key_name"), F.col("key_index"), F.col("attribute"))
     missing = F.struct(F.lit(None).cast("string").alias("value"), F.lit(EVENT_MISSING).alias("reason"))
     out = OBSERVE_COLUMNS + ["subsystem", "keyword", "value", "reason"]
@@ -50,7 +50,7 @@ def keyword_outcomes(observes: DataFrame, snapshot: DataFrame, mappings: DataFra
         wanted.filter(F.col("kind") != CONSTANT)
         .drop("value")
         .join(states, ["obs_event_id", "obs_time", "event_key"], "left")
-        .withColumn("o", F.when(F.col("paramSet").isNull(), missing).otherwise(derived))
+        .withColumn("o", F.when(F.col("seen").isNull(), missing).otherwise(derived))
         .select("*", "o.value", "o.reason")
     )
     constants = wanted.filter(F.col("kind") == CONSTANT).withColumn("reason", F.lit(None).cast("string"))

@@ -77,22 +77,28 @@ def numbered(rows: DataFrame, order: list[str], tasks: int | None = None) -> Dat
     )
 
 
+MICROS = {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
+
+
 def tumbling(ts: Column, duration: str) -> Column:
-    """Start of the fixed window the time falls into."""
-    return F.window(ts, duration)["start"]
+    """Start of the fixed window the time falls into; null for a null time, which keeps its row."""
+    count, unit = duration.split()
+    length = int(count) * MICROS[unit.rstrip("s")]
+    return F.timestamp_micros(F.unix_micros(ts) - F.pmod(F.unix_micros(ts), F.lit(length)))
 
 
 def time_count_chunks(events: DataFrame, max_rows: int, duration: str) -> DataFrame:
     """Split events into batches that end after ``max_rows`` rows or at the end of a time window.
 
-    Adds ``window_start`` and ``chunk`` (0, 1, … inside a window), in order of time and event id.
+    Adds ``window_start`` and ``chunk`` (0, 1, … inside a window), in order of time and event id. Events without a
+    valid time are a window of their own, whose start is null.
     """
     rows = numbered(events.withColumn("window_start", tumbling(F.col("eventTimeStamp"), duration)), TIME_ORDER)
-    firsts = rows.groupBy("window_start").agg(F.min("row_no").alias("_first"))
+    firsts = rows.groupBy(F.col("window_start").alias("_start")).agg(F.min("row_no").alias("_first"))
     return (
-        rows.join(broadcast_if_small(firsts), "window_start")
+        rows.join(broadcast_if_small(firsts), F.col("window_start").eqNullSafe(F.col("_start")))
         .withColumn("chunk", F.floor((F.col("row_no") - F.col("_first")) / max_rows).cast("bigint"))
-        .drop("row_no", "_first")
+        .drop("row_no", "_first", "_start")
     )
 
 

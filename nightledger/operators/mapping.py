@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nightledger.functions.keys import exposure_subsystem
 from nightledger.operators.sizes import broadcast_if_small
 
 MAPPING_FIELDS = ["value", "obs_event_name", "event_key", "param_key", "attribute"]
 
 
 def merge_layers(layers: DataFrame) -> DataFrame:
-    """One row per subsystem and keyword: each field from the latest layer that sets it."""
-    fields = [
-        F.expr(f"max_by({name}, layer) filter (where {name} is not null)").alias(name) for name in MAPPING_FIELDS
-    ]
+    """One row per subsystem and keyword: each field from the latest layer that sets it.
+
+    If a layer sets a field twice, the larger value counts, whatever the order of the rows.
+    """
+    fields = [F.max(F.when(F.col(name).isNotNull(), F.struct("layer", name)))[name].alias(name) for name in MAPPING_FIELDS]
     return layers.groupBy("subsystem", "keyword").agg(*fields)
 
 
@@ -31,8 +33,10 @@ def known_subsystems(entries: DataFrame, subsystems: DataFrame, column: str = "s
 
 
 def mapping_for(mappings: DataFrame, observes: DataFrame) -> DataFrame:
-    """The mapping rows that apply to each observe event's name."""
-    return observes.join(broadcast_if_small(mappings), "obs_event_name")
+    """The mapping rows of each observe event's subsystem that apply to its name."""
+    asked = observes.withColumn("subsystem", exposure_subsystem(F.col("exposure_id")))
+    rules = mappings.withColumn("subsystem", F.upper("subsystem"))
+    return asked.join(broadcast_if_small(rules), ["subsystem", "obs_event_name"])
 
 
 def concat_header_lists(own: DataFrame, shared: DataFrame) -> DataFrame:

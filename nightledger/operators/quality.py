@@ -75,10 +75,11 @@ def empty_results(observes: DataFrame, snapshot: DataFrame, values: DataFrame) -
 
 
 def header_coverage(header_lists: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Header keywords that no mapping fills, and mapped keywords that no header shows."""
+    """Header keywords that no mapping fills, and mapped keywords that no header shows, compared without case."""
     key = ["subsystem", "keyword"]
-    listed = header_lists.select(*key).distinct()
-    mapped = mappings.select(*key).distinct()
+    folded = [F.upper(name).alias(name) for name in key]
+    listed = header_lists.select(*folded).distinct()
+    mapped = mappings.select(*folded).distinct()
     return (
         listed.join(mapped, key, "left_anti")
         .withColumn("problem", F.lit("UNMAPPED"))

@@ -130,7 +130,7 @@ def keyword_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     "mapping_for_observe",
     sql(
         """SELECT o.obs_event_id, o.obs_event_name, o.exposure_id, r.subsystem, r.keyword, r.kind FROM obs o
-        JOIN rules r ON r.obs_event_name = o.obs_event_name""",
+        JOIN rules r ON r.subsystem = o.subsystem AND r.obs_event_name = o.obs_event_name""",
         "obs",
         "rules",
     ),

@@ -46,9 +46,8 @@ def write_snapshots(snapshot: DataFrame, path: str, mode: str = "append") -> Non
 
 
 def write_keyword_values(values: DataFrame, path: str, batch_id: int) -> None:
-    """Store keyword values under their batch id; writing the same batch again replaces it."""
-    rows = values.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    _write(rows, path, ["batch_id"], ["exposure_id", "keyword"], "overwrite")
+    """Store keyword values under their batch id; writing the same batch again replaces it, also by no rows."""
+    _write(values, f"{path.rstrip('/')}/batch_id={batch_id}", [], ["exposure_id", "keyword"], "overwrite")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
