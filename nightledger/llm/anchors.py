@@ -37,8 +37,8 @@ NO_ID = (1 << 63) - 1
 PER_BUCKET = 8 << 20
 BLOCKS, SHARDS = 16, 4
 
-#: An anchor in more blocks than this is hot.
-HOT = 256
+#: An anchor in more blocks than this is hot; below it, one shard takes what the blocks' documents send for it.
+HOT = 4096
 
 SHARD_BITS, KEY_BITS = 17, 47
 FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
