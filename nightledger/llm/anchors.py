@@ -159,9 +159,8 @@ class Segments:
         return (self.shard(shards).astype(np.uint64) << np.uint64(KEY_BITS)) | (self.key >> np.uint64(SHARD_BITS))
 
 
-def blocked(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """block, row, doc, text in a table that is bucketed by block."""
-    n = pieces(docs, PER_BUCKET)
+def blocked(docs: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
+    """block, row, doc, text in a table that is bucketed by block, in ``n`` buckets."""
     rows = docs.select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"),
         F.col(id_column).isNull().alias("unnamed"),
@@ -337,8 +336,8 @@ def answered(shape: Shape, index):
 
 def dedup(docs: DataFrame, id_column: str, text: str, shape: Shape, index, finish, schema: str, hot: int = HOT) -> DataFrame:
     """``finish(block, symbols, removed)`` of every block, as a table of the schema."""
-    blocks = blocked(docs, id_column, text)
-    shards = min(pieces(docs, PER_BUCKET) * SHARDS, 1 << SHARD_BITS)
+    buckets = pieces(docs, text, PER_BUCKET)
+    blocks, shards = blocked(docs, id_column, text, buckets), min(buckets * SHARDS, 1 << SHARD_BITS)
     announced = blocks.groupBy("block").applyInArrow(announce(shape, shards), MESSAGE)
     common = written(announced.groupBy("shard").applyInArrow(shared(hot), MESSAGE), "anchors")
 

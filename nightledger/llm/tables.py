@@ -27,10 +27,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pieces(df: DataFrame, per_piece: int, least: int = 4) -> int:
-    """Into how many parts a table is dealt: one for each ``per_piece`` stored bytes, whatever shuffles are set to."""
-    stored = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(least, -(-int(str(stored)) // per_piece))
+#: Spark's estimate of a table that it knows nothing about is beyond any real size.
+UNKNOWN = 1 << 60
+
+
+def pieces(df: DataFrame, text: str, per_piece: int, least: int = 4) -> int:
+    """Into how many parts a table is dealt: one for each ``per_piece`` stored bytes, whatever shuffles are set to.
+
+    Where Spark does not know the stored bytes, half the bytes of the texts are taken for them, by one pass.
+    """
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if stored >= UNKNOWN:
+        stored = (df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0) // 2
+    return max(least, -(-stored // per_piece))
 
 
 def ascii_lower(text: Column) -> Column:
