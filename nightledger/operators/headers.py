@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightledger.functions.cards import fits_card
+from nightledger.functions.cards import card_reason, fits_card
 from nightledger.functions.keys import exposure_subsystem
 from nightledger.operators.sizes import broadcast_if_small, narrow_to
 
 
+def _with_values(wanted: DataFrame, values: DataFrame) -> DataFrame:
+    return wanted.join(values.select("exposure_id", "keyword", "value"), ["exposure_id", "keyword"], "left")
+
+
+def header_rejects(wanted: DataFrame, values: DataFrame) -> DataFrame:
+    """``(exposure_id, keyword, reason)`` of values that do not fit a card and so are missing from the header.
+
+    ``wanted`` comes from ``exposure_keywords`` or ``requested_keywords``; a keyword listed twice is named once.
+    """
+    found = _with_values(wanted, values).filter(F.col("value").isNotNull())
+    lost = found.select("exposure_id", "keyword", card_reason(F.col("keyword"), F.col("value")).alias("reason"))
+    return lost.filter(F.col("reason").isNotNull()).distinct()
+
+
 def _assemble(wanted: DataFrame, values: DataFrame) -> DataFrame:
     """One header per exposure of ``wanted (exposure_id, pos, keyword)``; keywords without a value are skipped.
 
     A header has at most as many cards as its list has keywords, which bounds the array.
     """
-    cards = wanted.join(values.select("exposure_id", "keyword", "value"), ["exposure_id", "keyword"], "left").withColumn(
-        "card", fits_card(F.col("keyword"), F.col("value"))
-    )
+    found = _with_values(wanted, values)
+    cards = found.withColumn("card", fits_card(F.col("keyword"), F.col("value")))
     ordered = F.sort_array(F.collect_list(F.when(F.col("card").isNotNull(), F.struct("pos", "card"))))
     return (
         cards.groupBy("exposure_id")

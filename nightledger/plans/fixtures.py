@@ -279,19 +279,25 @@ def customer_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_exposure_stream(spark: SparkSession, sf_dir: str) -> str:
-    """Land the bus in three consecutive time spans and run the exposure stream after each."""
+    """Land the bus in three time spans, the earliest one last, and run the exposure stream after each."""
 
     def build(root: str) -> None:
         rows = bus(spark, sf_dir)
         lo, hi = rows.agg(F.unix_micros(F.min("eventTimeStamp")), F.unix_micros(F.max("eventTimeStamp"))).first()
         cuts = [lo + (hi - lo) * i // 3 for i in range(3)] + [hi + 1]
+        spans = list(zip(cuts, cuts[1:]))
         at = F.unix_micros("eventTimeStamp")
-        for start, end in zip(cuts, cuts[1:]):
+        for start, end in spans[1:] + spans[:1]:
             span = rows.filter((at >= start) & (at < end))
             write_landing(span.select(*EVENT.fieldNames()), f"{root}/landing")
             landed = read_landing_stream(spark, f"{root}/landing", EVENT)
             start_exposures(
-                landed, root, f"{root}/checkpoint", mappings, {"availableNow": True}
+                landed,
+                root,
+                f"{root}/checkpoint",
+                mappings,
+                {"availableNow": True},
+                lateness_seconds=(hi - lo) // 10**6 + 1,
             ).awaitTermination()
 
     return built(spark, sf_dir, "exposures", build)

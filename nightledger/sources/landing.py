@@ -21,6 +21,13 @@ def read_landing(spark: SparkSession, path: str, schema: T.StructType | None = N
     return spark.read.schema(schema or event_schema()).json(path)
 
 
+def torn_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """``(eventId, line)`` of landed lines that do not parse, with their whole text; the id where it could be read."""
+    with_corrupt = T.StructType([*(schema or event_schema()).fields, T.StructField(CORRUPT, T.StringType())])
+    lines = spark.read.schema(with_corrupt).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return lines.filter(F.col(CORRUPT).isNotNull()).select("eventId", F.col(CORRUPT).alias("line"))
+
+
 def read_landing_stream(
     spark: SparkSession,
     path: str,

@@ -1,8 +1,14 @@
 """Channel state, snapshots and keyword values kept up to date by one stream.
 
-The state has two slots. A micro-batch reads the newest state of an earlier batch and writes the other slot; snapshots
-and keyword values are written under its batch id. Running a batch again replaces what it wrote. An event older than the stored state does not replace it, and snapshots already
-written are not revised; the batch operators over the archive reconcile late data.
+Events may arrive out of order. The state holds every event of the last ``lateness_seconds`` before the newest time seen,
+and the last event of each channel before that; its size follows the event rate and the number of channels. A micro-batch
+answers its own observe events, and answers again those of the state that its earliest event could change, so what is
+stored at the end does not depend on how files were admitted. Readers take an observe event's rows from the newest batch
+that answered it. An event older than the lateness only counts for the channel state; it is listed in the rejects, and so
+is an event without a valid time.
+
+The state has two slots. A micro-batch reads the newest state of an earlier batch and writes the other slot; all other
+rows are written under its batch id. Running a batch again replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -25,14 +31,20 @@ from nightledger.sources.tables import SNAPSHOT_COLUMNS, snapshot_table, write_k
 STATE = "state"
 SNAPSHOTS = "snapshots"
 KEYWORDS = "keywords"
+REJECTS = "rejects"
 BATCH = "batch_id"
 SLOT = "slot"
 
+LATENESS_SECONDS = 60
+# Before and after every time in microseconds.
+EARLIEST, LATEST = -(1 << 62), 1 << 62
+NO_VALID_TIME = "NO_VALID_TIME"
+LATE = "LATE"
+
 
 def bus_rows(events: DataFrame) -> DataFrame:
-    """Landed events with channel key and parsed time; events without a valid time take no part."""
-    timed = with_key(archive_rows(events)).filter(F.col("eventTimeStamp").isNotNull())
-    return timed.select("event_key", *EVENT_COLUMNS)
+    """The columns of keyed, parsed events that take part; those without a valid time do not."""
+    return events.filter(F.col("eventTimeStamp").isNotNull()).select("event_key", *EVENT_COLUMNS)
 
 
 def state_schema(params: T.StructType) -> T.StructType:
@@ -59,8 +71,8 @@ def _read_slots(spark: SparkSession, root: str, params: T.StructType, below: int
 
 
 def read_state(spark: SparkSession, root: str, params: T.StructType, below: int | None = None) -> DataFrame:
-    """The newest state, or the newest one of an earlier batch than ``below``."""
-    return _read_slots(spark, root, params, below)[0]
+    """The last event per channel in the newest state, or in the newest one of an earlier batch than ``below``."""
+    return latest_per_key(_read_slots(spark, root, params, below)[0])
 
 
 def _write_batch(rows: DataFrame, path: str) -> None:
@@ -68,24 +80,42 @@ def _write_batch(rows: DataFrame, path: str) -> None:
 
 
 def process_batch(
-    events: DataFrame, batch_id: int, root: str, mappings: Callable[[SparkSession], DataFrame] | None = None
+    events: DataFrame,
+    batch_id: int,
+    root: str,
+    mappings: Callable[[SparkSession], DataFrame] | None = None,
+    lateness_seconds: int = LATENESS_SECONDS,
 ) -> None:
-    """State, snapshots and, with ``mappings``, keyword values of one micro-batch."""
+    """State, snapshots, rejects and, with ``mappings``, keyword values of one micro-batch."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.adaptive.enabled", "true")
-    bus = bus_rows(events).persist()
+    rows = with_key(archive_rows(events)).persist()
+    bus = bus_rows(rows)
     state, slot = _read_slots(spark, root, bus.schema["paramSet"].dataType, below=batch_id)
+    at = F.unix_micros("eventTimeStamp")
+    lateness = lateness_seconds * 10**6
+    newest = state.agg(F.max(at)).first()[0]
+    first, last = bus.agg(F.min(at), F.max(at)).first()
+    horizon = EARLIEST if newest is None else newest - lateness
     known = state.unionByName(bus)
-    observes = observe_events(bus, OBSERVE_EVENTS)
+
+    open_again = state.filter((at >= horizon) & (at >= (LATEST if first is None else first)))
+    observes = observe_events(bus.unionByName(open_again), OBSERVE_EVENTS)
     snapshot = event_snapshot(known, observes=observes)
     snapshot_path = f"{root}/{SNAPSHOTS}/{BATCH}={batch_id}"
     _write_batch(snapshot, snapshot_path)
     if mappings is not None:
         written = spark.read.schema(snapshot.schema).parquet(snapshot_path)
         write_keyword_values(keyword_extract(observes, written, mappings(spark)), f"{root}/{KEYWORDS}", batch_id)
-    latest = latest_per_key(known).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-    _write_batch(latest, f"{root}/{STATE}/{SLOT}={1 - slot}")
-    bus.unpersist()
+
+    reason = F.when(F.col("eventTimeStamp").isNull(), NO_VALID_TIME).when(at < horizon, LATE)
+    rejects = rows.select("eventId", "source", "eventName", "eventTime", reason.alias("reason"))
+    _write_batch(rejects.filter(F.col("reason").isNotNull()), f"{root}/{REJECTS}/{BATCH}={batch_id}")
+
+    kept_from = max(EARLIEST if t is None else t for t in (newest, last)) - lateness
+    kept = known.filter(at >= kept_from).unionByName(latest_per_key(known.filter(at < kept_from)))
+    _write_batch(kept.withColumn(BATCH, F.lit(batch_id).cast("bigint")), f"{root}/{STATE}/{SLOT}={1 - slot}")
+    rows.unpersist()
 
 
 def start_exposures(
@@ -94,11 +124,16 @@ def start_exposures(
     checkpoint: str,
     mappings: Callable[[SparkSession], DataFrame] | None = None,
     trigger: dict | None = None,
+    lateness_seconds: int = LATENESS_SECONDS,
 ) -> StreamingQuery:
     """Run ``process_batch`` over a stream of landed events. ``mappings`` builds the merged, classified mappings."""
     prepare_tables(events.sparkSession, root, events.schema["paramSet"].dataType)
+
+    def each(rows: DataFrame, batch_id: int) -> None:
+        process_batch(rows, batch_id, root, mappings, lateness_seconds)
+
     return (
-        events.writeStream.foreachBatch(lambda rows, batch_id: process_batch(rows, batch_id, root, mappings))
+        events.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "2 seconds"}))
         .start()
@@ -115,10 +150,28 @@ def _observe_schema() -> T.StructType:
     )
 
 
+def _newest_answers(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` that the newest batch to answer their observe event wrote.
+
+    Batches are known from the snapshots, in which an observe event has at least the row of its own channel.
+    """
+    event = ["obs_event_id", "obs_time"]
+    answers = spark.read.schema(_observe_schema().add(BATCH, T.LongType())).parquet(f"{root}/{SNAPSHOTS}")
+    newest = answers.groupBy(*event).agg(F.max(BATCH).alias(BATCH))
+    return rows.join(newest, [*event, BATCH], "left_semi").drop(BATCH)
+
+
 def stored_snapshots(spark: SparkSession, root: str, params: T.StructType) -> DataFrame:
-    """All snapshots the stream wrote."""
+    """The snapshots the stream wrote, each as last revised."""
     schema = T.StructType(_observe_schema().fields + state_schema(params).fields)
-    return spark.read.schema(schema).parquet(f"{root}/{SNAPSHOTS}").drop(BATCH)
+    return _newest_answers(spark, root, spark.read.schema(schema).parquet(f"{root}/{SNAPSHOTS}"))
+
+
+def stored_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """Events that came later than the lateness allows, or without a valid time."""
+    names = ["eventId", "source", "eventName", "eventTime", "reason"]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return spark.read.schema(schema).parquet(f"{root}/{REJECTS}").select(*names)
 
 
 def stored_snapshot_table(spark: SparkSession, root: str, params: T.StructType) -> DataFrame:
@@ -127,6 +180,6 @@ def stored_snapshot_table(spark: SparkSession, root: str, params: T.StructType)
 
 
 def stored_keyword_values(spark: SparkSession, root: str) -> DataFrame:
-    """All keyword values the stream wrote."""
+    """The keyword values the stream wrote, each observe event's as last revised."""
     schema = _observe_schema().add("keyword", T.StringType()).add("value", T.StringType()).add(BATCH, T.LongType())
-    return spark.read.schema(schema).parquet(f"{root}/{KEYWORDS}").drop(BATCH)
+    return _newest_answers(spark, root, spark.read.schema(schema).parquet(f"{root}/{KEYWORDS}"))

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.formats import right_ascension, three_decimals
 from nightledger.functions.params import has_name
-from nightledger.operators import filters, layout, mapping, quality
+from nightledger.operators import filters, headers, layout, mapping, quality
 from nightledger.sources import archive as store
-from nightledger.sources import tables
+from nightledger.sources import landing, tables
 from tests import helpers as h
 
 
@@ -58,3 +58,22 @@ def test_coverage_is_compared_without_case(spark):
     listed = spark.createDataFrame([("IRIS", "KEY")], "subsystem string, keyword string")
     mapped = spark.createDataFrame([("iris", "Key")], "subsystem string, keyword string")
     assert quality.header_coverage(listed, mapped).isEmpty()
+
+
+def test_values_that_fit_no_card_are_listed(spark):
+    lists = spark.createDataFrame([("IRIS", i, k) for i, k in enumerate(["OK", "LONGVAL", "MUCHTOOLONG", "NONE"])], "subsystem string, pos int, keyword string")
+    exposure = "2020A-001-123-IRIS-IMG-SCI0-0001"
+    given = [("OK", "v"), ("LONGVAL", "x" * 69), ("MUCHTOOLONG", "v")]
+    values = spark.createDataFrame([(exposure, *pair) for pair in given], "exposure_id string, keyword string, value string")
+    wanted = headers.exposure_keywords(values.select("exposure_id"), lists)
+    got = sorted((r.keyword, r.reason) for r in headers.header_rejects(wanted, values).collect())
+    assert got == [("LONGVAL", "VALUE_TOO_LONG"), ("MUCHTOOLONG", "KEYWORD_TOO_LONG")]
+    assert len(headers.fits_headers(values.select("exposure_id"), lists, values).first()["header"]) == 80
+
+
+def test_torn_lines_keep_their_text(spark, tmp_path):
+    path = str(tmp_path / "landing")
+    whole = '{"eventId":"1","source":"IRIS.filter","eventName":"c","eventTime":"2024-01-01T00:00:00Z"}'
+    torn = '{"eventId":"2","source":"IRIS.fil'
+    spark.createDataFrame([(whole,), (torn,)], "value string").coalesce(1).write.text(path)
+    assert [r.line for r in landing.torn_lines(spark, path).collect()] == [torn]

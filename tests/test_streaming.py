@@ -2,7 +2,10 @@
 
 import random
 
-from nightledger.operators.snapshot import event_snapshot
+import pytest
+
+from nightledger.operators.keywords import keyword_extract
+from nightledger.operators.snapshot import event_snapshot, observe_events
 from nightledger.operators.state import latest_per_key
 from nightledger.plans import fixtures as fx
 from nightledger.session import scratch
@@ -75,6 +78,51 @@ def test_late_event_does_not_replace_newer_state(spark):
     assert got[("o2", h.iso(300), "IRIS.filter.event_key_1")] == "new"
 
 
+@pytest.mark.parametrize("files_per_trigger", [1, 3, 300])
+def test_stream_does_not_depend_on_admission(spark, files_per_trigger):
+    rows, _ = batches(seed=8, n=96)
+    shuffled = random.Random(9).sample(rows, len(rows))
+    root = scratch(spark, "shuffled")
+    for part in range(4):
+        write_landing(h.landed(spark, shuffled[part * 24 : part * 24 + 24]).coalesce(1), f"{root}/landing")
+    stream = read_landing_stream(spark, f"{root}/landing", fx.EVENT, files_per_trigger)
+    exposure.start_exposures(stream, root, f"{root}/cp", fx.mappings, NOW, lateness_seconds=100).awaitTermination()
+    stored = exposure.stored_snapshots(spark, root, fx.PARAMS)
+    expected = h.brute_force_snapshot(rows)
+    assert h.snapshot_dict(stored) == expected
+    assert stored.count() == len(expected)
+    bus = h.bus(spark, rows)
+    observes = observe_events(bus)
+    values = keyword_extract(observes, event_snapshot(bus, observes=observes), fx.mappings(spark))
+    got = exposure.stored_keyword_values(spark, root).select(values.columns)
+    assert got.exceptAll(values).count() == 0 and values.exceptAll(got).count() == 0
+    assert exposure.stored_rejects(spark, root).count() == 0
+
+
+def test_late_observe_event_sees_earlier_states(spark):
+    root = scratch(spark, "late-observe")
+    exposure.prepare_tables(spark, root, fx.PARAMS)
+    early = [h.event("e50", "event_key_1", 50), h.event("e100", "event_key_1", 100)]
+    exposure.process_batch(h.landed(spark, early), 0, root)
+    exposure.process_batch(h.landed(spark, [h.observe("o70", 70)]), 1, root)
+    got = h.snapshot_dict(exposure.stored_snapshots(spark, root, fx.PARAMS))
+    assert got[("o70", h.iso(70), "IRIS.filter.event_key_1")] == "e50"
+
+
+def test_events_beyond_the_lateness_are_listed(spark):
+    root = scratch(spark, "beyond")
+    exposure.prepare_tables(spark, root, fx.PARAMS)
+    second = 10**6
+    first = [h.event("base", "event_key_1", 0), h.observe("o5", 5 * second), h.event("new", "event_key_3", 90 * second)]
+    exposure.process_batch(h.landed(spark, first), 0, root, lateness_seconds=10)
+    late = [h.event("late", "event_key_1", 2 * second), h.observe("o95", 95 * second)]
+    exposure.process_batch(h.landed(spark, late), 1, root, lateness_seconds=10)
+    got = h.snapshot_dict(exposure.stored_snapshots(spark, root, fx.PARAMS))
+    assert got[("o5", h.iso(5 * second), "IRIS.filter.event_key_1")] == "base"
+    assert got[("o95", h.iso(95 * second), "IRIS.filter.event_key_1")] == "late"
+    assert [(r.eventId, r.reason) for r in exposure.stored_rejects(spark, root).collect()] == [("late", exposure.LATE)]
+
+
 def test_batch_without_observe_events_updates_state(spark):
     root = scratch(spark, "quiet")
     exposure.prepare_tables(spark, root, fx.PARAMS)
