@@ -199,18 +199,20 @@ def mixed(docs: DataFrame, members: Column, id_column: str = "doc_id", text: str
     sure = placed.filter(full | none).withColumn("extra", F.when(full, 1).otherwise(0))
     inside = Window.partitionBy("members", "range").orderBy("hash", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     split = placed.filter(~full & ~none).withColumn("extra", F.when(F.col("base") + F.sum("size").over(inside) <= F.col("rest"), 1).otherwise(0))
-    chosen = written(sure.unionByName(split).drop("base", "range_size", "range"), "chosen")
+    chosen = written(sure.unionByName(split).drop("base", "range_size"), "chosen")
 
-    # The document that comes closest to closing the gap.
+    # The document that comes closest to closing the gap. Rows meet their pattern's gap by range and the answer by their
+    # own number, so that a hot pattern's rows are never dealt by the pattern alone.
     got = chosen.groupBy("members").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("gap"))
+    gaps = ranges.select("members", "range").join(got, "members")
     off = F.abs(F.col("gap") - F.col("size"))
     last = (
-        chosen.filter("extra = 0").join(got, "members").filter(off < F.col("gap"))
+        chosen.filter("extra = 0").join(gaps, ["members", "range"]).filter(off < F.col("gap"))
         .groupBy("members").agg(F.min(F.struct(off.alias("off"), "hash", "size", "row")).alias("last"))
-        .select("members", F.col("last.row").alias("last"))
+        .select(F.col("last.row").alias("row"), F.lit(1).alias("last"))
     )
-    copies = F.col("whole") + F.col("extra") + F.when(F.col("row") == F.col("last"), 1).otherwise(0)
-    return chosen.join(last, "members", "left").select(
+    copies = F.col("whole") + F.col("extra") + F.coalesce("last", F.lit(0))
+    return chosen.join(last, "row", "left").select(
         "id", "row", "members", "size", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "source_sizes", "targets"
     )
 
