@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.functions.keys import exposure_subsystem, normal_key
@@ -28,6 +28,24 @@ def mapped_keys(mappings: DataFrame) -> DataFrame:
     )
 
 
+def asked_params(events: DataFrame, mappings: DataFrame) -> DataFrame:
+    """The events of mapped channels, each with only the parameters that some mapping reads from its channel.
+
+    Taken before a snapshot, it keeps what no keyword needs out of every shuffle. An event without parameters keeps its
+    null ``paramSet``; parameters that are not asked for are left out of their lists.
+    """
+    read = mappings.filter(F.col("event_key").isNotNull())
+    asked = read.groupBy(normal_key(F.col("event_key")).alias("event_key")).agg(F.collect_set("key_name").alias("names"))
+    kinds = events.schema["paramSet"].dataType.fieldNames()
+
+    def named(kind: str) -> Column:
+        return F.filter(F.col("paramSet")[kind], lambda p: F.array_contains("names", p["keyName"])).alias(kind)
+
+    kept = F.when(F.col("paramSet").isNotNull(), F.struct(*map(named, kinds)))
+    rows = events.join(broadcast_if_small(asked), "event_key").withColumn("paramSet", kept)
+    return rows.select(*events.columns)
+
+
 def keyword_outcomes(observes: DataFrame, snapshot: DataFrame, mappings: DataFrame) -> DataFrame:
     """One row per observe event and applicable mapping, with a value or the reason there is none.
 

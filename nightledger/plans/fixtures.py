@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nightledger.functions.times import micro_text
-from nightledger.operators.keywords import keyword_extract, mapped_keys
+from nightledger.operators.keywords import asked_params, keyword_extract, mapped_keys
 from nightledger.operators.layout import TIME_ORDER
 from nightledger.operators.mapping import merge_layers
 from nightledger.operators.snapshot import event_snapshot, observe_events
@@ -227,8 +227,9 @@ def mappings(spark: SparkSession) -> DataFrame:
 
 
 def mapped_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots of the channels the sample mappings read."""
-    return event_snapshot(stored_bus(spark, sf_dir), keys=mapped_keys(mappings(spark)))
+    """Snapshots of the channels the sample mappings read, with the parameters they read."""
+    bus, rules = stored_bus(spark, sf_dir), mappings(spark)
+    return event_snapshot(asked_params(bus, rules), keys=mapped_keys(rules), observes=observe_events(bus))
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
