@@ -18,8 +18,10 @@ CELL_OBSERVES = 64
 # Observe events are broadcast, as times per cell or as rows, if that takes at most this much by a generous estimate.
 BROADCAST_BYTES = 256 << 20
 CELL_ROW_BYTES, OBSERVE_ROW_BYTES = 64, 256
-# Cells are expanded in two steps of at most this many, so no row ever holds one array of all cells.
-CELL_BLOCK = 1024
+# Places are expanded in two steps of at most this many, so no row ever holds one array of all cells.
+EXPAND_BLOCK = 1024
+# Cells are numbered in blocks of so many; even cells of one second make fewer than 500 blocks a year.
+CELL_BLOCK = 1 << 16
 
 OBSERVE_COLUMNS = ["obs_event_id", "obs_time", "exposure_id", "obs_event_name"]
 
@@ -59,7 +61,7 @@ def _choose_cells(observes: DataFrame, cell_seconds: int | None) -> _Cells:
     One job over the observe events alone; it brings back one row per candidate length.
     """
     candidates = CELL_SECONDS if cell_seconds is None else [cell_seconds]
-    lengths = observes.select("obs_time", F.explode(F.array(*map(F.lit, candidates))).alias("seconds"))
+    lengths = observes.filter(F.col("obs_time").isNotNull()).select("obs_time", F.explode(F.array(*map(F.lit, candidates))).alias("seconds"))
     found = (
         lengths.groupBy("seconds", F.floor(F.unix_timestamp("obs_time") / F.col("seconds")).alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("obs_time").alias("first"), F.max("obs_time").alias("last"))
@@ -80,18 +82,39 @@ def _choose_cells(observes: DataFrame, cell_seconds: int | None) -> _Cells:
     return _Cells(best.seconds, best.first, best.last, best.cells, best.observes)
 
 
-def _expand_cells(rows: DataFrame) -> DataFrame:
-    """One row per cell from ``cell`` to ``until``, as ``at``; empty where ``until`` is before ``cell``."""
-    block = F.lit(CELL_BLOCK)
-    blocks = F.sequence(F.floor(F.col("cell") / block), F.floor(F.col("until") / block))
-    cells = F.sequence(
-        F.greatest(F.col("cell"), F.col("block") * block),
+def _places(cells: DataFrame) -> DataFrame:
+    """``(cell, asked, place)`` for ``(cell, asked)`` rows: ``place`` is the number of asked cells before the cell.
+
+    A cell is asked if one of its rows is. Cells are numbered inside blocks, and blocks by a running sum over one row
+    each.
+    """
+    before = (Window.unboundedPreceding, -1)
+    cells = cells.groupBy("cell").agg(F.max("asked").alias("asked"))
+    cells = cells.withColumn("block", F.floor(F.col("cell") / CELL_BLOCK))
+    in_block = Window.partitionBy("block").orderBy("cell").rowsBetween(*before)
+    blocks = Window.partitionBy(F.col("block") * 0).orderBy("block").rowsBetween(*before)
+    bases = cells.groupBy("block").agg(F.sum(F.col("asked").cast("int")).alias("n"))
+    bases = bases.select("block", F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum(F.col("asked").cast("int")).over(in_block), F.lit(0))
+    return (
+        cells.withColumn("inside", inside)
+        .join(bases, "block")
+        .select("cell", "asked", (F.col("base") + F.col("inside")).alias("place"))
+    )
+
+
+def _expand_places(rows: DataFrame) -> DataFrame:
+    """One row per asked cell from ``place`` to ``until``, as ``at``; empty where ``until`` is before ``place``."""
+    block = F.lit(EXPAND_BLOCK)
+    blocks = F.sequence(F.floor(F.col("place") / block), F.floor(F.col("until") / block))
+    places = F.sequence(
+        F.greatest(F.col("place"), F.col("block") * block),
         F.least(F.col("until"), F.col("block") * block + block - 1),
     )
     return (
-        rows.filter(F.col("until") >= F.col("cell"))
+        rows.filter(F.col("until") >= F.col("place"))
         .withColumn("block", F.explode(blocks))
-        .withColumn("at", F.explode(cells))
+        .withColumn("at", F.explode(places))
         .drop("block")
     )
 
@@ -111,9 +134,9 @@ def event_snapshot(
 
     Time is cut into cells that hold few observe events. Every event first learns the observe time it is next seen at
     within its cell and is reduced to the last one per channel, cell and observe time on the map side; only those rows
-    are shuffled. The last state of a cell is then carried into the cells after it, and a window inside each
-    (channel, cell) fills in the observe events. The windows' sizes depend on the number of cells and of observe
-    events per cell, never on how many events a channel has.
+    are shuffled. The last state of a cell is then carried into the cells after it that hold observe events, and into
+    no others; a window inside each (channel, cell) fills in the observe events. The windows' sizes depend on the number
+    of cells and of observe events per cell, never on how many events a channel has.
     """
     observes = observe_events(bus, names) if observes is None else observes
     chosen = _choose_cells(observes, cell_seconds)
@@ -121,14 +144,17 @@ def event_snapshot(
     # Everything before the first observe event's cell only matters for what it carries in: one cell holds it all.
     last = F.timestamp_micros(F.lit(chosen.last).cast("bigint"))
     earliest = _cell(F.timestamp_micros(F.lit(chosen.first).cast("bigint")), seconds) - 1
-    latest = _cell(last, seconds)
     is_obs = F.col("eventName").isin(*names)
     events = bus.filter(F.col("eventTimeStamp") <= last)
     if keys is not None:
         events = keep_values(events, "event_key", keys)
 
-    observes = observes.withColumn("cell", _cell(F.col("obs_time"), seconds))
+    # Cells are never null: a join would otherwise add a filter to one use of an aggregate and keep it from being shared.
+    never = F.lit(0).cast("bigint")
+    observes = observes.filter(F.col("obs_time").isNotNull())
+    observes = observes.withColumn("cell", F.coalesce(_cell(F.col("obs_time"), seconds), never))
     cells = observes.groupBy("cell").agg(F.sort_array(F.collect_set("obs_time")).alias("obs_times"))
+    asked_cells = cells.filter(F.size("obs_times") > 0).select("cell", F.lit(True).alias("asked"))
     # Beyond the size checked here the joins shuffle; both are inner or left equi-joins that AQE splits when skewed.
     if 8 * chosen.observes + CELL_ROW_BYTES * chosen.cells <= BROADCAST_BYTES:
         cells = F.broadcast(cells)
@@ -137,7 +163,7 @@ def event_snapshot(
     # An observe event is its own observe time and is told apart from others at that time by its id.
     next_seen = F.get(F.filter("obs_times", lambda t: t >= F.col("eventTimeStamp")), F.lit(0))
     seen = (
-        events.withColumn("cell", F.greatest(_cell(F.col("eventTimeStamp"), seconds), earliest))
+        events.withColumn("cell", F.coalesce(F.greatest(_cell(F.col("eventTimeStamp"), seconds), earliest), never))
         .join(cells, "cell", "left")
         .withColumn("slot", F.when(is_obs, F.col("eventTimeStamp")).otherwise(next_seen))
         .withColumn("slot_id", F.when(is_obs, F.col("eventId")))
@@ -148,30 +174,34 @@ def event_snapshot(
         )
     )
 
-    # The state each channel brings into every cell from its first one on.
+    # The state each channel brings into every asked cell from its first one on.
     # ``seen_at`` decides nothing here; naming it keeps the plan of ``seen`` the same in both its uses.
     order = F.struct("state.eventTimeStamp", F.col("slot_id").isNotNull(), "state.eventId", "seen_at")
     by_key = Window.partitionBy("event_key").orderBy("cell")
+    # The filters name what the columns alone would not need, so that these uses share the shuffles of the others.
+    whole = F.coalesce("state.eventTimeStamp", "seen_at").isNotNull()
+    places = _places(seen.filter(whole).select("cell", F.lit(False).alias("asked")).unionByName(asked_cells))
     ends = (
         seen.groupBy("event_key", "cell")
         .agg(F.max_by("state", order).alias("end"))
+        .join(places, "cell")
         .withColumn("before", F.lag("end").over(by_key))
-        .withColumn("until", F.coalesce(F.lead("cell").over(by_key) - 1, latest))
+        .withColumn("until", F.coalesce(F.lead("place").over(by_key), F.lit(chosen.cells).cast("bigint")) - 1)
     )
-    carried = _expand_cells(ends).select(
-        "event_key",
-        F.col("at").alias("cell"),
-        F.when(F.col("at") == F.col("cell"), F.col("before")).otherwise(F.col("end")).alias("carry"),
+    own = F.col("asked") & (F.col("at") == F.col("place"))
+    carried = _expand_places(ends).select(
+        "event_key", F.col("at").alias("place"), F.when(own, F.col("before")).otherwise(F.col("end")).alias("carry")
     )
 
     # One row per channel and observe event. A cell's first observe event also brings the carried state, as a row that
     # sorts before all others of the cell.
     in_cell = Window.partitionBy("cell").orderBy("obs_time", "obs_event_id")
     parts = F.when(F.rank().over(in_cell) == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    asking = observes.withColumn("parts", parts).withColumn("asks", F.explode("parts"))
+    asking = observes.join(_places(asked_cells).drop("asked"), "cell")
+    asking = asking.withColumn("parts", parts).withColumn("asks", F.explode("parts"))
     if OBSERVE_ROW_BYTES * chosen.observes <= BROADCAST_BYTES:
         asking = F.broadcast(asking)
-    asked = carried.join(asking, "cell").select(
+    asked = carried.join(asking, "place").select(
         "event_key",
         "cell",
         F.when(F.col("asks") == 1, F.col("obs_time")).alias("slot"),

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from nightledger.operators import snapshot as sn
+from nightledger.operators.keywords import asked_params
 from nightledger.operators.state import latest_per_key
 from nightledger.schema import EXPOSURE_END, OBSERVE_EVENTS
 from tests import helpers as h
@@ -113,3 +115,35 @@ def test_events_are_read_once_and_nothing_is_crossed(spark):
     assert "ReusedExchange" in final
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition", "Python"):
         assert word not in final.replace("PythonRDD", "").replace("ExistingRDD", "")
+
+
+def test_a_burst_and_a_long_quiet_span(spark):
+    day = 86400 * 1_000_000
+    burst = [h.observe(f"o{i}", 1_000_000 + i) for i in range(80)]
+    rows = [h.event("e1", "event_key_1", 5), h.event("e2", "event_key_2", day), *burst]
+    rows += [h.event("e3", "event_key_1", 20 * day), h.observe("late", 21 * day)]
+    df = sn.event_snapshot(h.bus(spark, rows))
+    assert h.snapshot_dict(df) == h.brute_force_snapshot(rows)
+
+
+def test_asked_cells_are_numbered_without_gaps(spark):
+    cells = [(-70000, True), (-70000, False), (0, False), (3, True), (65536, False), (65536, True), (200000, False)]
+    got = sn._places(spark.createDataFrame(cells, "cell long, asked boolean")).collect()
+    want = {(-70000, True, 0), (0, False, 1), (3, True, 1), (65536, True, 2), (200000, False, 3)}
+    assert {tuple(r) for r in got} == want
+    rows = spark.createDataFrame([("a", 1, 3000), ("b", 5, 4)], "k string, place long, until long")
+    assert sn._expand_places(rows).count() == 3000
+
+
+def test_only_asked_parameters_are_kept(spark):
+    rules = spark.createDataFrame([("iris.filter.event_key_1", "other")], "event_key string, key_name string")
+    rows = [h.event("e1", "event_key_1", 1, 7), h.event("e2", "event_key_2", 1, 7)]
+    rows.append(("e3", "IRIS.filter", "event_key_1", h.iso(2), None))
+    bus = h.bus(spark, rows)
+    key = bus.filter("eventId = 'e1'").first().event_key
+    kept = {r.eventId: r.paramSet for r in asked_params(bus, rules.withColumn("event_key", F.lit(key))).collect()}
+    assert set(kept) == {"e1", "e3"}
+    assert kept["e1"].IntKey == [] and kept["e3"] is None
+    named = rules.select(F.lit(key).alias("event_key"), F.lit("temperature").alias("key_name"))
+    kept = {r.eventId: r.paramSet for r in asked_params(bus, named).collect()}
+    assert kept["e1"].IntKey[0]["values"] == [7]
