@@ -78,3 +78,25 @@ def test_near_stage_keeps_one_of_copies_from_eighty_percent_on(spark):
     kept = dict(corpus_pipeline.STAGES)["near"](spark, table(spark, given), "")
     assert sorted(r.doc_id for r in kept.collect()) == [d for d, n, low in plain(given, 5, 80) if d == low]
     assert 2 not in {r.doc_id for r in kept.collect()}
+
+
+def respaced(rng, words):
+    """The words in lines of 12 to 14, indented, and with tabs and wide gaps between some of them."""
+    out, at = [], 0
+    while at < len(words):
+        n = rng.randint(12, 14)
+        out.append(" " * 16 + "".join(w + rng.choice([" "] * 6 + ["\t", "     "]) for w in words[at : at + n]))
+        at += n
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize(("shingle", "percent"), [(3, 90), (5, 80)])
+def test_copies_that_are_spaced_differently(spark, shingle, percent):
+    rng = random.Random(13)
+    given = []
+    for i in range(50):
+        base = [word(rng) for _ in range(rng.randint(100, 300))]
+        given += [(2 * i, " ".join(base)), (2 * i + 1, respaced(rng, changed(rng, base, 1)))]
+    got = jaccard.near_duplicates(table(spark, given), shingle=shingle, percent=percent)
+    want = plain(given, shingle, percent)
+    assert shown(got) == want and sum(d != low for d, _, low in want) == 50
