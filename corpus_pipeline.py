@@ -13,7 +13,7 @@ from nightledger.llm.tables import documents, ready, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and so do the frequent lines of those that stay."""
     ready(spark)
     return keep_good(docs)
 

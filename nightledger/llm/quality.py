@@ -4,6 +4,7 @@ Lines are normalised (A-Z in lower case, digits as 0, white space as one space)
 host when it stands in at least ``MIN_DOCS`` different texts and in ``SHARE`` of all different texts of the host; equal
 texts count once, so that copies of one document do not condemn each other. A document from which frequent lines take
 so much that fewer than ``LEFT_WORDS`` words or less than ``LEFT_SHARE`` of its words are left is depleted and rejected.
+``keep_good`` takes the frequent lines out of the documents that are kept; lines without words stay.
 
 The documents' line hashes are a small table (no texts). Copies of a text are reduced before lines are counted; counts
 are partial before they are shuffled. Frequent lines meet their documents by a join that Spark splits when it is hot.
@@ -19,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from nightledger.llm.registry import query
 from nightledger.llm.tables import documents, written
@@ -35,6 +37,9 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"abcdefghijklmnopqrstuvwxyz0000000000")
 
+#: The white space between words.
+BLANK = b" \t\n\v\f\r"
+
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -84,8 +89,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 repeats[i] = len(lines) - len(set(lines))
                 own: dict[int, int] = {}
                 for line, k in zip(lines, range(first[i], first[i + 1]), strict=True):
-                    digest = hashlib.blake2b(b" ".join(line.translate(PLAIN).split()), digest_size=8).digest()
-                    mark = int.from_bytes(digest, "little", signed=True)
+                    mark = line_mark(line)
                     own[mark] = own.get(mark, 0) + int(n[k])
                 hashes.append(list(own))
                 sizes.append(list(own.values()))
@@ -105,15 +109,22 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def line_mark(line: bytes) -> int:
+    """The hash of a line, normalised."""
+    digest = hashlib.blake2b(b" ".join(line.translate(PLAIN).split()), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
+
+
 def line_frequency(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source",
     min_docs: int = MIN_DOCS, share: float = SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
 ) -> DataFrame:
-    """For every row: id, row (its number in this run), mark of the text, the counts, base_failed, kept, n_frequent_words."""
+    """For every row: id, row (its number in this run), host, mark of the text, the counts, base_failed, kept,
+    n_frequent_words, and frequent, the hashes of its frequent lines (null where it has none)."""
     named = docs.select(
         F.col(id_column).cast("long").alias("id"),
         F.monotonically_increasing_id().alias("row"),
-        F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"),
+        host_label(host).alias("host"),
         F.xxhash64(F.col(text)).alias("mark"),
         F.col(text).alias("text"),
     )
@@ -129,20 +140,57 @@ def line_frequency(
         .select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w"))
         .join(frequent.select("host", "line"), ["host", "line"], "left_semi")
         .groupBy("row")
-        .agg(F.sum("w").alias("n_frequent_words"))
+        .agg(F.sum("w").alias("n_frequent_words"), F.collect_list("line").alias("frequent"))
     )
-    judged = table.drop("lines", "line_words", "host").join(taken, "row", "left").fillna(0, ["n_frequent_words"])
+    judged = table.drop("lines", "line_words").join(taken, "row", "left").fillna(0, ["n_frequent_words"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_frequent_words")
     depleted = (F.col("n_frequent_words") > 0) & ((left < left_words) | (left < left_share * F.col("n_words")))
     return judged.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
 
 
-def keep_good(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged."""
-    good = line_frequency(docs, id_column, text).filter("kept").select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    same = F.col(id_column).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__mark"))
-    return docs.join(good, same, "left_semi")
+def host_label(host: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))
+
+
+def without_lines(text: str):
+    """Rows with a text and ``__frequent``: the text without the lines of these hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = flat(batch.column(text))
+            raw, texts = data.tobytes(), []
+            for i, frequent in enumerate(batch.column("__frequent").to_pylist()):
+                own = raw[at[i] : at[i + 1]]
+                if frequent:
+                    gone = set(frequent)
+                    own = b"\n".join(x for x in own.split(b"\n") if not x.strip(BLANK) or line_mark(x) not in gone)
+                texts.append(own.decode("utf-8", "replace"))
+            names = [c for c in batch.schema.names if c != "__frequent"]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
+
+    return run
+
+
+def keep_good(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars"
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, without the lines that are frequent on their host.
+
+    Where a row has lost lines its ``n_chars``, if there is such a column, is counted anew. Nothing else changes.
+    """
+    keys = ["__id", "__host", "__mark"]
+    judged = line_frequency(docs, id_column, text, host=host).filter("kept")
+    good = judged.select(*(F.col(k[2:]).alias(k) for k in keys), F.col("frequent").alias("__frequent")).dropDuplicates(keys)
+    same = F.col(id_column).eqNullSafe(F.col("__id")) & (host_label(host) == F.col("__host")) & (F.xxhash64(F.col(text)) == F.col("__mark"))
+    kept = docs.join(good, same).select(docs["*"], "__frequent")
+    if n_chars not in docs.columns:
+        return kept.mapInArrow(without_lines(text), docs.schema)
+    shorter = kept.withColumn("__shorter", F.col("__frequent").isNotNull())
+    schema = StructType([*docs.schema.fields, StructField("__shorter", BooleanType())])
+    out = shorter.select(*docs.columns, "__shorter", "__frequent").mapInArrow(without_lines(text), schema)
+    counted = F.when(F.col("__shorter"), F.length(text)).otherwise(F.col(n_chars))
+    return out.withColumn(n_chars, counted.cast(docs.schema[n_chars].dataType)).drop("__shorter")
 
 
 WORD = r"[^\x20\x09-\x0D]+"
