@@ -147,6 +147,9 @@ NUMBER_PART = re.compile(rf"plus|{NUMERAL}|[0-9]", re.IGNORECASE)
 BRACKETED = re.compile(rf"[\[({{<]{GAP}(?:at|@|dot|\.){GAP}[\])}}>]")
 ONES = re.compile(r"one(?:[ \t]{1,2}|-|,[ \t]?)(?:one|[0-9])")
 NEXT = re.compile(rf"{NUMERAL}(?:[ \t]{{1,2}}|-|,[ \t]?)(?:{NUMERAL}|[0-9])")
+PLUS = re.compile(rf"plus[ \t]{{1,2}}{NUMERAL}")
+#: Letters that the patterns take for i and s, and lower case does not.
+FOLDED = re.compile("[İıſ]")
 OTHERS = tuple(SPELLED)[:1] + tuple(SPELLED)[2:]
 
 
@@ -157,6 +160,8 @@ def hinted(text: str) -> bool:
         any(dot in low for dot in (" dot ", "\tdot", "dot\t"))
         or (any(word in low for word in OTHERS) and NEXT.search(low) is not None)
         or ("one" in low and ONES.search(low) is not None)
+        or ("plus" in low and PLUS.search(low) is not None)
+        or (not text.isascii() and FOLDED.search(text) is not None)
         or any(c in low and BRACKETED.search(low) is not None for c in "[({<")
     )
 
