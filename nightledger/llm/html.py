@@ -8,13 +8,16 @@ of the nearest decided neighbour. Where a page marks its article, blocks outside
 it need no stop words, and open blocks look at neighbours inside it only.
 
 Nulls: a null page is empty and gives an empty text. Pages are handled one by one, so repeated rows, other columns and
-empty tables need no rule. Unclosed and stray tags are tolerated; a page cut off inside a tag loses that tag.
+empty tables need no rule. Unclosed and stray tags are tolerated; a page cut off inside a tag loses that tag. Raw text
+(scripts, styles and the like) without an end tag runs to the end of the page. Other dropped elements without one end where
+their parent does, options and selects also at the next block, buttons at the next article or other part of a page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +42,9 @@ STOP = frozenset(
 
 # Tags.
 DROPPED = frozenset("script style noscript template title head svg math iframe object select option textarea button canvas audio video".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+PARTS = frozenset("html body article main section nav header footer aside form dialog".split())
 NEVER = frozenset("nav footer aside form menu dialog".split())
 CONTAINERS = frozenset("html body div section article main nav header footer aside form menu dialog ul ol dl table tbody thead figure blockquote details".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr address figcaption summary fieldset legend caption center tfoot hgroup".split())
@@ -53,12 +59,15 @@ ASIDE = re.compile(
 )
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"<]{0,4096}\"|'[^'<]{0,4096}')*+>|[^>]*(?:>|\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+QUOTED = re.compile(r"=\s*+(?P<quote>[\"'])|>")
+#: Every attribute, so that nothing inside the value of one is taken for another.
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s\"'>/=]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+ASKED = frozenset("class id role itemprop".split())
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -81,6 +90,8 @@ def kind_of(tag: str, attrs: str, inside: bool) -> str:
         return ""
     for name, *values in ATTRIBUTE.findall(attrs):
         value = "".join(values)
+        if name.lower() not in ASKED:
+            continue
         if name.lower() == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog"):
             return "never"
         if ASIDE.search(value):
@@ -90,12 +101,75 @@ def kind_of(tag: str, attrs: str, inside: bool) -> str:
     return ""
 
 
+class Page:
+    """A page's text, and where its tags end."""
+
+    def __init__(self, text: str):
+        self.text, self.size = text, len(text)
+        self.last = {quote: text.rfind(quote) for quote in "\"'"}
+
+    def attributes(self, at: int) -> tuple[str, int]:
+        """The attributes from ``at`` on and the end of their tag; a quote that is never closed ends it at its first ``>``."""
+        begin = at
+        while m := QUOTED.search(self.text, at):
+            if m["quote"] is None:
+                return self.text[begin : m.start()], m.end()
+            if m.end() > self.last[m["quote"]]:
+                end = self.text.find(">", m.end())
+                return (self.text[begin:end], end + 1) if end >= 0 else (self.text[begin:], self.size)
+            at = self.text.find(m["quote"], m.end()) + 1
+        return self.text[begin:], self.size
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """The end of raw text, or of the page."""
+        close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(self.text, at)
+        return close.end() if close else self.size
+
+    def dropped_end(self, tag: str, at: int, around: Counter) -> int:
+        """The end of a dropped element; ``around`` counts the open tags that it stands in."""
+        opened, inside = [tag], Counter([tag])
+        while at < self.size:
+            m = TOKEN.match(self.text, at)
+            start, at = at, m.end()
+            name = (m["tag"] or "").lower()
+            if not name:
+                continue
+            attrs, at = self.attributes(at)
+            if m["end"]:
+                if not inside[name]:
+                    if around[name]:
+                        return start
+                    continue
+                closed = name
+            elif (tag in ("option", "select") and name in BLOCKS and name != "hr") or (tag == "button" and name in PARTS):
+                return start
+            elif name in ("option", "button") and inside[name]:  # its start ends the one before it
+                closed = name
+            else:
+                closed = ""
+            if closed:
+                while (popped := opened.pop()) != closed:
+                    inside[popped] -= 1
+                inside[closed] -= 1
+                if not opened:
+                    return at if m["end"] else start
+            if m["end"] or name in VOID or attrs.endswith("/"):
+                continue
+            if name in RAW and not (name == "title" and (inside["svg"] or inside["math"])):
+                at = self.raw_end(name, at)
+                continue
+            opened.append(name)
+            inside[name] += 1
+        return self.size
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     links = inside = never = header = heading = 0
     current: Block | None = None
+    whole, around = Page(page), Counter()
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
@@ -111,15 +185,21 @@ def blocks(page: str) -> list[Block]:
             continue
         if not tag:
             continue
+        attrs, at = whole.attributes(at)
         if tag in DROPPED and not m["end"]:
-            if m["attrs"].endswith("/>") and tag in ("svg", "math"):
+            if attrs.endswith("/") and tag in ("svg", "math"):
                 continue
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if close:
-                at = close.end()
+            if tag in RAW:
+                at = whole.raw_end(tag, at)
             elif tag != "head":
-                at = size
+                at = whole.dropped_end(tag, at, around)
+            elif close := re.compile(r"</head\b[^>]*(?:>|\Z)", re.I).search(page, at):
+                at = close.end()
             continue
+        if m["end"]:
+            around[tag] = max(0, around[tag] - 1)
+        elif tag not in VOID:
+            around[tag] += 1
         if tag == "a":
             links = 0 if m["end"] else 1
         elif tag in SPACED and current is not None:
@@ -131,12 +211,12 @@ def blocks(page: str) -> list[Block]:
             heading = 0 if m["end"] else 1
         if tag not in CONTAINERS:
             # A paragraph or cell of its own may also be marked as an advert or notice.
-            if tag in BLOCKS and not m["end"] and kind_of(tag, m["attrs"], True) == "never":
+            if tag in BLOCKS and not m["end"] and kind_of(tag, attrs, True) == "never":
                 current = Block(inside > 0, True)
                 out.append(current)
             continue
         if not m["end"]:
-            kind = kind_of(tag, m["attrs"], inside > 0)
+            kind = kind_of(tag, attrs, inside > 0)
             stack.append((tag, kind))
         elif any(t == tag for t, _ in stack):
             while stack.pop()[0] != tag:
