@@ -133,7 +133,7 @@ class Segments:
         k, w = shape.window, shape.window - shape.gram + 1
         # The smallest gram of 1, 2, 4, ... and at last w places, and where it is.
         best, place, wide = (grams >> np.uint64(32)).astype(np.uint32), np.arange(len(grams), dtype=np.int32), 1
-        while wide < w and len(best) > wide:
+        while wide < w and len(best) > min(wide, w - wide):
             step = min(wide, w - wide)
             right = best[step:] < best[:-step]
             best = np.where(right, best[step:], best[:-step])
