@@ -1,9 +1,11 @@
 """All queries of this subpackage; importing it registers them."""
 
 from nightledger.llm import (  # noqa: F401
+    audit,
     bpe,
     bytes_dedup,
     exact,
+    fim,
     html,
     jaccard,
     mixing,
