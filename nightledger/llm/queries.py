@@ -12,6 +12,7 @@ from nightledger.llm import (  # noqa: F401
     pii,
     quality,
     sharding,
+    warc,
     words_dedup,
 )
 from nightledger.llm.registry import ORACLE, QUERIES
