@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.keys import exposure_subsystem, normal_key
 from nightledger.functions.params import EVENT_MISSING, all_params, lookup
-from nightledger.operators.sizes import broadcast_if_small
-from nightledger.operators.snapshot import OBSERVE_COLUMNS
+from nightledger.operators.sizes import SMALL_VALUES, broadcast_if_small, few_values
+from nightledger.operators.snapshot import OBSERVE_COLUMNS, event_snapshot
 from nightledger.sources.config import CONSTANT
 
+#: What a mapping reads from its channel.
+ASKED = ["key_name", "key_index", "attribute"]
+
 
 def params_long(events: DataFrame) -> DataFrame:
     """One row per parameter of every event: type, name, units and values as text."""
@@ -81,6 +84,52 @@ def keyword_extract(observes: DataFrame, snapshot: DataFrame, mappings: DataFram
     return found.select(*OBSERVE_COLUMNS, "keyword", "value")
 
 
+def with_texts(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """Events with ``texts``, the value (or the reason there is none) of everything ``asked`` of their channel.
+
+    ``asked`` has one row per channel, with ``asks``, an array of ``ASKED`` structs. The parameter set is read where it
+    is scanned and goes no further.
+    """
+    kinds = events.schema["paramSet"].dataType
+
+    def text(ask: Column) -> Column:
+        return lookup(F.col("paramSet"), kinds, *[ask[c] for c in ASKED])
+
+    return events.join(asked, "event_key").withColumn("texts", F.transform("asks", text)).drop("asks", "paramSet")
+
+
+def keywords_from_bus(bus: DataFrame, observes: DataFrame, mappings: DataFrame) -> DataFrame:
+    """What ``keyword_extract`` gives for the snapshots of the bus, without shuffling a parameter set.
+
+    Of each event of a mapped channel only the few texts that mappings read from it take part in the snapshot; a rule
+    then takes its text by position.
+    """
+    rules = mappings.withColumn("subsystem", F.upper("subsystem"))
+    rules = rules.withColumn("event_key", normal_key(F.col("event_key")))
+    keys = few_values(rules, "event_key")
+
+    def config(table: DataFrame) -> DataFrame:
+        return table if keys is None else F.broadcast(table)  # no table made of the mappings has more rows than they
+
+    read = rules.filter((F.col("kind") != CONSTANT) & F.col("event_key").isNotNull())
+    asks = read.groupBy("event_key").agg(F.sort_array(F.collect_set(F.struct(*ASKED))).alias("asks"))
+    placed = read.join(config(asks), "event_key").select(
+        "subsystem", "obs_event_name", "event_key", "keyword", F.array_position("asks", F.struct(*ASKED)).cast("int").alias("slot")
+    )
+    few = keys is not None and len(keys) <= SMALL_VALUES
+    mapped = bus.filter(F.col("event_key").isin(*keys)) if few else bus
+    events = with_texts(mapped, config(asks))
+    asked = observes.withColumn("subsystem", exposure_subsystem(F.col("exposure_id")))
+    reading = asked.join(config(placed), ["subsystem", "obs_event_name"], "left_semi")
+    snapshot = event_snapshot(events, observes=reading, columns=["texts"])
+    met = snapshot.join(config(placed), ["subsystem", "obs_event_name", "event_key"])
+    found = met.withColumn("o", F.get("texts", F.col("slot") - 1)).filter(F.col("o.reason").isNull())
+    constants = rules.filter(F.col("kind") == CONSTANT).select("subsystem", "obs_event_name", "keyword", "value")
+    given = asked.join(config(constants), ["subsystem", "obs_event_name"])
+    out = [*OBSERVE_COLUMNS, "keyword"]
+    return given.select(*out, "value").unionByName(found.select(*out, F.col("o.value").alias("value")))
+
+
 def keyword_rejects(observes: DataFrame, snapshot: DataFrame, mappings: DataFrame) -> DataFrame:
     """The keywords that got no value, with the reason."""
     lost = keyword_outcomes(observes, snapshot, mappings).filter(F.col("reason").isNotNull())

@@ -9,6 +9,12 @@ SMALL_ROWS = 100_000
 SMALL_VALUES = 1_000
 
 
+def few_values(config: DataFrame, column: str, max_rows: int = SMALL_ROWS) -> list | None:
+    """The values of a column of a table with at most ``max_rows`` rows, nulls left out; None if it has more rows."""
+    found = [row[0] for row in config.select(column).limit(max_rows + 1).collect()]
+    return None if len(found) > max_rows else sorted({value for value in found if value is not None})
+
+
 def broadcast_if_small(config: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """A table marked for broadcast if it has few rows, otherwise the table itself, for Spark to shuffle.
 

@@ -14,14 +14,13 @@ from nightledger.schema import OBSERVE_EVENTS
 
 # Lengths, in seconds, a time cell may have, and the most observe events a cell should hold.
 CELL_SECONDS = [86400 * 30, 86400 * 7, 86400, 21600, 3600, 600, 60, 10, 1]
-CELL_OBSERVES = 64
+CELL_OBSERVES = 128
 # Observe events are broadcast, as times per cell or as rows, if that takes at most this much by a generous estimate.
 BROADCAST_BYTES = 256 << 20
 CELL_ROW_BYTES, OBSERVE_ROW_BYTES = 64, 256
-# Places are expanded in two steps of at most this many, so no row ever holds one array of all cells.
-EXPAND_BLOCK = 1024
-# Cells are numbered in blocks of so many; even cells of one second make fewer than 500 blocks a year.
-CELL_BLOCK = 1 << 16
+# States are carried over cells in blocks of so many (two to the bits), over blocks in blocks of blocks, and so on.
+CARRY_BITS = 10
+CARRY_BLOCK = 1 << CARRY_BITS
 
 OBSERVE_COLUMNS = ["obs_event_id", "obs_time", "exposure_id", "obs_event_name"]
 
@@ -82,40 +81,36 @@ def _choose_cells(observes: DataFrame, cell_seconds: int | None) -> _Cells:
     return _Cells(best.seconds, best.first, best.last, best.cells, best.observes)
 
 
-def _places(cells: DataFrame) -> DataFrame:
-    """``(cell, asked, place)`` for ``(cell, asked)`` rows: ``place`` is the number of asked cells before the cell.
+def _last_of(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The last row of every group. Each task keeps one row per group before anything is shuffled."""
+    newest = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
+    return rows.withColumn("newest", F.row_number().over(newest)).filter(F.col("newest") == 1).drop("newest")
 
-    A cell is asked if one of its rows is. Cells are numbered inside blocks, and blocks by a running sum over one row
-    each.
-    """
-    before = (Window.unboundedPreceding, -1)
-    cells = cells.groupBy("cell").agg(F.max("asked").alias("asked"))
-    cells = cells.withColumn("block", F.floor(F.col("cell") / CELL_BLOCK))
-    in_block = Window.partitionBy("block").orderBy("cell").rowsBetween(*before)
-    blocks = Window.partitionBy(F.col("block") * 0).orderBy("block").rowsBetween(*before)
-    bases = cells.groupBy("block").agg(F.sum(F.col("asked").cast("int")).alias("n"))
-    bases = bases.select("block", F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum(F.col("asked").cast("int")).over(in_block), F.lit(0))
-    return (
-        cells.withColumn("inside", inside)
-        .join(bases, "block")
-        .select("cell", "asked", (F.col("base") + F.col("inside")).alias("place"))
-    )
 
+def _carried(ends: DataFrame, asked: DataFrame, units: int, columns: list[str], small: bool) -> DataFrame:
+    """``(event_key, at, *columns)``: what each channel brings into each asked unit from the units before it.
 
-def _expand_places(rows: DataFrame) -> DataFrame:
-    """One row per asked cell from ``place`` to ``until``, as ``at``; empty where ``until`` is before ``place``."""
-    block = F.lit(EXPAND_BLOCK)
-    blocks = F.sequence(F.floor(F.col("place") / block), F.floor(F.col("until") / block))
-    places = F.sequence(
-        F.greatest(F.col("place"), F.col("block") * block),
-        F.least(F.col("until"), F.col("block") * block + block - 1),
-    )
+    ``ends`` holds a channel's last state in a unit ``at`` (0 to ``units`` - 1), ``asked`` the units ``at`` to answer.
+    Units form blocks of ``CARRY_BLOCK``. What a channel brings into a block is found in the same way from the last
+    states of the blocks; inside a block every state is given to the asked units from the next one on to the next unit
+    with a state of its own. So no window holds more than ``CARRY_BLOCK`` + 1 rows.
+    """
+    block = F.shiftright("at", CARRY_BITS)
+    rows = ends.select("event_key", block.alias("block"), "at", *columns)
+    if units > CARRY_BLOCK:
+        upper = _last_of(rows, ["event_key", "block"], ["at"]).select("event_key", F.col("block").alias("at"), *columns)
+        blocks = asked.select(block.alias("at")).distinct()
+        above = _carried(upper, blocks, -(-units // CARRY_BLOCK), columns, small)
+        before = F.col("at") * CARRY_BLOCK - 1
+        rows = rows.unionByName(above.select("event_key", F.col("at").alias("block"), before.alias("at"), *columns))
+    units_of = asked.groupBy(block.alias("block")).agg(F.collect_set("at").alias("units"))
+    following = F.lead("at").over(Window.partitionBy("event_key", "block").orderBy("at"))
+    until = F.coalesce(following, (F.col("block") + 1) * CARRY_BLOCK - 1)
+    met = F.filter("units", lambda unit: (unit > F.col("at")) & (unit <= F.col("until")))
     return (
-        rows.filter(F.col("until") >= F.col("place"))
-        .withColumn("block", F.explode(blocks))
-        .withColumn("at", F.explode(places))
-        .drop("block")
+        rows.withColumn("until", until)
+        .join(F.broadcast(units_of) if small else units_of, "block")
+        .select("event_key", F.explode(met).alias("at"), *columns)
     )
 
 
@@ -125,102 +120,80 @@ def event_snapshot(
     keys: DataFrame | None = None,
     observes: DataFrame | None = None,
     cell_seconds: int | None = None,
+    columns: list[str] = EVENT_COLUMNS,
 ) -> DataFrame:
     """For every observe event and channel, the channel's last event at or before it.
 
     ``bus`` has ``event_key`` and the event columns, observe events included; order is by time, then observe events
     after others, then event id. ``keys`` (a column ``event_key``) limits the channels; ``observes`` limits the observe
-    events that are answered, which are otherwise all in ``bus``.
-
-    Time is cut into cells that hold few observe events. Every event first learns the observe time it is next seen at
-    within its cell and is reduced to the last one per channel, cell and observe time on the map side; only those rows
-    are shuffled. The last state of a cell is then carried into the cells after it that hold observe events, and into
-    no others; a window inside each (channel, cell) fills in the observe events. The windows' sizes depend on the number
-    of cells and of observe events per cell, never on how many events a channel has.
+    events that are answered, which are otherwise all in ``bus``; it may have more columns, which the result then has as
+    well. ``columns`` are those of the events to return; with
+    few of them the shuffles are narrow.
+
+    Time is cut into cells that hold few observe events. Every event first learns the place, in its cell's list of
+    observe events, of the first one that sees it, and is reduced to the last one per channel, cell and place before
+    it is shuffled. The last state of a cell is carried into the later cells that hold observe events, block by block.
+    A state then answers the places from its own up to that of the channel's next state in the cell, and only there are
+    rows made for observe events. Windows hold at most the places of one cell or ``CARRY_BLOCK`` units, however many
+    events a channel has; there is no join on a range.
     """
     observes = observe_events(bus, names) if observes is None else observes
     chosen = _choose_cells(observes, cell_seconds)
     seconds = chosen.seconds
     # Everything before the first observe event's cell only matters for what it carries in: one cell holds it all.
     last = F.timestamp_micros(F.lit(chosen.last).cast("bigint"))
-    earliest = _cell(F.timestamp_micros(F.lit(chosen.first).cast("bigint")), seconds) - 1
+    first_cell, last_cell = (0 if t is None else t // 10**6 // seconds for t in (chosen.first, chosen.last))
+    earliest = first_cell - 1
     is_obs = F.col("eventName").isin(*names)
     events = bus.filter(F.col("eventTimeStamp") <= last)
     if keys is not None:
         events = keep_values(events, "event_key", keys)
 
-    # Cells are never null: a join would otherwise add a filter to one use of an aggregate and keep it from being shared.
-    never = F.lit(0).cast("bigint")
     observes = observes.filter(F.col("obs_time").isNotNull())
-    observes = observes.withColumn("cell", F.coalesce(_cell(F.col("obs_time"), seconds), never))
-    cells = observes.groupBy("cell").agg(F.sort_array(F.collect_set("obs_time")).alias("obs_times"))
-    asked_cells = cells.filter(F.size("obs_times") > 0).select("cell", F.lit(True).alias("asked"))
-    # Beyond the size checked here the joins shuffle; both are inner or left equi-joins that AQE splits when skewed.
-    if 8 * chosen.observes + CELL_ROW_BYTES * chosen.cells <= BROADCAST_BYTES:
-        cells = F.broadcast(cells)
-
-    # Last event per channel, cell and next observe time; no observe time after it in the cell gives null.
-    # An observe event is its own observe time and is told apart from others at that time by its id.
-    next_seen = F.get(F.filter("obs_times", lambda t: t >= F.col("eventTimeStamp")), F.lit(0))
-    seen = (
-        events.withColumn("cell", F.coalesce(F.greatest(_cell(F.col("eventTimeStamp"), seconds), earliest), never))
-        .join(cells, "cell", "left")
-        .withColumn("slot", F.when(is_obs, F.col("eventTimeStamp")).otherwise(next_seen))
-        .withColumn("slot_id", F.when(is_obs, F.col("eventId")))
-        .groupBy("slot", "cell", "event_key", "slot_id")
-        .agg(
-            F.max_by(F.struct(*EVENT_COLUMNS), F.struct("eventTimeStamp", "eventId")).alias("state"),
-            F.max("slot").alias("seen_at"),
-        )
-    )
-
-    # The state each channel brings into every asked cell from its first one on.
-    # ``seen_at`` decides nothing here; naming it keeps the plan of ``seen`` the same in both its uses.
-    order = F.struct("state.eventTimeStamp", F.col("slot_id").isNotNull(), "state.eventId", "seen_at")
-    by_key = Window.partitionBy("event_key").orderBy("cell")
-    # The filters name what the columns alone would not need, so that these uses share the shuffles of the others.
-    whole = F.coalesce("state.eventTimeStamp", "seen_at").isNotNull()
-    places = _places(seen.filter(whole).select("cell", F.lit(False).alias("asked")).unionByName(asked_cells))
-    ends = (
-        seen.groupBy("event_key", "cell")
-        .agg(F.max_by("state", order).alias("end"))
-        .join(places, "cell")
-        .withColumn("before", F.lag("end").over(by_key))
-        .withColumn("until", F.coalesce(F.lead("place").over(by_key), F.lit(chosen.cells).cast("bigint")) - 1)
-    )
-    own = F.col("asked") & (F.col("at") == F.col("place"))
-    carried = _expand_places(ends).select(
-        "event_key", F.col("at").alias("place"), F.when(own, F.col("before")).otherwise(F.col("end")).alias("carry")
+    more = [c for c in observes.columns if c not in OBSERVE_COLUMNS]
+    asking = observes.withColumn("cell", _cell(F.col("obs_time"), seconds) - earliest)
+    asks = asking.groupBy("cell").agg(
+        F.sort_array(F.collect_list(F.struct("obs_time", "obs_event_id", "exposure_id", "obs_event_name", *more))).alias("asks")
     )
-
-    # One row per channel and observe event. A cell's first observe event also brings the carried state, as a row that
-    # sorts before all others of the cell.
-    in_cell = Window.partitionBy("cell").orderBy("obs_time", "obs_event_id")
-    parts = F.when(F.rank().over(in_cell) == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    asking = observes.join(_places(asked_cells).drop("asked"), "cell")
-    asking = asking.withColumn("parts", parts).withColumn("asks", F.explode("parts"))
+    # Naming the lists, which are never empty, keeps this use of the aggregate the same as the others.
+    asked = asks.filter(F.size("asks") > 0).select(F.col("cell").alias("at"))
+    # Beyond the sizes checked here the joins shuffle; all are inner or left equi-joins that AQE splits when skewed.
     if OBSERVE_ROW_BYTES * chosen.observes <= BROADCAST_BYTES:
-        asking = F.broadcast(asking)
-    asked = carried.join(asking, "place").select(
-        "event_key",
-        "cell",
-        F.when(F.col("asks") == 1, F.col("obs_time")).alias("slot"),
-        F.when(F.col("asks") == 1, F.col("obs_event_id")).alias("slot_id"),
-        F.when(F.col("asks") == 0, F.col("carry")).alias("state"),
-        "asks",
-        *OBSERVE_COLUMNS,
-    )
-    # Filtered by an output of the aggregate, not by its key, so that the filter stays above it: both uses of ``seen``
-    # share one shuffle and the events are read once.
-    told = seen.filter(F.col("seen_at").isNotNull()).drop("seen_at").withColumn("asks", F.lit(0))
-    running = (
-        Window.partitionBy("event_key", "cell")
-        .orderBy(F.col("slot").asc_nulls_first(), F.col("slot_id").asc_nulls_first(), "asks")
-        .rowsBetween(Window.unboundedPreceding, 0)
+        asks = F.broadcast(asks)
+    small = CELL_ROW_BYTES * chosen.cells <= BROADCAST_BYTES
+
+    # An observe event is seen from its own place on, any other event from the first place not before it.
+    at, name = F.col("eventTimeStamp"), F.col("eventId")
+    earlier = F.size(F.filter("asks.obs_time", lambda t: t < at))
+    same = F.filter("asks", lambda ask: (ask["obs_time"] == at) & (ask["obs_event_id"] < name))
+    place = F.coalesce(earlier + F.when(is_obs, F.size(same)).otherwise(0), F.lit(0))
+    order = ["eventTimeStamp", "is_obs", "eventId"]
+    kept = list(dict.fromkeys([*columns, "eventTimeStamp", "eventId"]))
+    # Cells are never null: a join would otherwise add a filter to one use of ``seen`` and keep its shuffle from being
+    # shared by the others.
+    cell = F.greatest(_cell(F.col("eventTimeStamp"), seconds), F.lit(earliest)) - earliest
+    placed = (
+        events.withColumn("cell", F.coalesce(cell, F.lit(0).cast("bigint")))
+        .join(asks, "cell", "left")
+        .select("event_key", "cell", place.alias("place"), is_obs.alias("is_obs"), *kept)
     )
-    return (
-        told.unionByName(asked, allowMissingColumns=True)
-        .withColumn("found", F.last("state", ignorenulls=True).over(running))
-        .filter((F.col("asks") == 1) & F.col("found").isNotNull())
-        .select(*OBSERVE_COLUMNS, "event_key", "found.*")
+    seen = _last_of(placed, ["event_key", "cell", "place"], order)
+
+    ends = _last_of(seen, ["event_key", "cell"], ["place"])
+    ends = ends.select("event_key", F.col("cell").alias("at"), *kept)
+    carried = _carried(ends, asked, last_cell - earliest + 1, kept, small)
+    carried = carried.select("event_key", F.col("at").alias("cell"), F.lit(-1).alias("place"), *kept)
+
+    following = F.lead("place").over(Window.partitionBy("event_key", "cell").orderBy("place"))
+    answers = (
+        seen.select("event_key", "cell", "place", *kept)
+        .unionByName(carried)
+        .withColumn("until", following)
+        .join(asks, "cell")
+        .withColumn("place", F.greatest("place", F.lit(0)))
+        .withColumn("n", F.coalesce("until", F.size("asks")) - F.col("place"))
+        .filter(F.col("n") > 0)
     )
+    return answers.select(
+        F.inline(F.slice("asks", F.col("place") + 1, F.col("n"))), "event_key", *columns
+    ).select(*OBSERVE_COLUMNS, *more, "event_key", *columns)

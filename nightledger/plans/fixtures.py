@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nightledger.functions.times import micro_text
-from nightledger.operators.keywords import asked_params, keyword_extract, mapped_keys
+from nightledger.operators.keywords import asked_params, keywords_from_bus, mapped_keys
 from nightledger.operators.layout import TIME_ORDER
 from nightledger.operators.mapping import merge_layers
 from nightledger.operators.snapshot import event_snapshot, observe_events
@@ -233,7 +233,7 @@ def mapped_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_extract(observes(spark, sf_dir), mapped_snapshot(spark, sf_dir), mappings(spark))
+    return keywords_from_bus(stored_bus(spark, sf_dir), observes(spark, sf_dir), mappings(spark))
 
 
 def keyword_values(spark: SparkSession, sf_dir: str) -> DataFrame:

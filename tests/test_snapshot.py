@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from nightledger.operators import keywords
 from nightledger.operators import snapshot as sn
-from nightledger.operators.keywords import asked_params
+from nightledger.operators.keywords import asked_params, keyword_extract, keywords_from_bus
 from nightledger.operators.state import latest_per_key
+from nightledger.plans import fixtures as fx
 from nightledger.schema import EXPOSURE_END, OBSERVE_EVENTS
 from tests import helpers as h
 
@@ -126,13 +128,31 @@ def test_a_burst_and_a_long_quiet_span(spark):
     assert h.snapshot_dict(df) == h.brute_force_snapshot(rows)
 
 
-def test_asked_cells_are_numbered_without_gaps(spark):
-    cells = [(-70000, True), (-70000, False), (0, False), (3, True), (65536, False), (65536, True), (200000, False)]
-    got = sn._places(spark.createDataFrame(cells, "cell long, asked boolean")).collect()
-    want = {(-70000, True, 0), (0, False, 1), (3, True, 1), (65536, True, 2), (200000, False, 3)}
-    assert {tuple(r) for r in got} == want
-    rows = spark.createDataFrame([("a", 1, 3000), ("b", 5, 4)], "k string, place long, until long")
-    assert sn._expand_places(rows).count() == 3000
+def test_states_are_carried_over_many_blocks(spark):
+    """Half a million cells: each asked one gets the last state before it, by hand and by windows of a few hundred rows."""
+    units, rng = 500_000, random.Random(13)
+    ends = [("hot", at) for at in rng.sample(range(units), 3000)] + [("once", 70), ("last", units - 1)]
+    asked = sorted(rng.sample(range(units), 400))
+    table = spark.createDataFrame([(key, at, f"{key}-{at}") for key, at in ends], "event_key string, at long, v string")
+    got = sn._carried(table, spark.createDataFrame([(a,) for a in asked], "at long"), units, ["v"], True)
+    want = {}
+    for key in ("hot", "once", "last"):
+        own = sorted(at for k, at in ends if k == key)
+        for a in asked:
+            earlier = [at for at in own if at < a]
+            if earlier:
+                want[(key, a)] = f"{key}-{earlier[-1]}"
+    rows = got.collect()
+    assert {(r.event_key, r.at): r.v for r in rows} == want and len(rows) == len(want)
+
+
+def test_windows_are_bounded_and_the_output_is_not_shuffled(spark):
+    """Every window is over a cell or a block of cells, and rows per observe event are made after the last shuffle."""
+    text = h.plan(sn.event_snapshot(h.bus(spark, random_rows(14, 300, 5, 20 * MINUTE, 200))))
+    windows = [line.split("Window [")[1] for line in text.splitlines() if " Window [" in line]
+    assert windows and all("cell#" in w or "block#" in w for w in windows)
+    assert text.index("inline(") < text.index("Exchange")
+    assert "SortAggregate" not in text
 
 
 def test_only_asked_parameters_are_kept(spark):
@@ -147,3 +167,24 @@ def test_only_asked_parameters_are_kept(spark):
     named = rules.select(F.lit(key).alias("event_key"), F.lit("temperature").alias("key_name"))
     kept = {r.eventId: r.paramSet for r in asked_params(bus, named).collect()}
     assert kept["e1"].IntKey[0]["values"] == [7]
+
+
+def test_keywords_from_the_bus_equal_those_of_snapshots(spark, monkeypatch):
+    rows = []
+    for i, r in enumerate(random_rows(15, 300, 9, 20 * MINUTE, 40)):
+        rows.append((r[0], "ESW.filter" if i % 2 and r[1] != "ESW.observe" else r[1], *r[2:]))
+    bus, rules = h.bus(spark, rows), fx.mappings(spark)
+    observes = sn.observe_events(bus)
+    want = sorted(map(tuple, keyword_extract(observes, sn.event_snapshot(bus), rules).collect()))
+    assert want and sorted(map(tuple, keywords_from_bus(bus, observes, rules).collect())) == want
+    monkeypatch.setattr(keywords, "few_values", lambda *_: None)  # as with mappings too large to broadcast
+    assert sorted(map(tuple, keywords_from_bus(bus, observes, rules).collect())) == want
+
+
+def test_no_parameter_set_is_shuffled_for_keywords(spark):
+    bus = h.bus(spark, random_rows(16, 100, 5, 20 * MINUTE, 20))
+    df = keywords_from_bus(bus, sn.observe_events(bus), fx.mappings(spark))
+    text = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    shuffled = [part for part in text.split("\n\n") if "Exchange" in part.split("\n")[0]]
+    assert shuffled and not any("paramSet" in part for part in shuffled)
+    assert "SortAggregate" not in text
