@@ -23,7 +23,8 @@ from nightledger.sources.archive import archive_rows, read_archive, write_archiv
 from nightledger.sources.config import classify_mappings
 from nightledger.sources.landing import read_landing_stream, with_key, write_landing
 from nightledger.sources.tables import read_keyword_values, write_keyword_values
-from nightledger.streaming.exposure import start_exposures
+from nightledger.streaming.convert import start_conversion
+from nightledger.streaming.exposure import reconcile, start_exposures
 
 PARAM_TYPES = ["IntKey", "DoubleKey", "StringKey"]
 EVENT = event_schema(PARAM_TYPES)
@@ -107,8 +108,13 @@ def as_observes(rows: DataFrame, name: F.Column, number: F.Column, instrument: F
 
 
 def observe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One observe event per signup and purchase."""
+    return observe_rows(events(spark, sf_dir))
+
+
+def observe_rows(rows: DataFrame) -> DataFrame:
     """Signups start an exposure and purchases end one; twenty consecutive ids share an exposure."""
-    rows = events(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase"))
+    rows = rows.filter(F.col("event_type").isin("signup", "purchase"))
     name = F.when(F.col("event_type") == "signup", EXPOSURE_START).otherwise(EXPOSURE_END)
     instruments = F.array(F.lit("IRIS"), F.lit("WFOS"), F.lit("ESW"))
     return as_observes(rows, name, exposure_number(), F.get(instruments, (exposure_number() % 3).cast("int")))
@@ -279,8 +285,15 @@ def customer_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: How late events may be in the registered streams: an hour, where the events span a month.
+LATENESS_SECONDS = 3600
+
+
 def run_exposure_stream(spark: SparkSession, sf_dir: str) -> str:
-    """Land the bus in three time spans, the earliest one last, and run the exposure stream after each."""
+    """Land the bus in three time spans, the earliest one last, and run the exposure stream after each.
+
+    The events of the last span are far too late for the stream; converted with the others, they are reconciled.
+    """
 
     def build(root: str) -> None:
         rows = bus(spark, sf_dir)
@@ -288,18 +301,16 @@ def run_exposure_stream(spark: SparkSession, sf_dir: str) -> str:
         cuts = [lo + (hi - lo) * i // 3 for i in range(3)] + [hi + 1]
         spans = list(zip(cuts, cuts[1:]))
         at = F.unix_micros("eventTimeStamp")
+        now = {"availableNow": True}
         for start, end in spans[1:] + spans[:1]:
             span = rows.filter((at >= start) & (at < end))
             write_landing(span.select(*EVENT.fieldNames()), f"{root}/landing")
             landed = read_landing_stream(spark, f"{root}/landing", EVENT)
-            start_exposures(
-                landed,
-                root,
-                f"{root}/checkpoint",
-                mappings,
-                {"availableNow": True},
-                lateness_seconds=(hi - lo) // 10**6 + 1,
-            ).awaitTermination()
+            start_exposures(landed, root, f"{root}/checkpoint", mappings, now, LATENESS_SECONDS).awaitTermination()
+        start_conversion(
+            spark, f"{root}/landing", f"{root}/archive", f"{root}/converted", EVENT, trigger=now
+        ).awaitTermination()
+        reconcile(spark, root, read_archive(spark, f"{root}/archive", EVENT), PARAMS, mappings)
 
     return built(spark, sf_dir, "exposures", build)
 

@@ -27,15 +27,18 @@ def stream_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch._archived(store.read_archive(spark, f"{path}/archive", fx.EVENT))
 
 
-@query("stream_ingest", fx.sql(f"SELECT {batch._SHOWN} FROM bus WHERE is_obs = 0", "bus"))
+@query("stream_ingest", fx.sql(f"SELECT {batch._SHOWN} FROM bus", "bus"))
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole bus: telemetry and observe events are two streams, landed by one job under one checkpoint."""
     path = scratch(spark, "ingested")
     schema = fx.table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    telemetry = fx.as_telemetry(fx.event_columns(rows))
-    convert.start_ingest(
-        telemetry, f"{path}/landing", f"{path}/checkpoint", file_events=2000, trigger=_NOW
-    ).awaitTermination()
+
+    def rows() -> DataFrame:
+        source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+        return fx.event_columns(source.parquet(sf_dir))
+
+    bus = landing.merge_streams(fx.as_telemetry(rows()), fx.observe_rows(rows()))
+    convert.start_ingest(bus, f"{path}/landing", f"{path}/checkpoint", file_events=2000, trigger=_NOW).awaitTermination()
     return batch._shown(landing.read_landing(spark, f"{path}/landing", fx.EVENT))
 
 

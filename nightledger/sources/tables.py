@@ -45,9 +45,13 @@ def write_snapshots(snapshot: DataFrame, path: str, mode: str = "append") -> Non
     _write(rows, path, ["obs_date"], ["obs_date", "exposure_id", "eventid"], mode)
 
 
-def write_keyword_values(values: DataFrame, path: str, batch_id: int) -> None:
-    """Store keyword values under their batch id; writing the same batch again replaces it, also by no rows."""
-    _write(values, f"{path.rstrip('/')}/batch_id={batch_id}", [], ["exposure_id", "keyword"], "overwrite")
+def write_keyword_values(values: DataFrame, path: str, batch_id: int, revision: int | None = None) -> None:
+    """Store keyword values under their batch id; writing the same batch again replaces it, also by no rows.
+
+    A table whose batches are revised has a folder per revision in that of the batch.
+    """
+    folder = f"{path.rstrip('/')}/batch_id={batch_id}" + ("" if revision is None else f"/revision={revision}")
+    _write(values, folder, [], ["exposure_id", "keyword"], "overwrite")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:

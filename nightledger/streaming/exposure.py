@@ -1,39 +1,47 @@
 """Channel state, snapshots and keyword values kept up to date by one stream.
 
-Events may arrive out of order. The state holds every event of the last ``lateness_seconds`` before the newest time seen,
-and the last event of each channel before that; its size follows the event rate and the number of channels. A micro-batch
-answers its own observe events, and answers again those of the state that its earliest event could change, so what is
-stored at the end does not depend on how files were admitted. Readers take an observe event's rows from the newest batch
-that answered it. An event older than the lateness only counts for the channel state; it is listed in the rejects, and so
-is an event without a valid time.
-
-The state has two slots. A micro-batch reads the newest state of an earlier batch and writes the other slot; all other
-rows are written under its batch id. Running a batch again replaces what it wrote.
+Events may arrive out of order. A micro-batch first stores its events, then answers its own observe events, and answers
+again those of the last ``lateness_seconds`` that its earliest event could change; so what is stored does not depend on
+how files were admitted. Readers take an observe event's rows from the newest answer to it. State lies in generations
+(see ``generations``).
+
+An event older than the lateness counts for the state of its channel and is kept in the ``late`` table. It may change
+answers that were given long before, and an observe event as old as that cannot be answered from a state that has let go
+of its past. ``reconcile`` mends both: late observe events are looked up in the archive, by day and channel, and stored
+answers take over late events where these are newer than what they hold. Late events, and those without a valid time, are
+listed in the rejects as well.
+
+All rows are written under their batch id; running a batch again replaces what it wrote.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from nightledger.operators.keywords import keyword_extract
-from nightledger.operators.snapshot import event_snapshot, observe_events
+from nightledger.operators.lookup import archive_snapshot
+from nightledger.operators.snapshot import OBSERVE_COLUMNS, event_snapshot, observe_events
 from nightledger.operators.state import EVENT_COLUMNS, latest_per_key
 from nightledger.schema import OBSERVE_EVENTS
+from nightledger.session import scratch
+from nightledger.sources import files
 from nightledger.sources.archive import archive_rows
 from nightledger.sources.landing import with_key
 from nightledger.sources.tables import SNAPSHOT_COLUMNS, snapshot_table, write_keyword_values
+from nightledger.streaming import generations
 
-STATE = "state"
 SNAPSHOTS = "snapshots"
 KEYWORDS = "keywords"
 REJECTS = "rejects"
+LATE_EVENTS = "late"
+RECONCILED = "reconciled"
 BATCH = "batch_id"
-SLOT = "slot"
+REVISION = "revision"
 
 LATENESS_SECONDS = 60
 # Before and after every time in microseconds.
@@ -41,88 +49,145 @@ EARLIEST, LATEST = -(1 << 62), 1 << 62
 NO_VALID_TIME = "NO_VALID_TIME"
 LATE = "LATE"
 
-
-def bus_rows(events: DataFrame) -> DataFrame:
-    """The columns of keyed, parsed events that take part; those without a valid time do not."""
-    return events.filter(F.col("eventTimeStamp").isNotNull()).select("event_key", *EVENT_COLUMNS)
-
-
-def state_schema(params: T.StructType) -> T.StructType:
-    text = [T.StructField(n, T.StringType()) for n in ("event_key", "source", "eventName", "eventId")]
-    return T.StructType(
-        [*text, T.StructField("eventTimeStamp", T.TimestampType()), T.StructField("paramSet", params)]
-        + [T.StructField(BATCH, T.LongType())]
-    )
+Mappings = Callable[[SparkSession], DataFrame]
 
 
 def prepare_tables(spark: SparkSession, root: str, params: T.StructType) -> None:
-    """Make sure the state table exists, so that the first batch has something to read."""
-    spark.createDataFrame([], state_schema(params)).write.mode("append").parquet(f"{root}/{STATE}/{SLOT}=0")
-
-
-def _read_slots(spark: SparkSession, root: str, params: T.StructType, below: int | None) -> tuple[DataFrame, int]:
-    schema = state_schema(params).add(SLOT, T.IntegerType())
-    slots = spark.read.schema(schema).parquet(f"{root}/{STATE}")
-    if below is not None:
-        slots = slots.filter(F.col(BATCH) < below)
-    newest = slots.agg(F.max_by(SLOT, BATCH)).first()[0]
-    newest = 0 if newest is None else newest
-    return slots.filter(F.col(SLOT) == newest).drop(BATCH, SLOT), newest
+    """Make sure the stream's tables exist, so that they can be read before anything is written."""
+    for table in (SNAPSHOTS, KEYWORDS, REJECTS, LATE_EVENTS, RECONCILED, generations.GENERATIONS):
+        files.make_folder(spark, f"{root}/{table}")
 
 
 def read_state(spark: SparkSession, root: str, params: T.StructType, below: int | None = None) -> DataFrame:
     """The last event per channel in the newest state, or in the newest one of an earlier batch than ``below``."""
-    return latest_per_key(_read_slots(spark, root, params, below)[0])
+    return latest_per_key(generations.read_generation(spark, root, below).known(spark, params))
 
 
-def _write_batch(rows: DataFrame, path: str) -> None:
+def _write_batch(rows: DataFrame, root: str, table: str, batch_id: int) -> str:
+    path = f"{root}/{table}/{BATCH}={batch_id}"
     rows.write.mode("overwrite").parquet(path)
+    return path
+
+
+def _write_answers(
+    snapshot: DataFrame, observes: Callable[[DataFrame], DataFrame], root: str, batch_id: int, revision: int, mappings: Mappings | None
+) -> None:
+    """Store snapshots and, with ``mappings``, the keyword values of ``observes`` (made from the stored snapshots)."""
+    spark = snapshot.sparkSession
+    path = f"{root}/{SNAPSHOTS}/{BATCH}={batch_id}/{REVISION}={revision}"
+    snapshot.write.mode("overwrite").parquet(path)
+    if mappings is not None:
+        stored = spark.read.schema(snapshot.schema).parquet(path)
+        values = keyword_extract(observes(stored), stored, mappings(spark))
+        write_keyword_values(values, f"{root}/{KEYWORDS}", batch_id, revision)
 
 
 def process_batch(
     events: DataFrame,
     batch_id: int,
     root: str,
-    mappings: Callable[[SparkSession], DataFrame] | None = None,
+    mappings: Mappings | None = None,
     lateness_seconds: int = LATENESS_SECONDS,
 ) -> None:
-    """State, snapshots, rejects and, with ``mappings``, keyword values of one micro-batch."""
+    """State, snapshots, late events, rejects and, with ``mappings``, keyword values of one micro-batch."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.adaptive.enabled", "true")
-    rows = with_key(archive_rows(events)).persist()
-    bus = bus_rows(rows)
-    state, slot = _read_slots(spark, root, bus.schema["paramSet"].dataType, below=batch_id)
+    before, name = generations.begin(spark, root, batch_id)
+    parsed = with_key(archive_rows(events)).select("event_key", *EVENT_COLUMNS, "eventTime")
+    path = f"{root}/{generations.RECENT}/{name}"
+    parsed.write.parquet(path)
+    rows = spark.read.schema(parsed.schema).parquet(path)
+    bus = rows.filter(F.col("eventTimeStamp").isNotNull()).drop("eventTime")
+    params = bus.schema["paramSet"].dataType
+
     at = F.unix_micros("eventTimeStamp")
     lateness = lateness_seconds * 10**6
-    newest = state.agg(F.max(at)).first()[0]
-    first, last = bus.agg(F.min(at), F.max(at)).first()
-    horizon = EARLIEST if newest is None else newest - lateness
-    known = state.unionByName(bus)
-
-    open_again = state.filter((at >= horizon) & (at >= (LATEST if first is None else first)))
-    observes = observe_events(bus.unionByName(open_again), OBSERVE_EVENTS)
-    snapshot = event_snapshot(known, observes=observes)
-    snapshot_path = f"{root}/{SNAPSHOTS}/{BATCH}={batch_id}"
-    _write_batch(snapshot, snapshot_path)
-    if mappings is not None:
-        written = spark.read.schema(snapshot.schema).parquet(snapshot_path)
-        write_keyword_values(keyword_extract(observes, written, mappings(spark)), f"{root}/{KEYWORDS}", batch_id)
-
+    horizon = EARLIEST if before.newest is None else before.newest - lateness
+    on_time = F.min(F.when(at >= horizon, at))
+    first, last, first_on_time, late = bus.agg(F.min(at), F.max(at), on_time, F.count_if(at < horizon)).first()
+
+    changed_from = LATEST if first_on_time is None else first_on_time
+    again = before.events(spark, params, since=changed_from)
+    observes = observe_events(bus.filter(at >= horizon).unionByName(again), OBSERVE_EVENTS)
+    snapshot = event_snapshot(before.known(spark, params).unionByName(bus), observes=observes)
+    _write_answers(snapshot, lambda _: observes, root, batch_id, 0, mappings)
+
+    if late:
+        _write_batch(bus.filter(at < horizon), root, LATE_EVENTS, batch_id)
     reason = F.when(F.col("eventTimeStamp").isNull(), NO_VALID_TIME).when(at < horizon, LATE)
     rejects = rows.select("eventId", "source", "eventName", "eventTime", reason.alias("reason"))
-    _write_batch(rejects.filter(F.col("reason").isNotNull()), f"{root}/{REJECTS}/{BATCH}={batch_id}")
+    _write_batch(rejects.filter(F.col("reason").isNotNull()), root, REJECTS, batch_id)
+
+    generations.finish(spark, before, name, params, first, last, lateness)
 
-    kept_from = max(EARLIEST if t is None else t for t in (newest, last)) - lateness
-    kept = known.filter(at >= kept_from).unionByName(latest_per_key(known.filter(at < kept_from)))
-    _write_batch(kept.withColumn(BATCH, F.lit(batch_id).cast("bigint")), f"{root}/{STATE}/{SLOT}={1 - slot}")
-    rows.unpersist()
+
+def _own_rows(snapshots: DataFrame) -> DataFrame:
+    """The observe events of stored snapshots: each has the row of its own event in it."""
+    own = (F.col("eventId") == F.col("obs_event_id")) & (F.col("eventTimeStamp") == F.col("obs_time"))
+    return snapshots.filter(own & (F.col("eventName") == F.col("obs_event_name"))).select(*OBSERVE_COLUMNS)
+
+
+def _with_late_events(stored: DataFrame, late: DataFrame) -> DataFrame:
+    """The snapshots among ``stored`` that late events change, with the change. Written to the shared folder.
+
+    The last event at or before an observe event is the later one of the last among all others and the last among the
+    late ones; the former are stored, and a snapshot over the late events alone gives the latter.
+    """
+    spark = stored.sparkSession
+    first = late.agg(F.min("eventTimeStamp")).first()[0]
+    reached = stored.filter(F.col("obs_time") >= F.lit(first))
+    newer = event_snapshot(late, observes=_own_rows(reached))
+    columns = [*OBSERVE_COLUMNS, "event_key", *EVENT_COLUMNS]
+    both = reached.select(*columns, F.lit(0).alias("late")).unionByName(newer.select(*columns, F.lit(1).alias("late")))
+    order = ["eventTimeStamp", F.col("eventName").isin(*OBSERVE_EVENTS), "eventId"]
+    last = Window.partitionBy("obs_event_id", "obs_time", "event_key").orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order], "late")
+    merged = both.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n")
+    path = scratch(spark, "reconciled")
+    merged.write.parquet(path)
+    merged = spark.read.schema(merged.schema).parquet(path)
+    event = ["obs_event_id", "obs_time"]
+    changed = merged.filter("late = 1").select(*event).distinct()
+    return merged.join(changed, event, "left_semi").drop("late")
+
+
+def reconcile(
+    spark: SparkSession, root: str, archive: DataFrame, params: T.StructType, mappings: Mappings | None = None
+) -> int:
+    """Answer late observe events, and mend the answers that late events change; returns how many batches had any.
+
+    ``archive`` must hold what the stream has read so far. To be run from time to time, also while the stream runs: an
+    answer of a later batch counts more, and holds the late events seen until then. What has been reconciled is noted
+    last; a run that fails is repeated whole.
+    """
+    batch_id = generations.newest_batch(spark, root)
+    if batch_id is None:
+        return 0
+    notes = f"{root}/{RECONCILED}"
+    files.make_folder(spark, notes)
+    note = files.newest(spark, notes)
+    done = -1 if note is None else files.read_json(spark, f"{notes}/{note}")["through"]
+    found = [int(n.partition("=")[2]) for n in files.names(spark, f"{root}/{LATE_EVENTS}")]
+    new = sorted(b for b in found if done < b <= batch_id)
+    if not new:
+        return 0
+    schema = generations.state_schema(params)
+    late = spark.read.schema(schema).parquet(*[f"{root}/{LATE_EVENTS}/{BATCH}={b}" for b in new])
+    revision = files.next_attempt(spark, notes, batch_id) + 1
+    channels = read_state(spark, root, params).select("event_key")
+    looked_up = archive_snapshot(archive, observe_events(late), channels)
+    mended = _with_late_events(stored_snapshots(spark, root, params), late)
+    columns = [*OBSERVE_COLUMNS, "event_key", *EVENT_COLUMNS]
+    answers = looked_up.select(*columns).unionByName(mended.select(*columns))
+    _write_answers(answers, _own_rows, root, batch_id, revision, mappings)
+    files.write_json(spark, notes, files.numbered(batch_id, revision - 1), {"through": new[-1]})
+    return len(new)
 
 
 def start_exposures(
     events: DataFrame,
     root: str,
     checkpoint: str,
-    mappings: Callable[[SparkSession], DataFrame] | None = None,
+    mappings: Mappings | None = None,
     trigger: dict | None = None,
     lateness_seconds: int = LATENESS_SECONDS,
 ) -> StreamingQuery:
@@ -150,20 +215,29 @@ def _observe_schema() -> T.StructType:
     )
 
 
+def _order() -> Column:
+    """Answers of later batches count more, and of one batch the later revisions."""
+    return F.col(BATCH) * (1 << 20) + F.col(REVISION)
+
+
 def _newest_answers(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
-    """Those of ``rows`` that the newest batch to answer their observe event wrote.
+    """Those of ``rows`` that belong to the newest answer to their observe event.
 
-    Batches are known from the snapshots, in which an observe event has at least the row of its own channel.
+    Answers are known from the snapshots, in which an observe event has at least the row of its own channel.
     """
     event = ["obs_event_id", "obs_time"]
-    answers = spark.read.schema(_observe_schema().add(BATCH, T.LongType())).parquet(f"{root}/{SNAPSHOTS}")
-    newest = answers.groupBy(*event).agg(F.max(BATCH).alias(BATCH))
-    return rows.join(newest, [*event, BATCH], "left_semi").drop(BATCH)
+    answers = spark.read.schema(_observe_schema().add(BATCH, T.LongType()).add(REVISION, T.IntegerType())).parquet(f"{root}/{SNAPSHOTS}")
+    newest = answers.groupBy(*event).agg(F.max(_order()).alias("answer"))
+    return rows.withColumn("answer", _order()).join(newest, [*event, "answer"], "left_semi").drop("answer", BATCH, REVISION)
+
+
+def _answer_schema(*fields: T.StructField) -> T.StructType:
+    return T.StructType([*_observe_schema().fields, *fields]).add(BATCH, T.LongType()).add(REVISION, T.IntegerType())
 
 
 def stored_snapshots(spark: SparkSession, root: str, params: T.StructType) -> DataFrame:
     """The snapshots the stream wrote, each as last revised."""
-    schema = T.StructType(_observe_schema().fields + state_schema(params).fields)
+    schema = _answer_schema(*generations.state_schema(params).fields)
     return _newest_answers(spark, root, spark.read.schema(schema).parquet(f"{root}/{SNAPSHOTS}"))
 
 
@@ -181,5 +255,5 @@ def stored_snapshot_table(spark: SparkSession, root: str, params: T.StructType)
 
 def stored_keyword_values(spark: SparkSession, root: str) -> DataFrame:
     """The keyword values the stream wrote, each observe event's as last revised."""
-    schema = _observe_schema().add("keyword", T.StringType()).add("value", T.StringType()).add(BATCH, T.LongType())
+    schema = _answer_schema(T.StructField("keyword", T.StringType()), T.StructField("value", T.StringType()))
     return _newest_answers(spark, root, spark.read.schema(schema).parquet(f"{root}/{KEYWORDS}"))

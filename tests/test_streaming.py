@@ -1,17 +1,21 @@
 """Streams against their batch twins: micro-batches, replays, late events, restarts."""
 
 import random
+from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
+from nightledger.operators import lookup
 from nightledger.operators.keywords import keyword_extract
 from nightledger.operators.snapshot import event_snapshot, observe_events
 from nightledger.operators.state import latest_per_key
 from nightledger.plans import fixtures as fx
 from nightledger.session import scratch
 from nightledger.sources import archive as store
+from nightledger.sources import files
 from nightledger.sources.landing import read_landing, read_landing_stream, write_landing
-from nightledger.streaming import convert, exposure
+from nightledger.streaming import convert, exposure, generations
 from tests import helpers as h
 
 NOW = {"availableNow": True}
@@ -156,3 +160,126 @@ def test_state_without_stream_is_empty(spark):
     exposure.prepare_tables(spark, root, fx.PARAMS)
     assert states(spark, root) == {}
     assert event_snapshot(h.bus(spark, [h.observe("o1", 1)])).count() == 1
+
+
+SECOND = 10**6
+HORIZON = 60
+
+
+def fed(spark, root, parts, lateness=HORIZON, rules=None):
+    exposure.prepare_tables(spark, root, fx.PARAMS)
+    for batch_id, part in enumerate(parts):
+        exposure.process_batch(h.landed(spark, part), batch_id, root, rules, lateness)
+
+
+def archived(spark, root, rows):
+    store.write_archive(store.archive_rows(h.landed(spark, rows)), f"{root}/archive", mode="overwrite")
+    return store.read_archive(spark, f"{root}/archive", fx.EVENT)
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [3, 2, 4, 1, 0], [2, 3, 0, 1, 4]])
+def test_late_observe_event_is_answered_from_the_archive(spark, order):
+    rows = [h.event(f"c{t}", "c", t * SECOND, t) for t in (0, 100, 500, 510)] + [h.observe("o50", 50 * SECOND)]
+    root = scratch(spark, "late-observe")
+    fed(spark, root, [[rows[i]] for i in order])
+    exposure.reconcile(spark, root, archived(spark, root, rows), fx.PARAMS)
+    got = h.snapshot_dict(exposure.stored_snapshots(spark, root, fx.PARAMS))
+    assert got == h.brute_force_snapshot(rows)
+    assert got[("o50", h.iso(50 * SECOND), "IRIS.filter.c")] == "c0"
+
+
+def test_a_late_observe_event_is_not_answered_before(spark):
+    root = scratch(spark, "not-yet")
+    early = [h.event("c0", "c", 0), h.event("c100", "c", 100 * SECOND), h.event("c500", "c", 500 * SECOND)]
+    fed(spark, root, [early, [h.event("c900", "c", 900 * SECOND)], [h.observe("o50", 50 * SECOND), h.observe("o899", 899 * SECOND)]])
+    stored = exposure.stored_snapshots(spark, root, fx.PARAMS)
+    assert {r.obs_event_id for r in stored.collect()} == {"o899"}
+    assert [r.eventId for r in exposure.stored_rejects(spark, root).collect()] == ["o50"]
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_reconciled_answers_equal_batch_with_a_short_lateness(spark, seed):
+    """Events over 40 minutes in any order, a lateness of one minute, reconciled twice and once more without need."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(120):
+        at = rng.randrange(2400) * SECOND
+        if i % 6 == 5:
+            rows.append(h.observe(f"o{i}", at, f"2020A-001-123-{rng.choice(['IRIS', 'WFOS'])}-IMG-SCI0-{i:04d}"))
+        else:
+            rows.append(h.event(f"e{i}", f"event_key_{rng.choice([1, 3, 5])}", at, i, "ESW.filter"))
+    root = scratch(spark, "reconciled")
+    exposure.prepare_tables(spark, root, fx.PARAMS)
+    seen = []
+    for batch_id in range(4):
+        part = rows[batch_id * 30 : batch_id * 30 + 30]
+        seen += part
+        exposure.process_batch(h.landed(spark, part), batch_id, root, fx.mappings, HORIZON)
+        if batch_id in (1, 3):
+            archive = archived(spark, root, seen)
+            assert exposure.reconcile(spark, root, archive, fx.PARAMS, fx.mappings) > 0
+            assert exposure.reconcile(spark, root, archive, fx.PARAMS, fx.mappings) == 0
+            got = h.snapshot_dict(exposure.stored_snapshots(spark, root, fx.PARAMS))
+            assert got == h.brute_force_snapshot(seen)
+    bus = h.bus(spark, rows)
+    observes = observe_events(bus)
+    values = keyword_extract(observes, event_snapshot(bus, observes=observes), fx.mappings(spark))
+    stored = exposure.stored_keyword_values(spark, root).select(values.columns)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, values.collect()))
+
+
+def test_lookup_reads_few_days_and_channels(spark):
+    day = 86400 * SECOND
+    rows = [h.event("old", "rare", 0), h.event("mid", "slow", 12 * day)]
+    rows += [h.event(f"e{i}", "often", i * day + 5) for i in range(25)]
+    rows += [h.observe("o20", 20 * day + 7), h.observe("o3", 3 * day + 4)]
+    root = scratch(spark, "lookup")
+    archive = archived(spark, root, rows)
+    found = lookup.archive_snapshot(archive, observe_events(h.bus(spark, rows)), lookback_days=(1, 10))
+    assert h.snapshot_dict(found) == h.brute_force_snapshot(rows)
+    spans = lookup.day_spans([date(2024, 1, 20), date(2024, 1, 4), date(2024, 1, 5)], 1)
+    assert spans == [(date(2024, 1, 3), date(2024, 1, 5)), (date(2024, 1, 19), date(2024, 1, 20))]
+    files = {r[0] for r in lookup.in_spans(archive, spans).select(F.input_file_name()).collect()}
+    assert {f.partition("day=")[2].partition("/")[0] for f in files} == {"3", "4", "5", "19", "20"}
+
+
+def test_state_folds_old_batches_and_keeps_what_readers_hold(spark):
+    root = scratch(spark, "generations")
+    exposure.prepare_tables(spark, root, fx.PARAMS)
+    held = None
+    for i in range(8):
+        part = [h.event(f"e{i}-{c}", f"event_key_{c}", i * 50 * SECOND, i) for c in ([1, 2, 3] if i == 0 else [1])]
+        exposure.process_batch(h.landed(spark, part), i, root, None, HORIZON)
+        if i == 3:
+            held = exposure.read_state(spark, root, fx.PARAMS)  # planned now, read after later batches
+            want = {"IRIS.filter.event_key_1": "e3-1", "IRIS.filter.event_key_2": "e0-2", "IRIS.filter.event_key_3": "e0-3"}
+    assert {r.event_key: r.eventId for r in held.collect()} == want
+    assert states(spark, root) == want | {"IRIS.filter.event_key_1": "e7-1"}
+    newest = generations.read_generation(spark, root)
+    assert len(newest.recent) == 2  # the others are older than the lateness
+    written = {f.partition("/bucket")[0] for f in newest.base.values()}
+    assert len(written) > 1  # buckets without new events stay where an earlier batch wrote them
+    last = files.names(spark, f"{root}/{generations.BASE}")[-1]
+    assert len(files.names(spark, f"{root}/{generations.BASE}/{last}")) == 1  # one channel, one bucket
+
+
+def test_generations_that_nobody_needs_go(spark, monkeypatch):
+    root = scratch(spark, "forgotten")
+    exposure.prepare_tables(spark, root, fx.PARAMS)
+    monkeypatch.setattr(generations.finish, "__defaults__", (2,))
+    for i in range(6):
+        part = [h.event(f"e{i}", f"event_key_{i % 2}", i * 50 * SECOND, i)]
+        exposure.process_batch(h.landed(spark, part), i, root, None, 10)
+    assert len(files.names(spark, f"{root}/{generations.GENERATIONS}")) == 2
+    assert len(files.names(spark, f"{root}/{generations.RECENT}")) <= 3
+    assert states(spark, root) == {"IRIS.filter.event_key_0": "e4", "IRIS.filter.event_key_1": "e5"}
+
+
+def test_an_attempt_that_failed_leaves_the_state_as_it_was(spark):
+    root = scratch(spark, "failed")
+    fed(spark, root, [[h.event("e1", "c", SECOND)]])
+    generations.begin(spark, root, 1)  # a batch that wrote events but no pointer
+    h.landed(spark, [h.event("x", "c", 2 * SECOND)]).write.parquet(f"{root}/{generations.RECENT}/{files.numbered(1, 0)}-lost")
+    assert states(spark, root) == {"IRIS.filter.c": "e1"}
+    exposure.process_batch(h.landed(spark, [h.event("e2", "c", 2 * SECOND)]), 1, root)
+    assert states(spark, root) == {"IRIS.filter.c": "e2"}
