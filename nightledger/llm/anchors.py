@@ -36,6 +36,8 @@ NO_ID = (1 << 63) - 1
 
 PER_BUCKET = 8 << 20
 BLOCKS, SHARDS = 16, 4
+#: Spark takes at most 100,000 buckets; beyond so many (0.5 TB of stored texts) buckets and blocks grow instead.
+MOST_BUCKETS = 1 << 16
 
 #: An anchor in more blocks than this is hot; below it, one shard takes what the blocks' documents send for it.
 HOT = 4096
@@ -173,6 +175,10 @@ def blocked(docs: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
     return docs.sparkSession.table(name)
 
 
+def bucket_count(docs: DataFrame, text: str) -> int:
+    return min(pieces(docs, text, PER_BUCKET), MOST_BUCKETS)
+
+
 def by_shard(shards: np.ndarray) -> Iterator[tuple[int, slice]]:
     """The runs of equal numbers in a sorted array."""
     cuts = np.flatnonzero(np.diff(shards)) + 1
@@ -336,7 +342,7 @@ def answered(shape: Shape, index):
 
 def dedup(docs: DataFrame, id_column: str, text: str, shape: Shape, index, finish, schema: str, hot: int = HOT) -> DataFrame:
     """``finish(block, symbols, removed)`` of every block, as a table of the schema."""
-    buckets = pieces(docs, text, PER_BUCKET)
+    buckets = bucket_count(docs, text)
     blocks, shards = blocked(docs, id_column, text, buckets), min(buckets * SHARDS, 1 << SHARD_BITS)
     announced = blocks.groupBy("block").applyInArrow(announce(shape, shards), MESSAGE)
     common = written(announced.groupBy("shard").applyInArrow(shared(hot), MESSAGE), "anchors")

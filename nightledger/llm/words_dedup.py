@@ -20,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from nightledger.llm.anchors import FACTORS, NO_ID, Shape, Symbols, dedup, first_of, range_marks, refined, spread
-from nightledger.llm.bytes_dedup import BYTE_MARKS
+from nightledger.llm.anchors import NO_ID, Shape, Symbols, dedup, first_of, range_marks, refined, spread
 from nightledger.llm.registry import query
 from nightledger.llm.tables import documents
-from nightledger.llm.words import Words, flat, mixed
+from nightledger.llm.words import Words, flat, mixed, word_marks
 
 WINDOW = 13
 
@@ -36,7 +35,7 @@ def read(texts: pa.Array) -> Symbols:
     """Words as symbols; in ``raw`` each is followed by one space."""
     words = Words(*flat(texts))
     sizes = words.end - words.start
-    marks = range_marks(BYTE_MARKS[words.data], words.start, sizes, FACTORS[:1])[0]
+    marks = word_marks(words.data, words.start, words.end)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     raw = np.full(int(begin[-1]), 0x20, np.uint8)
     keep = np.ones(len(raw), bool)

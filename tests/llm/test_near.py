@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nightledger.llm import jaccard
+from nightledger.llm import anchors, jaccard, words_dedup
 from tests.llm import brute
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -100,3 +100,32 @@ def test_copies_that_are_spaced_differently(spark, shingle, percent):
     got = jaccard.near_duplicates(table(spark, given), shingle=shingle, percent=percent)
     want = plain(given, shingle, percent)
     assert shown(got) == want and sum(d != low for d, _, low in want) == 50
+
+
+def thue_morse(n, pair):
+    return "".join(pair[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_words_of_regular_build_are_different(spark):
+    """1,024 letters in the order of Thue and Morse, and the same with the letters exchanged."""
+    one, two = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    rows = [(1, one), (2, two), (3, f"{one} x y {two} x y"), (4, f"{one} x y {one} x y"), (5, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.near_duplicates(docs, shingle=3, percent=90).select("doc", "n_shingles", "component").collect()
+    assert sorted(map(tuple, got)) == plain(rows, 3, 90)
+    seven = [(i, " ".join([one if j == i % 3 else two for j in range(20)])) for i in range(6)]
+    docs = spark.createDataFrame(seven, "doc_id long, text string")
+    shape = anchors.Shape(13, 6, words_dedup.read)
+    schema = "doc_id long, n long, n_removed long, kept_sha256 string"
+
+    def finish(block, symbols, removed):
+        out = words_dedup.result(True)(block, symbols, removed)
+        return out.rename_columns(["doc_id", "n", *out.column_names[2:]])
+
+    got = anchors.dedup(docs, "doc_id", "text", shape, words_dedup.least_ids, finish, schema).collect()
+    assert sorted(map(tuple, got)) == [(a, b, c, e) for a, b, c, _, e in brute.substrings(seven, 13, True)]
+
+
+def test_buckets_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "pieces", lambda *_: 12_000_000)  # 100 TB
+    assert anchors.bucket_count(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "text") <= 100_000
