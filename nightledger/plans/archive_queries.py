@@ -55,7 +55,8 @@ def json_landing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build(path: str) -> None:
         landing.write_landing_arrays(fx.bus(spark, sf_dir), path, 500, "1 day")
 
-    return _shown(landing.read_landing(spark, fx.built(spark, sf_dir, "arrays", build), fx.EVENT))
+    rows = landing.read_landing(spark, fx.built(spark, sf_dir, "arrays", build), fx.EVENT, corrupt=True)
+    return _shown(landing.landed_events(rows))
 
 
 _ELEMENTS = {"DoubleKey": "double", "IntKey": "bigint", "StringKey": "string"}
@@ -76,9 +77,10 @@ def landed(spark: SparkSession, sf_dir: str, name: str = "landed") -> str:
 
 @query("infer_event_schema", f"SELECT * FROM (VALUES {fx.sql_values(_INFERRED)}) t(path, type)")
 def infer_event_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = landing.infer_schema(spark, landed(spark, sf_dir))
-    reloaded = type(schema).fromJson(schema.jsonValue())
-    return spark.createDataFrame(landing.field_types(reloaded), "path string, type string")
+    """Inferred from the landed files by one job, stored, and read back as a conversion does."""
+    folder = scratch(spark, "schemas")
+    landing.store_schema(spark, folder, landing.infer_schema(spark, landed(spark, sf_dir)))
+    return spark.createDataFrame(landing.field_types(landing.stored_schema(spark, folder)), "path string, type string")
 
 
 @query("json_landing_sink", sql(f"SELECT {_SHOWN} FROM bus", "bus"))

@@ -70,3 +70,27 @@ def newest(spark: SparkSession, folder: str, below: int | None = None) -> str |
 def next_attempt(spark: SparkSession, folder: str, batch_id: int) -> int:
     own = [int(n[20:26]) for n in names(spark, folder) if int(n[:19]) == batch_id]
     return max(own, default=-1) + 1
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file, making folders as needed; a file that an earlier try has moved already stays where it is."""
+    fs, a = _at(spark, source)
+    _, b = _at(spark, target)
+    if not fs.exists(a) and fs.exists(b):
+        return
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def files_below(spark: SparkSession, folder: str) -> list[str]:
+    """Paths below a folder of all its data files, relative to it, in order."""
+    fs, where = _at(spark, folder)
+    if not fs.exists(where):
+        return []
+    base, found, listed = fs.getFileStatus(where).getPath().toString(), [], fs.listFiles(where, True)
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName()[0] not in "._":
+            found.append(path.toString().removeprefix(base).lstrip("/"))
+    return sorted(found)

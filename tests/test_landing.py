@@ -4,12 +4,16 @@ import gzip
 import json
 import os
 
+import pytest
 from pyspark.sql import types as T
 
 from nightledger.operators import headers, mapping, quality
+from nightledger.plans import fixtures as fx
 from nightledger.plans.fixtures import EVENT
 from nightledger.session import scratch
+from nightledger.sources import archive as store
 from nightledger.sources import config, landing, tables
+from nightledger.streaming import convert
 from tests import helpers as h
 
 
@@ -172,3 +176,36 @@ def test_quality_rows(spark):
         (2, "value", "NULL"),
         (3, "exposure_id", "NULL"),
     ]
+
+
+def test_schemas_are_stored_as_versions_and_drift_is_shown(spark, tmp_path):
+    folder = str(tmp_path / "schemas")
+    with pytest.raises(FileNotFoundError):
+        landing.stored_schema(spark, folder)
+    old = T.StructType.fromDDL("a int, b string, c array<struct<x: bigint, y: double>>, gone string")
+    new = T.StructType.fromDDL("a bigint, b int, c array<struct<x: int, y: double, z: string>>")
+    first = landing.store_schema(spark, folder, old)
+    landing.store_schema(spark, folder, new)
+    assert landing.stored_schema(spark, folder) == new
+    assert landing.stored_schema(spark, folder, first) == old
+    got = {r.path: (r.stored, r.found, r.drift) for r in landing.schema_drift(spark, old, new).collect()}
+    assert got == {
+        "a": ("int", "bigint", landing.WIDENED),
+        "b": ("string", "int", landing.CONFLICTING),
+        "c[].x": ("bigint", "int", landing.NARROWED),
+        "c[].z": (None, "string", landing.ADDED),
+        "gone": ("string", None, landing.MISSING),
+    }
+    assert landing.schema_drift(spark, old, old).isEmpty()
+
+
+def test_conversion_from_a_stored_schema(spark, tmp_path):
+    rows = [h.event(f"e{i}", "c", i, i) for i in range(5)]
+    landing.write_landing(h.landed(spark, rows), str(tmp_path / "landing"))
+    folder = str(tmp_path / "schemas")
+    landing.store_schema(spark, folder, fx.EVENT)
+    convert.start_conversion(
+        spark, str(tmp_path / "landing"), str(tmp_path / "archive"), str(tmp_path / "cp"), folder, trigger={"availableNow": True}
+    ).awaitTermination()
+    archive = store.read_archive(spark, str(tmp_path / "archive"), fx.EVENT)
+    assert sorted(r.eventId for r in archive.collect()) == [f"e{i}" for i in range(5)]

@@ -13,7 +13,7 @@ from nightledger.operators.state import latest_per_key
 from nightledger.plans import fixtures as fx
 from nightledger.session import scratch
 from nightledger.sources import archive as store
-from nightledger.sources import files
+from nightledger.sources import files, landing
 from nightledger.sources.landing import read_landing, read_landing_stream, write_landing
 from nightledger.streaming import convert, exposure, generations
 from tests import helpers as h
@@ -283,3 +283,70 @@ def test_an_attempt_that_failed_leaves_the_state_as_it_was(spark):
     assert states(spark, root) == {"IRIS.filter.c": "e1"}
     exposure.process_batch(h.landed(spark, [h.event("e2", "c", 2 * SECOND)]), 1, root)
     assert states(spark, root) == {"IRIS.filter.c": "e2"}
+
+
+def converted(spark, root):
+    archive = store.read_archive(spark, f"{root}/archive", fx.EVENT)
+    return archive, spark.read.parquet(convert.quarantine_of(f"{root}/archive"))
+
+
+def test_every_landed_row_is_archived_or_quarantined(spark):
+    rows, _ = batches(seed=9, n=60)
+    root = scratch(spark, "torn")
+    write_landing(h.landed(spark, rows), f"{root}/landing")
+    torn = '{"eventId":"torn","source":"IRIS.filter","eventName":"c","eventTime":"2024-01-01T00:'
+    nameless = '{"eventId":"nameless","eventTime":"2024-01-01T00:00:00Z"}'
+    given = spark.createDataFrame([(torn,), (nameless,), ("no json at all",)], "value string")
+    given.coalesce(1).write.mode("append").text(f"{root}/landing")
+    convert.start_conversion(
+        spark, f"{root}/landing", f"{root}/archive", f"{root}/cp", fx.EVENT, delete_consumed=True, trigger=NOW
+    ).awaitTermination()
+    archive, bad = converted(spark, root)
+    assert sorted(r.eventId for r in archive.select("eventId").collect()) == sorted(r[0] for r in rows)
+    assert sorted((r.reason, r.line) for r in bad.collect() if r.reason == landing.TORN) == sorted(
+        [(landing.TORN, torn), (landing.TORN, "no json at all")]
+    )
+    assert [r.eventId for r in bad.collect() if r.reason == landing.NO_CHANNEL] == ["nameless"]
+    assert archive.filter("source is null or eventName is null or eventId is null").isEmpty()
+    both = read_landing(spark, f"{root}/landing", fx.EVENT, corrupt=True)
+    assert landing.landed_events(both).count() + landing.quarantined(both).count() == both.count()
+
+
+def test_a_hot_channel_is_written_by_several_tasks(spark):
+    rows = [h.event(f"h{i:05d}", "hot", i * 1000, i) for i in range(900)]
+    rows += [h.event(f"c{i}", f"cold_{i % 5}", i, i) for i in range(100)]
+    random.Random(4).shuffle(rows)
+    root = scratch(spark, "hot")
+    write_landing(h.landed(spark, rows), f"{root}/landing")
+    convert.start_conversion(
+        spark, f"{root}/landing", f"{root}/archive", f"{root}/cp", fx.EVENT, trigger=NOW, target_rows=150
+    ).awaitTermination()
+    archive, _ = converted(spark, root)
+    layout = {r.eventName: r for r in store.file_layout(archive).collect()}
+    assert layout["hot"].n_rows == 900 and layout["hot"].n_files >= 5
+    assert all(r.n_files == 1 for name, r in layout.items() if name != "hot")
+    assert all(r.n_unordered == 0 for r in layout.values())
+
+
+def test_a_batch_is_archived_once_however_often_it_is_tried(spark, monkeypatch):
+    rows = [h.event(f"e{i}", f"c{i % 3}", i) for i in range(30)]
+    root = scratch(spark, "tried")
+    write_landing(h.landed(spark, rows), f"{root}/landing")
+    given = read_landing(spark, f"{root}/landing", fx.EVENT, corrupt=True)
+    move, moved = files.move, []
+
+    def failing(session, source, target):
+        if len(moved) == 2:
+            raise OSError("lost")
+        moved.append(target)
+        move(session, source, target)
+
+    monkeypatch.setattr(files, "move", failing)
+    with pytest.raises(OSError, match="lost"):
+        convert.convert_batch(given, 0, f"{root}/archive")
+    monkeypatch.setattr(files, "move", move)
+    for _ in range(2):
+        convert.convert_batch(given, 0, f"{root}/archive")
+    convert.convert_batch(given.limit(0), 1, f"{root}/archive")
+    archive, _ = converted(spark, root)
+    assert sorted(r.eventId for r in archive.collect()) == sorted(r[0] for r in rows)
