@@ -45,8 +45,8 @@ def test_channel_query_prunes_partitions_columns_and_row_groups(spark):
         "event_key_1",
         "IntKey",
         "temperature",
-        low="2024-01-19T07:08:39.066141Z",
-        high="2024-01-19T09:08:39Z",
+        low="2024-01-19T10:20:30.5Z",
+        high="2024-01-19T12:20:30Z",
         day=(2024, 1, 19),
     )
     scan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
