@@ -14,7 +14,7 @@ from nightledger.plans.registry import query
 from nightledger.schema import CHANNEL_COLUMNS
 from nightledger.session import scratch
 from nightledger.sources import archive as store
-from nightledger.sources import landing
+from nightledger.sources import compaction, landing
 
 
 def _shown(events: DataFrame) -> DataFrame:
@@ -48,6 +48,9 @@ _PARTITION = """CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS
     CAST(day(ts) AS INTEGER) AS day, source, "eventName" """
 
 
+_ID_NUMBER = """CAST('0x' || substr(md5("eventId"), 1, 8) AS BIGINT)"""
+
+
 @query("json_landing_scan", sql(f"SELECT {_SHOWN} FROM bus", "bus"))
 def json_landing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of one JSON array per batch of events, read as rows."""
@@ -105,15 +108,29 @@ def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "archive_compaction",
     sql(
-        f"""SELECT {_PARTITION}, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_files, CAST(0 AS BIGINT) AS n_unordered
-        FROM bus GROUP BY ALL""",
+        f"""SELECT {_PARTITION}, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_files, CAST(0 AS BIGINT) AS n_unordered,
+        CAST(sum({_ID_NUMBER}) AS BIGINT) AS ids FROM bus GROUP BY ALL""",
         "bus",
     ),
 )
 def archive_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout and event ids (as a sum of numbers made of them) of every table partition of the new generation."""
     target = scratch(spark, "compacted")
     store.compact(spark, fx.fragments(spark, sf_dir), target, fx.EVENT)
-    return store.file_layout(store.read_archive(spark, target, fx.EVENT))
+    rows = store.read_archive(spark, target, fx.EVENT)
+    number = F.conv(F.substring(F.md5("eventId"), 1, 8), 16, 10).cast("bigint")
+    ids = rows.groupBy(*CHANNEL_COLUMNS).agg(F.sum(number).alias("ids"))
+    return store.file_layout(rows).join(ids, CHANNEL_COLUMNS)
+
+
+@query("archive_live_compaction", sql(f"SELECT {_SHOWN} FROM bus", "bus"))
+def archive_live_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry is appended and compacted; observe events are appended to the compacted days and read beside them."""
+    root = scratch(spark, "store")
+    store.write_archive(store.archive_rows(fx.telemetry(spark, sf_dir)), compaction.incoming(root), layout=False)
+    compaction.compact_days(spark, root, fx.EVENT)
+    store.write_archive(store.archive_rows(fx.observe(spark, sf_dir)), compaction.incoming(root), layout=False)
+    return _shown(compaction.read_live(spark, root, fx.EVENT))
 
 
 @query(
@@ -235,18 +252,19 @@ def single_event_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "multi_event_join",
     sql(
         f"""SELECT COALESCE(a."eventTime", b."eventTime") AS "eventTime", temperature, "exposureId"
-        FROM ({_SERIES}) a FULL OUTER JOIN (SELECT "eventTime", state AS "exposureId" FROM bus
-            WHERE source = 'ESW.observe' AND "eventName" = 'ObserveEvent.ExposureStart') b
+        FROM ({_SERIES} AND {_RANGE}) a FULL OUTER JOIN (SELECT "eventTime", state AS "exposureId" FROM bus
+            WHERE source = 'ESW.observe' AND "eventName" = 'ObserveEvent.ExposureStart' AND {_RANGE}) b
         ON a."eventTime" = b."eventTime" ORDER BY 1""",
         "bus",
     ),
 )
 def multi_event_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Temperatures beside the exposures that start at the same instant."""
+    """Temperatures beside the exposures that start at the same instant, of the days asked for."""
+    asked = {"low": _LOW, "high": _HIGH}
     starts = filters.single_event_query(
-        fx.archive(spark, sf_dir), "ESW.observe", "ObserveEvent.ExposureStart", "StringKey", "exposureId"
+        fx.archive(spark, sf_dir), "ESW.observe", "ObserveEvent.ExposureStart", "StringKey", "exposureId", **asked
     )
-    return filters.multi_event_join(_temperatures(spark, sf_dir), starts)
+    return filters.multi_event_join(_temperatures(spark, sf_dir, **asked), starts)
 
 
 @query("result_count", sql(f"SELECT count(*) AS n_rows FROM ({_SERIES})", "bus"))

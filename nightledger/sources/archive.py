@@ -71,6 +71,7 @@ def compact(
     target: str,
     event: T.StructType | None = None,
     target_rows: int = TARGET_ROWS,
+    fmt: str = "parquet",
 ) -> None:
     """Rewrite an archive into a new generation: the same rows, one time-ordered file per table partition.
 
@@ -79,7 +80,7 @@ def compact(
     """
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("compaction writes a new generation, not the path it reads")
-    write_archive(read_archive(spark, source, event), target, mode="errorifexists", target_rows=target_rows)
+    write_archive(read_archive(spark, source, event, fmt), target, fmt, "errorifexists", target_rows)
 
 
 def file_layout(archive: DataFrame) -> DataFrame:
