@@ -5,7 +5,8 @@ the share of its words that are stop words, and whether it stands inside an arti
 main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments). The first pass decides blocks
 that are clearly one or the other; short and middling ones stay open. In the second pass an open block takes the label
 of the nearest decided neighbour. Where a page marks its article, blocks outside it are decided against, blocks inside
-it need no stop words, and open blocks look at neighbours inside it only.
+it need no stop words, open blocks look at neighbours inside it only, and link density drops nothing but lists of links.
+On a page without any block that is clearly main text the open ones are taken.
 
 Nulls: a null page is empty and gives an empty text. Pages are handled one by one, so repeated rows, other columns and
 empty tables need no rule. Unclosed and stray tags are tolerated; a page cut off inside a tag loses that tag. Raw text
@@ -48,15 +49,24 @@ PARTS = frozenset("html body article main section nav header footer aside form d
 NEVER = frozenset("nav footer aside form menu dialog".split())
 CONTAINERS = frozenset("html body div section article main nav header footer aside form menu dialog ul ol dl table tbody thead figure blockquote details".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr address figcaption summary fieldset legend caption center tfoot hgroup".split())
+LISTS = frozenset("ul ol".split())
 SPACED = frozenset("br td th img option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post-content|entry-content|article-body|main-content|main)(?:$|[\s_-])", re.I)
-ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|"
-    r"nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|widget|related|share|social|comments?|disqus|replies|login|search|pagination)"
-    r"(?:$|[\s_-])",
+# Words in the names of parts that are never main text, and words that may stand beside them in a name.
+PART = re.compile(
+    r"ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|"
+    r"nav\w*|menu|breadcrumbs?|footer|sidebar|widgets?|related|share|sharing|social|comments?|disqus|replies|login|search|pagination",
     re.I,
 )
+HEAD_PART = re.compile(r"header|masthead", re.I)
+BESIDE = re.compile(
+    r"|\d+|site|page|post|entry|article|blog|global|main|primary|secondary|top|bottom|left|right|inner|outer|fixed|sticky|mobile|desktop|"
+    r"box|area|section|block|wrap|wrapper|container|content|list|bar|links?|buttons?|icons?|items?|posts|articles|stories|"
+    r"panel|slot|unit|zone|text|message|overlay|form|group|col|column|row|thread|media|user|reader|by|js|is|has|the|and|more|also",
+    re.I,
+)
+PIECES = re.compile(r"[-_]")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
@@ -72,14 +82,30 @@ EDGE = re.compile(r"^\W+|\W+$")
 
 
 class Block:
-    __slots__ = ("inside", "linked", "never", "parts", "text")
+    """``listing`` is the number of the list that the block stands in, 0 outside lists."""
+
+    __slots__ = ("inside", "linked", "listing", "never", "parts", "text")
+
+    def __init__(self, inside: bool, never: bool, listing: int = 0):
+        self.inside, self.never, self.listing, self.parts, self.linked, self.text = inside, never, listing, [], 0, ""
 
-    def __init__(self, inside: bool, never: bool):
-        self.inside, self.never, self.parts, self.linked, self.text = inside, never, [], 0, ""
+
+def named_part(value: str) -> str:
+    """never or header, if a whole name in an attribute's value is that of such a part: site-header, but not header-image."""
+    found = ""
+    for name in value.split():
+        pieces = PIECES.split(name)
+        parts, heads = ([bool(p.fullmatch(x)) for x in pieces] for p in (PART, HEAD_PART))
+        if not all(a or b or BESIDE.fullmatch(x) for a, b, x in zip(parts, heads, pieces, strict=True)):
+            continue
+        if any(parts):
+            return "never"
+        found = "header" if any(heads) else found
+    return found
 
 
 def kind_of(tag: str, attrs: str, inside: bool) -> str:
-    """main, never or an empty text, by the tag and its class, id, role and itemprop."""
+    """main, never, header or an empty text, by the tag and its class, id, role and itemprop."""
     if tag in ("article", "main"):
         return "main"
     if tag in NEVER:
@@ -94,8 +120,11 @@ def kind_of(tag: str, attrs: str, inside: bool) -> str:
             continue
         if name.lower() == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog"):
             return "never"
-        if ASIDE.search(value):
-            return "never"
+        part = named_part(value)
+        if part == "header":
+            return "header" if inside else "never"
+        if part:
+            return part
         if MAIN.search(value):
             return "main"
     return ""
@@ -164,9 +193,10 @@ class Page:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks that have text, in page order."""
+    """The page's blocks that have text, in page order; time is linear in the page however deep its tags nest."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    kinds, tags, lists, n_lists = Counter(), Counter(), [0], 0
     links = inside = never = header = heading = 0
     current: Block | None = None
     whole, around = Page(page), Counter()
@@ -177,7 +207,7 @@ def blocks(page: str) -> list[Block]:
         text, tag = m["text"], (m["tag"] or "").lower()
         if text is not None:
             if current is None:
-                current = Block(inside > 0, never > 0 or (header > 0 and not heading))
+                current = Block(inside > 0, never > 0 or (header > 0 and not heading), lists[-1])
                 out.append(current)
             current.parts.append(text)
             if links:
@@ -218,12 +248,20 @@ def blocks(page: str) -> list[Block]:
         if not m["end"]:
             kind = kind_of(tag, attrs, inside > 0)
             stack.append((tag, kind))
-        elif any(t == tag for t, _ in stack):
-            while stack.pop()[0] != tag:
-                pass
-        inside = sum(k == "main" for _, k in stack)
-        never = sum(k == "never" for _, k in stack)
-        header = sum(k == "header" for _, k in stack)
+            kinds[kind] += 1
+            tags[tag] += 1
+            if tag in LISTS:
+                n_lists += 1
+                lists.append(n_lists)
+        elif tags[tag]:
+            closed = ""
+            while closed != tag:
+                closed, kind = stack.pop()
+                kinds[kind] -= 1
+                tags[closed] -= 1
+                if closed in LISTS:
+                    lists.pop()
+        inside, never, header = kinds["main"], kinds["never"], kinds["header"]
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
     return [b for b in out if b.text]
@@ -234,17 +272,26 @@ def stop_share(text: str) -> float:
     return sum(EDGE.sub("", w) in STOP for w in words) / max(1, len(words))
 
 
-def first_pass(block: Block, marked: bool) -> bool | None:
-    """True: main text, False: not, None: open. ``marked``: the page marks its article."""
-    if block.never or (marked and not block.inside):
-        return False
-    size, links = len(block.text), block.linked / max(1, len(block.text))
-    if links > (MAX_LINKS_INSIDE if block.inside else MAX_LINKS):
+def link_lists(found: list[Block]) -> set[int]:
+    """Lists of two or more blocks that are mostly links."""
+    sizes, linked, blocks_of = Counter(), Counter(), Counter()
+    for b in found:
+        if b.listing:
+            sizes[b.listing] += len(b.text)
+            linked[b.listing] += b.linked
+            blocks_of[b.listing] += 1
+    return {n for n, size in sizes.items() if blocks_of[n] > 1 and linked[n] > MAX_LINKS_INSIDE * size}
+
+
+def first_pass(block: Block) -> bool | None:
+    """True: main text, False: not, None: open."""
+    size = len(block.text)
+    if block.inside:
+        return None if size < SHORT else True
+    if block.linked > MAX_LINKS * max(1, size):
         return False
     if size < SHORT:
         return None
-    if block.inside:
-        return True
     stops = stop_share(block.text)
     if stops >= STOP_HIGH:
         return True if size >= LONG else None
@@ -280,10 +327,15 @@ def nearest(labels: list[bool | None], default: bool, ties: bool) -> list[bool]:
 def main_text(page: str) -> str:
     found = blocks(page)
     marked = any(b.inside and not b.never for b in found)
-    # Parts that are never main text lend their label to nobody.
-    eligible = [b for b in found if not b.never and (b.inside or not marked)]
-    labels = nearest([first_pass(b, marked) for b in eligible], marked, marked)
-    return "\n".join(b.text for b, keep in zip(eligible, labels, strict=True) if keep)
+    menus = link_lists(found)
+    # Parts that are never main text, and lists of links inside an article, lend their label to nobody.
+    eligible = [b for b in found if not b.never and (not marked or (b.inside and b.listing not in menus))]
+    labels = [first_pass(b) for b in eligible]
+    if True not in labels:
+        kept = [label is None for label in labels]
+    else:
+        kept = nearest(labels, marked, marked)
+    return "\n".join(b.text for b, keep in zip(eligible, kept, strict=True) if keep)
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

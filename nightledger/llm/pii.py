@@ -27,7 +27,7 @@ from nightledger.llm.words import flat
 
 KINDS = ("email", "ip", "card", "phone")
 
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -43,8 +43,8 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         reach, start = 64, at
         while True:
             low = max(done, at - reach)
-            run = LOCAL_END.search(text[low:at])
-            start = low + run.start() if run else at
+            run = LOCAL_RUN.match(text[low:at][::-1])
+            start = at - run.end() if run else at
             if start > low or low == done:
                 break
             reach *= 2

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import re
 import time
 
 from nightledger.llm.html import main_text
+from nightledger.llm.pii import emails
 
 ARTICLE = "<article><h1>Head</h1><p>First para.</p><p>Second one.</p></article>"
 TEXT = "Head\nFirst para.\nSecond one."
@@ -49,3 +52,50 @@ def test_many_unclosed_tags_take_linear_time():
     for piece in ("<button>x", "<p a=\"x' b='", "<select><option>", "<div><video>", "<p a='"):
         main_text(piece * 20_000)
     assert time.time() - began < 60
+
+
+def test_an_article_keeps_paragraphs_that_are_links_and_their_neighbours():
+    link = "<a href=x>A long piece of text that is a link from its first word to its very last one</a>"
+    page = f"<article><h1>Head</h1><p>First para with text.</p><p>{link}</p><p>Second one.</p></article>"
+    assert main_text(page).split("\n") == ["Head", "First para with text.", link[10:-4], "Second one."]
+    menu = "<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>"
+    assert main_text(f"<article><p>Before.</p>{menu}<p>After.</p></article>") == "Before.\nAfter."
+    notes = "<ul><li>See the <a href=a>page</a> on it.</li><li>Or ask.</li></ul>"
+    assert main_text(f"<article><p>Before.</p>{notes}</article>") == "Before.\nSee the page on it.\nOr ask."
+
+
+def test_short_paragraphs_without_an_article():
+    assert main_text("<nav>Home</nav><div id=content><p>One short line.</p><p>Another.</p></div>") == "One short line.\nAnother."
+    assert main_text("<div><a href=x>Home</a></div><div id=content><p>One short line.</p></div>") == "One short line."
+    assert main_text("<nav>Home</nav><footer>End</footer>") == ""
+
+
+def test_part_names_are_whole_names():
+    for name in ("related-work", "share-price", "notice-period", "header-image", "search-results-analysis", "adverse"):
+        assert main_text(f"<article><p>One.</p><div class='{name}'><p>Two.</p></div></article>") == "One.\nTwo.", name
+    for name in ("ad", "ad-banner", "cookie-notice", "related-posts", "box share-buttons", "post-comments", "comments_list", "sidebar", "ad-slot-2"):
+        assert main_text(f"<article><p>One.</p><div class='{name}'><p>Two.</p></div></article>") == "One.", name
+    assert main_text("<article><div class='entry-header'><h1>Head</h1><p>By someone</p></div><p>One.</p></article>") == "Head\nOne."
+    assert main_text("<div class='site-header'><h1>Site</h1></div><article><p>One.</p></article>") == "One."
+
+
+def test_deep_nesting_takes_linear_time():
+    began = time.time()
+    assert main_text("<div>" * 200_000 + "<p>Deep.</p>" + "</div>" * 200_000) == "Deep."
+    assert main_text("<article>" + "<section class=a>" * 100_000 + "<p>Deep.</p>") == "Deep."
+    assert time.time() - began < 60
+
+
+def test_long_runs_before_a_sign_take_linear_time():
+    began = time.time()
+    assert list(emails("a" * 200_000 + " " + "b" * 200_000 + "@example.org")) == [(200_001, 400_013)]
+    assert list(emails("a" * 200_000 + "@ " + "b" * 200_000)) == []
+    assert time.time() - began < 20
+
+
+def test_emails_equal_the_plain_pattern():
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab1.@@-_ é") for _ in range(rng.randrange(30)))
+        assert list(emails(text)) == [m.span() for m in plain.finditer(text)], text
