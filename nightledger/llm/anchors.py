@@ -44,6 +44,10 @@ HOT = 4096
 
 SHARD_BITS, KEY_BITS = 17, 47
 FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Powers of a factor kept in a process: 32 MB for each of four factors.
+KEPT_POWERS = 1 << 22
+#: The lowest bits of a gram's mark are free for those of its place, which tell places apart that one window can hold.
+PLACE_BITS = 5
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -68,29 +72,49 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(factor: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of a factor modulo 2^64; runs of at most ``KEPT_POWERS`` stay in the process."""
+    known = _POWERS.get(factor, np.zeros(0, np.uint64))
+    if len(known) < n:
+        base = np.full(max(n, 1 << 20), factor, np.uint64)
+        base[0] = 1
+        known = np.cumprod(base, dtype=np.uint64)
+        if len(known) <= KEPT_POWERS:
+            _POWERS[factor] = known
+    return known[:n]
+
+
+def prefix_sums(values: np.ndarray, factor: int) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... values times rising powers of the factor."""
+    run = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(factor, len(values)), out=run[1:])
+    return run
+
+
 def rolling(values: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit mark for each run of ``length`` symbols, by differences of prefix sums; runs may cross texts."""
+    """A mark for each run of ``length`` (scattered) symbols, by differences of prefix sums; runs may cross texts.
+
+    The lowest ``PLACE_BITS`` bits of the 64 are left free.
+    """
     n = len(values)
     if n < length:
         return np.zeros(0, np.uint64)
-    up, down = np.full(n, FACTORS[0], np.uint64), np.full(n - length + 1, pow(FACTORS[0], -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * np.cumprod(up), out=run[1:])
-    return mixed((run[length:] - run[:-length]) * np.cumprod(down))
+    run = prefix_sums(values, FACTORS[0])
+    marks = run[length:] - run[:-length]
+    marks *= powers(pow(FACTORS[0], -1, 1 << 64), n - length + 1)
+    marks >>= np.uint64(PLACE_BITS)
+    marks <<= np.uint64(PLACE_BITS)
+    return marks
 
 
 def range_marks(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, factors=FACTORS) -> list[np.ndarray]:
     """64-bit marks of each range of (scattered) values, by polynomials over prefix sums, one for each factor."""
     out = []
     for factor in factors:
-        inverse = pow(factor, -1, 1 << 64)
-        up, down = np.full(len(values), factor, np.uint64), np.full(len(values) + 1, inverse, np.uint64)
-        if len(up):
-            up[0] = 1
-        down[0] = 1
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(up, dtype=np.uint64), dtype=np.uint64)])
-        back = np.cumprod(down, dtype=np.uint64)
+        run, back = prefix_sums(values, factor), powers(pow(factor, -1, 1 << 64), len(values) + 1)
         out.append(mixed((run[starts + sizes] - run[starts]) * back[starts] + sizes.astype(np.uint64)))
     return out
 
@@ -133,32 +157,41 @@ class Segments:
 
     def __init__(self, shape: Shape, symbols: Symbols, grams: np.ndarray):
         k, w = shape.window, shape.window - shape.gram + 1
-        # The smallest gram of 1, 2, 4, ... and at last w places, and where it is.
-        best, place, wide = (grams >> np.uint64(32)).astype(np.uint32), np.arange(len(grams), dtype=np.int32), 1
-        while wide < w and len(best) > min(wide, w - wide):
+        if w >= 1 << PLACE_BITS:
+            raise ValueError("a window holds at most 31 grams")
+        at, low = symbols.at, np.uint64((1 << PLACE_BITS) - 1)
+        whole = np.flatnonzero(np.diff(at) >= k)
+        self.start = self.doc = self.windows = np.zeros(0, np.int64)
+        self.key = self.mark = np.zeros(0, np.uint64)
+        if not len(whole):
+            return
+        # The smallest gram of 1, 2, 4, ... and at last w places; of equal ones any, as they are one anchor.
+        best, wide = (grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low), 1
+        while wide < w:
             step = min(wide, w - wide)
-            right = best[step:] < best[:-step]
-            best = np.where(right, best[step:], best[:-step])
-            place = np.where(right, place[step:], place[:-step])
+            best = np.minimum(best[step:], best[:-step])
             wide += step
-        sizes = np.diff(symbols.at)
-        starts = spread(symbols.at[:-1], np.maximum(sizes - k + 1, 0))
-        doc = np.repeat(np.arange(len(sizes)), np.maximum(sizes - k + 1, 0))
-        anchor = place[starts] if len(starts) else starts
-        new = np.ones(len(starts), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        self.start, self.doc = starts[first], doc[first]
-        self.windows = np.diff(np.concatenate([first, [len(starts)]]))
-        self.key = grams[anchor[first]] if len(first) else np.zeros(0, np.uint64)
+        # A segment starts at a document's first window and where the anchor changes, never behind its last window.
+        new = np.empty(len(best), bool)
+        new[0] = True
+        np.not_equal(best[1:], best[:-1], out=new[1:])
+        new[at[whole]] = True
+        ends = np.maximum(at[1:] - k + 1, at[:-1])
+        behind = spread(ends[:-1], at[1:-1] - ends[:-1])
+        new[behind[behind < len(new)]] = False
+        first = np.flatnonzero(new[: ends[-1]])
+        self.start, self.doc = first, np.searchsorted(at, first, "right") - 1
+        self.windows = np.minimum(np.append(first[1:], ends[-1]), ends[self.doc]) - first
+        self.key = grams[first + ((best[first] - first.astype(np.uint64)) & low).astype(np.int64)]
+        self.mark = mixed(self.key)
 
     def shard(self, shards: int) -> np.ndarray:
-        low = self.key & np.uint64((1 << SHARD_BITS) - 1)
+        low = self.mark & np.uint64((1 << SHARD_BITS) - 1)
         return ((low * np.uint64(shards)) >> np.uint64(SHARD_BITS)).astype(np.int64)
 
     def sent(self, shards: int) -> np.ndarray:
         """The shard and, below it, the rest of the anchor's mark."""
-        return (self.shard(shards).astype(np.uint64) << np.uint64(KEY_BITS)) | (self.key >> np.uint64(SHARD_BITS))
+        return (self.shard(shards).astype(np.uint64) << np.uint64(KEY_BITS)) | (self.mark >> np.uint64(SHARD_BITS))
 
 
 def blocked(docs: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
