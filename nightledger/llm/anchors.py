@@ -399,7 +399,7 @@ def dedup(docs: DataFrame, id_column: str, text: str, shape: Shape, index, finis
     return blocks.groupBy("block").cogroup(common.unionByName(answers).groupBy("block")).applyInArrow(end, schema)
 
 
-def refined(keys: np.ndarray, length: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def refined(keys: np.ndarray, length: int, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bucket pointers of all positions by their first ``depth`` symbols, and the positions in that order.
 
     ``keys`` sorts positions by their first ``length`` symbols.
@@ -407,20 +407,34 @@ def refined(keys: np.ndarray, length: int, depth: int) -> tuple[np.ndarray, np.n
     A bucket's pointer is the place of its first member in the sorted order. Members of buckets of more than one are
     sorted by the pointers of their positions ``length`` further on, and the new pointers serve the next step, which
     therefore reaches twice as far; buckets of one are left alone.
+
+    ``wanted`` (a mask) says whose pointers are asked for. A pass then sorts only members whose pointers a later pass or
+    the caller reads; the other pointers, and the order of positions, stay as the first sort left them.
     """
+    steps, reached = [], length
+    while reached < depth:
+        steps.append(min(reached, depth - reached))
+        reached += steps[-1]
+    read, masks = wanted, []
+    for step in reversed(steps):
+        masks.insert(0, read)
+        if read is not None:
+            later = np.zeros(len(keys), bool)
+            later[step:] = read[: max(0, len(keys) - step)]
+            read = read | later
     n = len(keys)
     order = np.argsort(keys)
     new = np.ones(n, bool)
     new[1:] = keys[order][1:] != keys[order][:-1]
     pointer = np.empty(n, np.int64)
     pointer[order] = np.flatnonzero(new)[np.cumsum(new) - 1] if n else 0
-    while length < depth and n:
-        step = min(length, depth - length)
-        crowd = np.bincount(pointer, minlength=n)
-        slots = np.flatnonzero(crowd[pointer[order]] > 1)
+    for step, mask in zip(steps, masks, strict=True):
+        members = order if mask is None else np.flatnonzero(mask)
+        own = pointer[members]
+        slots = np.flatnonzero(np.bincount(own, minlength=n)[own] > 1)
         if not len(slots):
             break
-        crowded = order[slots]
+        crowded = members[slots]
         later = np.where(crowded + step < n, pointer[np.minimum(crowded + step, n - 1)] + 1, 0)
         own = pointer[crowded]
         by = np.argsort(own * np.int64(n + 1) + later)
@@ -433,6 +447,6 @@ def refined(keys: np.ndarray, length: int, depth: int) -> tuple[np.ndarray, np.n
         base = np.maximum.accumulate(np.where(start, where, 0))
         top = np.maximum.accumulate(np.where(fresh, where, 0))
         pointer[crowded] = own + top - base
-        order[slots] = crowded
-        length += step
+        if mask is None:
+            order[slots] = crowded
     return pointer, order

@@ -48,9 +48,12 @@ def least_ids(raw: np.ndarray, sizes: np.ndarray, lows: np.ndarray) -> tuple[np.
     keys = np.zeros(len(data), np.uint64)
     for j in range(QGRAM):
         keys = (keys << np.uint64(8)) | padded[j : j + len(data)]
-    pointer, _ = refined(keys, QGRAM, LENGTH)
     windows = sizes - LENGTH + 1
-    bucket = pointer[spread(np.cumsum(sizes) - sizes, windows)]
+    starts = spread(np.cumsum(sizes) - sizes, windows)
+    wanted = np.zeros(len(data), bool)
+    wanted[starts] = True
+    pointer, _ = refined(keys, QGRAM, LENGTH, wanted)
+    bucket = pointer[starts]
     least = np.full(len(data), NO_ID, np.int64)
     np.minimum.at(least, bucket, np.repeat(low, windows))
     return number, least[bucket]
