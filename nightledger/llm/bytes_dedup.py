@@ -92,6 +92,30 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text: str
     return dedup(docs, id_column, text, shape, least_ids, result(digests), schema)
 
 
-@query("op3_suffix_array_dedup")
+@query(
+    "op3_suffix_array_dedup",
+    """
+    WITH b AS (
+      SELECT doc_id, unnest(bytes) AS byte, generate_subscripts(bytes, 1) AS place
+      FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS bytes FROM documents)
+    ), v AS (
+      SELECT *, string_agg(byte, '') OVER ahead AS seen, count(*) OVER ahead = 50 AS whole
+      FROM b WINDOW ahead AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+    ), l AS (SELECT seen, min(doc_id) AS low FROM v WHERE whole GROUP BY seen),
+    g AS (
+      SELECT v.doc_id, place, byte, coalesce(bool_or(low < v.doc_id) OVER (
+               PARTITION BY v.doc_id ORDER BY place ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+      FROM v LEFT JOIN l ON whole AND v.seen = l.seen
+    ), s AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY place) AS starts FROM g),
+    k AS (
+      SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS gone, count(*) FILTER (starts) AS spans,
+             string_agg(byte, '' ORDER BY place) FILTER (NOT gone) AS kept
+      FROM s GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+           sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+    FROM documents d LEFT JOIN k USING (doc_id)
+    """,
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(documents(spark, sf_dir), digests=True)

@@ -80,7 +80,63 @@ def sharded(docs: DataFrame, key: str, text: str, weights: Sequence[float], grow
     return numbered(written(placed, "shards"), "shard", key)
 
 
-@query("op5_sharding")
+#: Primes of the published 64-bit xxHash (fixed values), for the SQL twin only.
+PRIMES = [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261]
+MASK = (1 << 64) - 1
+
+
+def _times(x: str, prime: int) -> str:
+    return f"(({x}) * {PRIMES[prime - 1]}::UHUGEINT & {MASK}::UHUGEINT)"
+
+
+def _rotated(x: str, bits: int) -> str:
+    return f"((({x}) << {bits} & {MASK}::UHUGEINT) | (({x}) >> {64 - bits}))"
+
+
+def _finish(source: str) -> str:
+    """Column h of ``source`` after the last mixing step."""
+    steps = [(33, 2), (29, 3)]
+    for shift, prime in steps:
+        source = f"SELECT * REPLACE ({_times(f'xor(h, h >> {shift})', prime)} AS h) FROM ({source})"
+    return f"SELECT * REPLACE (xor(h, h >> 32) AS h) FROM ({source})"
+
+
+def sharding_sql(shards: int) -> str:
+    """The query in SQL for shards of equal weight: hash, highest score, slots in order of the hash range and the key."""
+    key = f"(doc_id::HUGEINT & {MASK}::HUGEINT)::UHUGEINT"
+    long_start, int_start = PRIMES[4] + 8 + 42, PRIMES[4] + 4
+    mixed = f"xor({long_start}::UHUGEINT, {_times(_rotated(_times(key, 2), 31), 1)})"
+    start = f"{_times(_rotated(mixed, 27), 1)} + {PRIMES[3]}::UHUGEINT & {MASK}::UHUGEINT"
+    seeded = f"xor(key_hash + {int_start}::UHUGEINT & {MASK}::UHUGEINT, {_times('shard::UHUGEINT', 1)})"
+    again = f"{_times(_rotated(seeded, 23), 2)} + {PRIMES[2]}::UHUGEINT & {MASK}::UHUGEINT"
+    return f"""
+    WITH RECURSIVE k AS (
+      SELECT doc_id, coalesce(text, '') AS body, CASE WHEN doc_id IS NULL THEN 42::UHUGEINT ELSE h END AS key_hash
+      FROM ({_finish(f"SELECT doc_id, text, {start} AS h FROM documents")})
+    ), scores AS (
+      SELECT doc_id, key_hash, shard, -1.0 / ln(((h >> 11)::DOUBLE + 0.5) / {1 << 53}) AS score
+      FROM ({_finish(f"SELECT k.*, shard, {again} AS h FROM k, range({shards + 1}) r(shard)")})
+    ), best AS (
+      SELECT doc_id, key_hash,
+             first(shard ORDER BY score DESC, shard) FILTER (shard < {shards})::INTEGER AS shard,
+             first(shard ORDER BY score DESC, shard)::INTEGER AS grown_shard
+      FROM scores GROUP BY doc_id, key_hash
+    ), bits AS (
+      SELECT b AS byte, b AS c, 0 AS i FROM range(256) t(b)
+      UNION ALL
+      SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM bits WHERE i < 8
+    ), crc AS (SELECT list(c ORDER BY byte) AS crc_of FROM bits WHERE i = 8)
+    SELECT k.doc_id, (octet_length(encode(body)) + 1)::BIGINT AS size,
+           xor(list_reduce(
+             list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda h: ('0x' || h)::BIGINT),
+             lambda c, b: xor(c >> 8, crc_of[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS text_crc32,
+           'key' AS law, shard,
+           row_number() OVER (PARTITION BY shard ORDER BY k.key_hash & {RANGES - 1}::UHUGEINT, k.doc_id) - 1 AS slot, grown_shard
+    FROM k JOIN best ON k.doc_id IS NOT DISTINCT FROM best.doc_id CROSS JOIN crc
+    """
+
+
+@query("op5_sharding", sharding_sql(16))
 def op5(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
     rows = sharded(documents(spark, sf_dir), "doc_id", "text", [1.0] * shards, [1.0] * (shards + 1))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

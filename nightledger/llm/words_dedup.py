@@ -169,6 +169,27 @@ def remove_repeated_words(docs: DataFrame, id_column: str = "doc_id", text: str
     return dedup(docs, id_column, text, Shape(WINDOW, WINDOW - 7, read), least_ids, result(digests), schema)
 
 
-@query("op1_substring_dedup")
+@query(
+    "op1_substring_dedup",
+    """
+    WITH w AS (
+      SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place
+      FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM documents)
+    ), v AS (
+      SELECT *, string_agg(word, ' ') OVER ahead AS seen, count(*) OVER ahead = 13 AS whole
+      FROM w WINDOW ahead AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+    ), l AS (SELECT seen, min(doc_id) AS low FROM v WHERE whole GROUP BY seen),
+    g AS (
+      SELECT v.doc_id, place, word, coalesce(bool_or(low < v.doc_id) OVER (
+               PARTITION BY v.doc_id ORDER BY place ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone
+      FROM v LEFT JOIN l ON whole AND v.seen = l.seen
+    ), k AS (
+      SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS gone, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS kept
+      FROM g GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents d LEFT JOIN k USING (doc_id)
+    """,
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(documents(spark, sf_dir), digests=True)
