@@ -39,12 +39,15 @@ def test_numbered_spreads_one_hot_value(spark):
     assert layout.numbered(df, ["t", "id"], tasks=8).filter("row_no <> id").count() == 0
 
 
-@pytest.mark.parametrize("max_rows", [1, 7, 100])
-def test_chunks_close_on_count_or_window(spark, max_rows):
+@pytest.mark.parametrize("max_rows,hot_rows", [(1, 1000), (7, 1000), (100, 1000), (1, 20), (7, 20), (100, 1)])
+def test_chunks_close_on_count_or_window(spark, max_rows, hot_rows):
     rng = random.Random(2)
-    rows = [h.event(f"e{i:05d}", "event_key_1", rng.randrange(60_000_000)) for i in range(700)]
+    times = [7_000_000, 8_500_000] * 60 + [rng.randrange(60_000_000) for _ in range(580)]
+    rows = [h.event(f"e{i * 7919 % 700:05d}", "event_key_1", at) for i, at in enumerate(times)]
     df = store.archive_rows(h.landed(spark, rows)).select("eventId", "eventTimeStamp", "eventTime")
-    got = layout.time_count_chunks(df, max_rows, "10 seconds").collect()
+    chunks = layout.time_count_chunks(df, max_rows, "10 seconds", hot_rows)
+    assert chunks.columns == [*df.columns, "window_start", "chunk"]
+    got = chunks.collect()
     groups = {}
     for r in got:
         groups.setdefault((r.window_start, r.chunk), []).append((r.eventTime, r.eventId))
@@ -59,6 +62,32 @@ def test_chunks_close_on_count_or_window(spark, max_rows):
         assert ordered == sorted(ordered)
 
 
+def test_batch_stats_follow_from_instants(spark):
+    rng = random.Random(4)
+    times = [3_000_000] * 150 + [rng.randrange(30_000_000) for _ in range(400)]
+    rows = [h.event(f"e{i:05d}", "event_key_1", at) for i, at in enumerate(times)]
+    rows += [(f"n{i}", "IRIS.filter", "c", "no time", rows[0][4]) for i in range(25)]
+    df = store.archive_rows(h.landed(spark, rows))
+    chunks = layout.time_count_chunks(df, 7, "10 seconds").groupBy("window_start", "chunk")
+    want = chunks.agg(F.count(F.lit(1)), F.min("eventTimeStamp"), F.max("eventTimeStamp")).collect()
+    stats = layout.batch_stats(df, 7, "10 seconds")
+    assert sorted(map(tuple, stats.collect()), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def test_chunks_shuffle_rows_once_and_write_nothing(spark, monkeypatch):
+    path = scratch(spark, "chunks")
+    store.archive_rows(h.landed(spark, channel_rows(300))).write.parquet(path)
+    monkeypatch.setattr(layout, "scratch", lambda *_: pytest.fail("a table was written"))
+    events = spark.read.parquet(path)
+    chunks = layout.time_count_chunks(events, 10, "1 hour")
+    scans = [line for line in h.plan(chunks).splitlines() if "FileScan" in line]
+    assert sum("paramSet" in line for line in scans) == 1
+    assert sum("Exchange hashpartitioning(_at" in line for line in h.plan(chunks).splitlines()) == 1
+    assert chunks.count() == 300
+    scans = [line for line in h.plan(layout.batch_stats(events, 10, "1 hour")).splitlines() if "FileScan" in line]
+    assert scans and all("ReadSchema: struct<eventTimeStamp:timestamp>" in line for line in scans)
+
+
 def test_hot_partition_is_split_by_time(spark):
     rows = channel_rows()
     path = scratch(spark, "hot")
