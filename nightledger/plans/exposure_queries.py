@@ -11,7 +11,7 @@ from nightledger.plans import fixtures as fx
 from nightledger.plans.fixtures import sql
 from nightledger.plans.registry import query
 from nightledger.session import scratch
-from nightledger.sources import config, tables
+from nightledger.sources import config, keyword_store, tables
 
 
 def _snapshot_columns(rows: DataFrame) -> DataFrame:
@@ -103,6 +103,22 @@ def keyword_values_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.keyword_values_for(values, ended).select(*tables.KEYWORD_COLUMNS)
 
 
+@query(
+    "keyword_store_lookup",
+    sql(f"SELECT exposure_id, keyword, value FROM kv WHERE exposure_id IN ({_ENDED})", "kv", "obs"),
+)
+def keyword_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store of two batches, values of exposures that start and all others; the first is folded."""
+    root = scratch(spark, "keyword-store")
+    values = fx.keyword_values(spark, sf_dir).drop("batch_id")
+    starts = F.col("obs_event_name").eqNullSafe("ObserveEvent.ExposureStart")
+    keyword_store.append(values.filter(starts), root, 0)
+    keyword_store.append(values.filter(~starts), root, 1)
+    keyword_store.fold(spark, root)
+    ended = fx.observes(spark, sf_dir).filter(F.col("obs_event_name") == "ObserveEvent.ExposureEnd")
+    return keyword_store.lookup_for(spark, root, ended).select(*tables.KEYWORD_COLUMNS)
+
+
 @query("keyword_last_wins", sql("SELECT * FROM kv_last", "kv_last"))
 def keyword_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.keyword_last_wins(fx.keyword_values(spark, sf_dir))
