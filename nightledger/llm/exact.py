@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from nightledger.llm.registry import query
 from nightledger.llm.tables import ascii_lower, documents, written
@@ -49,21 +50,28 @@ def split(rows: DataFrame, width: int) -> DataFrame:
     return cut.join(groups, same).select("id", "row", "sha", F.col("name").alias("group"), "size", "top", rest.alias("rest"))
 
 
-def exact_groups(docs: DataFrame, id_column: str, text: Column) -> DataFrame:
-    """id, keep (largest id of the equal texts), size of the group, and SHA-256 of the text, for every row."""
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(text, F.lit("")).cast("binary").alias("rest"))
+def exact_groups(docs: DataFrame, id_column: str, text: Column, number: Column | None = None) -> DataFrame:
+    """id, keep (largest id of the equal texts), size of the group, and SHA-256 of the text, for every row.
+
+    With ``number``, which numbers the rows: ``row`` (id and number) and ``last``, the largest ``row`` of the equal
+    texts, take the place of the digest.
+    """
+    rest = F.coalesce(text, F.lit("")).cast("binary").alias("rest")
+    rows = docs.select(F.col(id_column).alias("id"), rest, *([] if number is None else [number.alias("number")]))
     # Rows that share an id but not a text must not lend their name to two groups.
     rows = rows.select(
         "id",
-        F.struct(F.col("id"), F.xxhash64("rest").alias("mark")).alias("row"),
-        F.sha2("rest", 256).alias("sha"),
-        F.lit(None).cast("struct<id:bigint,mark:bigint>").alias("group"),
+        F.struct(F.col("id"), (F.xxhash64("rest") if number is None else F.col("number")).alias("mark")).alias("row"),
+        (F.sha2("rest", 256) if number is None else F.lit(None).cast("string")).alias("sha"),
+        F.lit(None).cast(StructType([StructField("id", docs.select(id_column).schema[0].dataType), StructField("mark", LongType())])).alias("group"),
         "rest",
     )
     done, width = [], FIRST_WIDTH
     while True:
         level = written(split(rows, width), "radix")
-        done.append(level.filter(F.col("rest").isNull()).select("id", F.col("top").alias("keep"), "size", "sha"))
+        ended = level.filter(F.col("rest").isNull())
+        given = ["sha"] if number is None else ["row", F.col("group").alias("last")]
+        done.append(ended.select("id", F.col("top").alias("keep"), "size", *given))
         rows = level.filter(F.col("rest").isNotNull()).select("id", "row", "sha", "group", "rest")
         if rows.isEmpty():
             return reduce(DataFrame.unionAll, done)
@@ -71,13 +79,15 @@ def exact_groups(docs: DataFrame, id_column: str, text: Column) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without the copies; of rows that share text and id, one stays."""
-    lowered = ascii_lower(F.col(text))
-    groups = exact_groups(docs, id_column, lowered)
-    stays = groups.filter(F.col("id").eqNullSafe(F.col("keep"))).select(F.col("id").alias("__id"), F.col("sha").alias("__sha")).distinct()
-    marked = docs.withColumn("__own", F.sha2(F.coalesce(lowered, F.lit("")).cast("binary"), 256))
-    kept = marked.join(stays, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return kept.dropDuplicates([id_column, "__own"]).drop("__own")
+    """The rows of ``docs`` without the copies; of rows that share text and id, one stays.
+
+    Rows are numbered and stored first, and the number says which stay: neither here does a digest decide.
+    """
+    packed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("number"))
+    packed = written(packed, "numbered")
+    groups = exact_groups(packed, f"doc.`{id_column}`", ascii_lower(F.col(f"doc.`{text}`")), F.col("number"))
+    stays = groups.filter(F.col("row.mark") == F.col("last.mark")).select(F.col("row.mark").alias("number"))
+    return packed.join(stays, "number", "left_semi").select("doc.*")
 
 
 @query(

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nightledger.llm.registry import query
-from nightledger.llm.tables import documents, written
+from nightledger.llm.tables import documents, unused_prefix, written
 from nightledger.llm.words import Words, flat, slices
 
 SEED = "mix-1"
@@ -221,18 +221,21 @@ def repeated(docs: DataFrame, source: str = "source", id_column: str = "doc_id",
     """The rows of the mix: a row as often as it is taken."""
     taken = mixed(docs, F.array(label(F.col(source))), id_column, text).filter("copies > 0")
     # Rows that share id and source share one order of the hash; they are told apart by their size.
-    plan = taken.groupBy(F.col("id").alias("__id"), F.col("members")[0].alias("__source"), F.col("size").alias("__size")).agg(
-        F.sort_array(F.collect_list("copies"), asc=False).alias("__copies")
+    own = unused_prefix(docs)
+    plan = taken.groupBy(F.col("id").alias(f"{own}id"), F.col("members")[0].alias(f"{own}source"), F.col("size").alias(f"{own}size")).agg(
+        F.sort_array(F.collect_list("copies"), asc=False).alias(f"{own}copies")
     )
-    sized = docs.withColumns({"__own": F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))})
-    rank = Window.partitionBy(id_column, source, "__own").orderBy(F.xxhash64(text))
-    sized = sized.withColumn("__rank", F.row_number().over(rank))
+    sized = docs.withColumns({f"{own}own": F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))})
+    rank = Window.partitionBy(id_column, source, f"{own}own").orderBy(F.xxhash64(text))
+    sized = sized.withColumn(f"{own}rank", F.row_number().over(rank))
     same = (
-        F.col(id_column).eqNullSafe(F.col("__id")) & (label(F.col(source)) == F.col("__source")) & (F.col("__own") == F.col("__size"))
+        F.col(id_column).eqNullSafe(F.col(f"{own}id"))
+        & (label(F.col(source)) == F.col(f"{own}source"))
+        & (F.col(f"{own}own") == F.col(f"{own}size"))
     )
-    copies = F.coalesce(F.get("__copies", F.col("__rank") - 1), F.lit(0)).cast("int")
-    rows = sized.join(plan, same).withColumn("__n", copies)
-    return rows.withColumn("__k", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select(*docs.columns)
+    copies = F.coalesce(F.get(f"{own}copies", F.col(f"{own}rank") - 1), F.lit(0)).cast("int")
+    rows = sized.join(plan, same).withColumn(f"{own}n", copies)
+    return rows.withColumn(f"{own}k", F.explode(F.array_repeat(F.lit(0), F.col(f"{own}n")))).select(*docs.columns)
 
 
 @query(

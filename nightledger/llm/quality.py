@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from nightledger.llm.registry import query
-from nightledger.llm.tables import documents, written
+from nightledger.llm.tables import documents, unused_prefix, written
 from nightledger.llm.words import Words, flat, grams, slices, sums
 
 MIN_WORDS, REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -153,20 +153,20 @@ def host_label(host: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))
 
 
-def without_lines(text: str):
-    """Rows with a text and ``__frequent``: the text without the lines of these hashes."""
+def without_lines(text: str, column: str):
+    """Rows with a text and hashes of lines in ``column``: the text without these lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = flat(batch.column(text))
             raw, texts = data.tobytes(), []
-            for i, frequent in enumerate(batch.column("__frequent").to_pylist()):
+            for i, frequent in enumerate(batch.column(column).to_pylist()):
                 own = raw[at[i] : at[i + 1]]
                 if frequent:
                     gone = set(frequent)
                     own = b"\n".join(x for x in own.split(b"\n") if not x.strip(BLANK) or line_mark(x) not in gone)
                 texts.append(own.decode("utf-8", "replace"))
-            names = [c for c in batch.schema.names if c != "__frequent"]
+            names = [c for c in batch.schema.names if c != column]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
 
     return run
@@ -179,18 +179,19 @@ def keep_good(
 
     Where a row has lost lines its ``n_chars``, if there is such a column, is counted anew. Nothing else changes.
     """
-    keys = ["__id", "__host", "__mark"]
+    own = unused_prefix(docs)
+    keys, frequent, cut = [own + k for k in ("id", "host", "mark")], own + "frequent", own + "shorter"
     judged = line_frequency(docs, id_column, text, host=host).filter("kept")
-    good = judged.select(*(F.col(k[2:]).alias(k) for k in keys), F.col("frequent").alias("__frequent")).dropDuplicates(keys)
-    same = F.col(id_column).eqNullSafe(F.col("__id")) & (host_label(host) == F.col("__host")) & (F.xxhash64(F.col(text)) == F.col("__mark"))
-    kept = docs.join(good, same).select(docs["*"], "__frequent")
+    good = judged.select(*(F.col(k[len(own) :]).alias(k) for k in keys), F.col("frequent").alias(frequent)).dropDuplicates(keys)
+    same = F.col(id_column).eqNullSafe(F.col(keys[0])) & (host_label(host) == F.col(keys[1])) & (F.xxhash64(F.col(text)) == F.col(keys[2]))
+    kept = docs.join(good, same).select(docs["*"], frequent)
     if n_chars not in docs.columns:
-        return kept.mapInArrow(without_lines(text), docs.schema)
-    shorter = kept.withColumn("__shorter", F.col("__frequent").isNotNull())
-    schema = StructType([*docs.schema.fields, StructField("__shorter", BooleanType())])
-    out = shorter.select(*docs.columns, "__shorter", "__frequent").mapInArrow(without_lines(text), schema)
-    counted = F.when(F.col("__shorter"), F.length(text)).otherwise(F.col(n_chars))
-    return out.withColumn(n_chars, counted.cast(docs.schema[n_chars].dataType)).drop("__shorter")
+        return kept.mapInArrow(without_lines(text, frequent), docs.schema)
+    shorter = kept.withColumn(cut, F.col(frequent).isNotNull())
+    schema = StructType([*docs.schema.fields, StructField(cut, BooleanType())])
+    out = shorter.select(*docs.columns, cut, frequent).mapInArrow(without_lines(text, frequent), schema)
+    counted = F.when(F.col(cut), F.length(text)).otherwise(F.col(n_chars))
+    return out.withColumn(n_chars, counted.cast(docs.schema[n_chars].dataType)).drop(cut)
 
 
 WORD = r"[^\x20\x09-\x0D]+"

@@ -27,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused_prefix(df: DataFrame) -> str:
+    """A prefix that no column of the table begins with, for columns added to it on the way."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 #: Spark's estimate of a table that it knows nothing about is beyond any real size.
 UNKNOWN = 1 << 60
 

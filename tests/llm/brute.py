@@ -34,16 +34,16 @@ def substrings(rows, length, of_words):
     return sorted(out, key=repr)
 
 
-def shingles(text):
+def shingles(text, n=3):
     words = WORD.findall((text or "").translate(FOLD))
     if not words:
         return frozenset()
-    return frozenset(tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2)))
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
 
 
-def components(rows):
+def components(rows, n=3, percent=90):
     """Sorted (id, set size, smallest id reachable) of (id, text) rows."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, n) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -53,7 +53,7 @@ def components(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and 100 * len(a & sets[j]) >= 90 * len(a | sets[j]):
+            if a and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 root[find(i)] = find(j)
     least = defaultdict(lambda: None)
     for i, (d, _) in enumerate(rows):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import public_tokenizers
@@ -213,8 +214,26 @@ def test_pipeline(spark):
     assert once.count() == len({(r.text or "").translate(brute.FOLD) for r in good.collect()})
     near = stages["near"](spark, once, SMALL).cache()
     own = texts(once)
-    assert texts(near) == [(d, t) for d, t in own if (d, d) in {(a, c) for a, _, c in brute.components(own)}]
+    assert texts(near) == [(d, t) for d, t in own if (d, d) in {(a, c) for a, _, c in brute.components(own, 5, 80)}]
+    assert len(texts(near)) < len(own)
     mixed = stages["mix"](spark, near, SMALL).cache()
-    assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in near.collect()}
+    planned = mixing.mixed(near, F.array(mixing.label(F.col("source")))).collect()
+    times = Counter((r.doc_id, len(brute.WORD.findall(r.text or ""))) for r in mixed.collect())
+    assert times == Counter((r.id, r.size) for r in planned for _ in range(r.copies))
     assert mixed.columns == docs.columns
-    assert stages["tokens"](spark, mixed, SMALL).count() == mixed.count()
+    bpe = Bpe(load(public_tokenizers.path(VOCABULARY)))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    got = sorted((r.doc_id, r.ids) for r in stages["tokens"](spark, mixed, SMALL).collect())
+    assert got == sorted((r.doc_id, known.encode_ordinary(r.text or "")) for r in mixed.collect())
+
+
+def test_stages_leave_other_columns_alone(spark):
+    """Names that the stages use themselves stay the columns of the table, and ids of another integer type are taken."""
+    names = ["__id", "__own", "__n", "__rank", "__k", "__frequent", "__shorter", "__mark", "number", "doc", "row"]
+    docs = table(spark, [r for r in rows() if r[0] is not None]).select(
+        F.col("doc_id").cast("int").alias("doc_id"), "text", "lang", "source", "n_chars", *(F.lit(n).alias(n) for n in names)
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        assert out.count() > 0 and out.select(*names).distinct().collect() == [tuple(names)], name
