@@ -99,3 +99,26 @@ def test_emails_equal_the_plain_pattern():
     for _ in range(20_000):
         text = "".join(rng.choice("ab1.@@-_ é") for _ in range(rng.randrange(30)))
         assert list(emails(text)) == [m.span() for m in plain.finditer(text)], text
+
+
+def test_generated_pages_give_their_article_whole():
+    """Articles of known paragraphs between menus, adverts, forms, comments and scripts, with or without an article tag."""
+    rng = random.Random(29)
+    words = "the of and to in is that for it as with was on at by stone river light paper morning house seven garden &amp; caf&eacute;".split()
+    around = [
+        "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>", "<header><h2>Site name</h2></header>",
+        "<aside><p>Most read this week</p></aside>", "<div class='ad'><p>Buy one now</p></div>", "<script>var a = '<p>no</p>';</script>",
+        "<form><input name=q><button>Search</button></form>", "<style>p { color: red }</style>", "<div class=cookie-notice>We use cookies</div>",
+    ]
+    for _ in range(300):
+        marked, body, want = rng.random() < 0.7, [], []
+        for _ in range(rng.randint(2, 8)):
+            chosen = [rng.choice(words) for _ in range(rng.randint(12 if not marked else 1, 60))]
+            shown = [f"<b>{w}</b>" if rng.random() < 0.1 else w for w in chosen]
+            body.append("<p>" + rng.choice([" ", "\n ", "  "]).join(shown) + "</p>")
+            want.append(" ".join(chosen).replace("&amp;", "&").replace("&eacute;", "\u00e9"))
+        before, after = (rng.sample(around, rng.randint(0, 5)) for _ in range(2))
+        main = f"<article>{''.join(body)}</article>" if marked else f"<div id=content>{''.join(body)}</div>"
+        comments = "<section class=comments><p>A reader writes at length about this</p></section>" if rng.random() < 0.5 else ""
+        page = f"<html><body>{''.join(before)}{main}{comments}{''.join(after)}<footer>End</footer></body></html>"
+        assert main_text(page) == "\n".join(want), page
