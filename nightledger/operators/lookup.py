@@ -43,6 +43,7 @@ def archive_snapshot(
     observes: DataFrame,
     channels: DataFrame | None = None,
     lookback_days: tuple[int, ...] = LOOKBACK_DAYS,
+    by_instant: bool = False,
 ) -> DataFrame:
     """What ``event_snapshot`` over the whole archive gives for these observe events, reading few days of it.
 
@@ -55,7 +56,7 @@ def archive_snapshot(
     observes = observes.filter(F.col("obs_time").isNotNull())
     days = [row[0] for row in observes.select(F.to_date("obs_time")).distinct().collect()]
     if not days:
-        return event_snapshot(with_key(archive), observes=observes)
+        return event_snapshot(with_key(archive), observes=observes, by_instant=by_instant)
     asked = observes.count()
     until = archive.filter(F.make_date("year", "month", "day") <= F.lit(max(days)))
     channels = with_key(until.select("source", "eventName").distinct()).select("event_key") if channels is None else channels
@@ -64,7 +65,7 @@ def archive_snapshot(
     keys: DataFrame | None = None
     for back in (*lookback_days, None):
         part = until if back is None else in_spans(archive, day_spans(days, back))
-        rows = event_snapshot(with_key(part), keys=keys, observes=observes)
+        rows = event_snapshot(with_key(part), keys=keys, observes=observes, by_instant=by_instant)
         if back is not None:  # an older event may come from the days of another observe event
             rows = rows.filter(F.col("eventTimeStamp") >= F.date_sub(F.to_date("obs_time"), back))
         if found is not None:

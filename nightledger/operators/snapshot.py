@@ -121,6 +121,7 @@ def event_snapshot(
     observes: DataFrame | None = None,
     cell_seconds: int | None = None,
     columns: list[str] = EVENT_COLUMNS,
+    by_instant: bool = False,
 ) -> DataFrame:
     """For every observe event and channel, the channel's last event at or before it.
 
@@ -128,7 +129,8 @@ def event_snapshot(
     after others, then event id. ``keys`` (a column ``event_key``) limits the channels; ``observes`` limits the observe
     events that are answered, which are otherwise all in ``bus``; it may have more columns, which the result then has as
     well. ``columns`` are those of the events to return; with
-    few of them the shuffles are narrow.
+    few of them the shuffles are narrow. With ``by_instant``, observe events of one instant all see each other; the last
+    by event id stands for its channel.
 
     Time is cut into cells that hold few observe events. Every event first learns the place, in its cell's list of
     observe events, of the first one that sees it, and is reduced to the last one per channel, cell and place before
@@ -162,11 +164,13 @@ def event_snapshot(
         asks = F.broadcast(asks)
     small = CELL_ROW_BYTES * chosen.cells <= BROADCAST_BYTES
 
-    # An observe event is seen from its own place on, any other event from the first place not before it.
+    # An observe event is seen from its own place on, any other event from the first place not before it; so are observe
+    # events that see all of their instant.
     at, name = F.col("eventTimeStamp"), F.col("eventId")
     earlier = F.size(F.filter("asks.obs_time", lambda t: t < at))
     same = F.filter("asks", lambda ask: (ask["obs_time"] == at) & (ask["obs_event_id"] < name))
-    place = F.coalesce(earlier + F.when(is_obs, F.size(same)).otherwise(0), F.lit(0))
+    own = F.lit(0) if by_instant else F.when(is_obs, F.size(same)).otherwise(0)
+    place = F.coalesce(earlier + own, F.lit(0))
     order = ["eventTimeStamp", "is_obs", "eventId"]
     kept = list(dict.fromkeys([*columns, "eventTimeStamp", "eventId"]))
     # Cells are never null: a join would otherwise add a filter to one use of ``seen`` and keep its shuffle from being

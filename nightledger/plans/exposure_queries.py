@@ -32,7 +32,7 @@ SNAPSHOT_SQL = sql(
 
 @query("event_snapshot", SNAPSHOT_SQL)
 def event_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snapshot_columns(snapshot.event_snapshot(fx.stored_bus(spark, sf_dir)))
+    return _snapshot_columns(snapshot.event_snapshot(fx.stored_bus(spark, sf_dir), by_instant=True))
 
 
 @query(
@@ -61,7 +61,7 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def snapshot_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "snapshots")
-    tables.write_snapshots(snapshot.event_snapshot(fx.stored_bus(spark, sf_dir)), path)
+    tables.write_snapshots(snapshot.event_snapshot(fx.stored_bus(spark, sf_dir), by_instant=True), path)
     return tables.read_snapshots(spark, path).select(
         *tables.SNAPSHOT_COLUMNS[:5],
         micro_text(F.col("eventtime")).alias("at"),

@@ -88,6 +88,7 @@ def process_batch(
     root: str,
     mappings: Mappings | None = None,
     lateness_seconds: int = LATENESS_SECONDS,
+    by_instant: bool = False,
 ) -> None:
     """State, snapshots, late events, rejects and, with ``mappings``, keyword values of one micro-batch."""
     spark = events.sparkSession
@@ -109,7 +110,7 @@ def process_batch(
     changed_from = LATEST if first_on_time is None else first_on_time
     again = before.events(spark, params, since=changed_from)
     observes = observe_events(bus.filter(at >= horizon).unionByName(again), OBSERVE_EVENTS)
-    snapshot = event_snapshot(before.known(spark, params).unionByName(bus), observes=observes)
+    snapshot = event_snapshot(before.known(spark, params).unionByName(bus), observes=observes, by_instant=by_instant)
     _write_answers(snapshot, lambda _: observes, root, batch_id, 0, mappings)
 
     if late:
@@ -121,13 +122,16 @@ def process_batch(
     generations.finish(spark, before, name, params, first, last, lateness)
 
 
+#: Holds for a row of an observe event's own channel, in which nothing later than itself can stand.
+_OWN = "eventTimeStamp = obs_time AND eventName = obs_event_name"
+
+
 def _own_rows(snapshots: DataFrame) -> DataFrame:
-    """The observe events of stored snapshots: each has the row of its own event in it."""
-    own = (F.col("eventId") == F.col("obs_event_id")) & (F.col("eventTimeStamp") == F.col("obs_time"))
-    return snapshots.filter(own & (F.col("eventName") == F.col("obs_event_name"))).select(*OBSERVE_COLUMNS)
+    """The observe events of stored snapshots: each has the row of its own event in it, or of one like it."""
+    return snapshots.filter(_OWN).select(*OBSERVE_COLUMNS).distinct()
 
 
-def _with_late_events(stored: DataFrame, late: DataFrame) -> DataFrame:
+def _with_late_events(stored: DataFrame, late: DataFrame, by_instant: bool = False) -> DataFrame:
     """The snapshots among ``stored`` that late events change, with the change. Written to the shared folder.
 
     The last event at or before an observe event is the later one of the last among all others and the last among the
@@ -136,7 +140,7 @@ def _with_late_events(stored: DataFrame, late: DataFrame) -> DataFrame:
     spark = stored.sparkSession
     first = late.agg(F.min("eventTimeStamp")).first()[0]
     reached = stored.filter(F.col("obs_time") >= F.lit(first))
-    newer = event_snapshot(late, observes=_own_rows(reached))
+    newer = event_snapshot(late, observes=_own_rows(reached), by_instant=by_instant)
     columns = [*OBSERVE_COLUMNS, "event_key", *EVENT_COLUMNS]
     both = reached.select(*columns, F.lit(0).alias("late")).unionByName(newer.select(*columns, F.lit(1).alias("late")))
     order = ["eventTimeStamp", F.col("eventName").isin(*OBSERVE_EVENTS), "eventId"]
@@ -151,7 +155,12 @@ def _with_late_events(stored: DataFrame, late: DataFrame) -> DataFrame:
 
 
 def reconcile(
-    spark: SparkSession, root: str, archive: DataFrame, params: T.StructType, mappings: Mappings | None = None
+    spark: SparkSession,
+    root: str,
+    archive: DataFrame,
+    params: T.StructType,
+    mappings: Mappings | None = None,
+    by_instant: bool = False,
 ) -> int:
     """Answer late observe events, and mend the answers that late events change; returns how many batches had any.
 
@@ -174,8 +183,8 @@ def reconcile(
     late = spark.read.schema(schema).parquet(*[f"{root}/{LATE_EVENTS}/{BATCH}={b}" for b in new])
     revision = files.next_attempt(spark, notes, batch_id) + 1
     channels = read_state(spark, root, params).select("event_key")
-    looked_up = archive_snapshot(archive, observe_events(late), channels)
-    mended = _with_late_events(stored_snapshots(spark, root, params), late)
+    looked_up = archive_snapshot(archive, observe_events(late), channels, by_instant=by_instant)
+    mended = _with_late_events(stored_snapshots(spark, root, params), late, by_instant)
     columns = [*OBSERVE_COLUMNS, "event_key", *EVENT_COLUMNS]
     answers = looked_up.select(*columns).unionByName(mended.select(*columns))
     _write_answers(answers, _own_rows, root, batch_id, revision, mappings)
@@ -190,12 +199,16 @@ def start_exposures(
     mappings: Mappings | None = None,
     trigger: dict | None = None,
     lateness_seconds: int = LATENESS_SECONDS,
+    by_instant: bool = False,
 ) -> StreamingQuery:
-    """Run ``process_batch`` over a stream of landed events. ``mappings`` builds the merged, classified mappings."""
+    """Run ``process_batch`` over a stream of landed events. ``mappings`` builds the merged, classified mappings.
+
+    ``by_instant`` is that of ``event_snapshot``; ``reconcile`` is to be given the same.
+    """
     prepare_tables(events.sparkSession, root, events.schema["paramSet"].dataType)
 
     def each(rows: DataFrame, batch_id: int) -> None:
-        process_batch(rows, batch_id, root, mappings, lateness_seconds)
+        process_batch(rows, batch_id, root, mappings, lateness_seconds, by_instant)
 
     return (
         events.writeStream.foreachBatch(each)

@@ -1,9 +1,13 @@
 """Answers that were partial or wrong, and steps that outgrew a task."""
 
-from pyspark.sql import functions as F
-
 import __spark_entry__ as entry
+from nightledger.operators.snapshot import event_snapshot
 from nightledger.plans import fixtures as fx
+from nightledger.schema import EXPOSURE_END, EXPOSURE_START
+from nightledger.session import scratch
+from nightledger.sources import archive as store
+from nightledger.streaming import exposure
+from tests import helpers as h
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -15,3 +19,32 @@ def test_two_event_join_has_every_row_of_both_series(spark):
     right = bus.filter("source = 'ESW.observe' AND eventName = 'ObserveEvent.ExposureStart'")
     want = left.select("eventTime").union(right.select("eventTime")).distinct()
     assert got.count() >= want.count() and want.join(got, "eventTime", "left_anti").isEmpty()
+
+
+def test_observe_events_of_one_instant_see_each_other(spark):
+    rows = [h.observe("o2", 10, name=EXPOSURE_START), h.observe("o1", 10, name=EXPOSURE_END), h.event("e", "event_key_1", 10)]
+    rows += [h.observe("o3", 10, name=EXPOSURE_START), h.observe("o0", 9, name=EXPOSURE_START)]
+    start, end = ("ESW.observe.ObserveEvent.Exposure" + kind for kind in ("Start", "End"))
+    got = h.snapshot_dict(event_snapshot(h.bus(spark, rows), by_instant=True))
+    want = {("o0", h.iso(9), start): "o0"}
+    for o in ("o1", "o2", "o3"):
+        want |= {(o, h.iso(10), start): "o3", (o, h.iso(10), end): "o1", (o, h.iso(10), "IRIS.filter.event_key_1"): "e"}
+    assert got == want
+
+
+def test_the_stream_answers_by_instant_whatever_comes_late(spark):
+    second = 10**6
+    on_time = [h.event("e1", "event_key_1", 100 * second), h.observe("o1", 110 * second, name=EXPOSURE_END)]
+    late = [h.observe("l1", 5 * second), h.observe("l0", 5 * second, name=EXPOSURE_END), h.event("e0", "event_key_2", 4 * second)]
+    last = [h.observe("o2", 110 * second), h.event("e2", "event_key_1", 300 * second)]
+    root = scratch(spark, "instants")
+    exposure.prepare_tables(spark, root, fx.PARAMS)
+    for batch_id, part in enumerate([on_time, last, late]):
+        exposure.process_batch(h.landed(spark, part), batch_id, root, None, 60, by_instant=True)
+    rows = [*on_time, *last, *late]
+    store.write_archive(store.archive_rows(h.landed(spark, rows)), f"{root}/archive")
+    exposure.reconcile(spark, root, store.read_archive(spark, f"{root}/archive", fx.EVENT), fx.PARAMS, by_instant=True)
+    got = h.snapshot_dict(exposure.stored_snapshots(spark, root, fx.PARAMS))
+    assert got == h.snapshot_dict(event_snapshot(h.bus(spark, rows), by_instant=True))
+    assert got[("o1", h.iso(110 * second), "ESW.observe.ObserveEvent.ExposureStart")] == "o2"
+    assert got[("o1", h.iso(110 * second), "IRIS.filter.event_key_2")] == "e0"
