@@ -63,6 +63,9 @@ def keyword_outcomes(observes: DataFrame, snapshot: DataFrame, mappings: DataFra
     )
     wanted = asked.join(broadcast_if_small(rules), ["subsystem", "obs_event_name"])
     kinds = snapshot.schema["paramSet"].dataType
+    keys = few_values(rules, "event_key")
+    if keys is not None and len(keys) <= SMALL_VALUES:
+        snapshot = snapshot.filter(F.col("event_key").isin(*keys))  # states that no rule reads need not be shuffled
     states = snapshot.select("obs_event_id", "obs_time", "event_key", "paramSet", F.lit(True).alias("seen"))
     derived = lookup(F.col("paramSet"), kinds, F.col("key_name"), F.col("key_index"), F.col("attribute"))
     missing = F.struct(F.lit(None).cast("string").alias("value"), F.lit(EVENT_MISSING).alias("reason"))

@@ -49,7 +49,8 @@ def archive_snapshot(
 
     The day of each observe event and the ones before it are searched for all channels; further back, only for the
     channels that are still without an answer, so that both days and channels prune the archive's partitions.
-    ``channels`` (a column ``event_key``) lists those there are; it is taken from the archive's partitions if not given.
+    A search that has gone over every day up to the last one is the only one. ``channels`` (a column ``event_key``) lists
+    those there are; it is taken from the archive's partitions if not given.
     The answers of each search are written to the shared folder.
     """
     spark = archive.sparkSession
@@ -58,13 +59,18 @@ def archive_snapshot(
     if not days:
         return event_snapshot(with_key(archive), observes=observes, by_instant=by_instant)
     asked = observes.count()
-    until = archive.filter(F.make_date("year", "month", "day") <= F.lit(max(days)))
+    day = F.make_date("year", "month", "day")
+    until = archive.filter(day <= F.lit(max(days)))
+    earliest = until.agg(F.min(day)).first()[0]
     channels = with_key(until.select("source", "eventName").distinct()).select("event_key") if channels is None else channels
     pair = ["obs_event_id", "obs_time", "event_key"]
     found: DataFrame | None = None
     keys: DataFrame | None = None
     for back in (*lookback_days, None):
-        part = until if back is None else in_spans(archive, day_spans(days, back))
+        spans = [] if back is None else day_spans(days, back)
+        if len(spans) == 1 and (earliest is None or spans[0][0] <= earliest):
+            back = None  # these are all days
+        part = until if back is None else in_spans(archive, spans)
         rows = event_snapshot(with_key(part), keys=keys, observes=observes, by_instant=by_instant)
         if back is not None:  # an older event may come from the days of another observe event
             rows = rows.filter(F.col("eventTimeStamp") >= F.date_sub(F.to_date("obs_time"), back))

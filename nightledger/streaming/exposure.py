@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nightledger.operators.keywords import keyword_extract
 from nightledger.operators.lookup import archive_snapshot
+from nightledger.operators.sizes import broadcast_if_small
 from nightledger.operators.snapshot import OBSERVE_COLUMNS, event_snapshot, observe_events
 from nightledger.operators.state import EVENT_COLUMNS, latest_per_key
 from nightledger.schema import OBSERVE_EVENTS
@@ -135,12 +136,21 @@ def _with_late_events(stored: DataFrame, late: DataFrame, by_instant: bool = Fal
     """The snapshots among ``stored`` that late events change, with the change. Written to the shared folder.
 
     The last event at or before an observe event is the later one of the last among all others and the last among the
-    late ones; the former are stored, and a snapshot over the late events alone gives the latter.
+    late ones; the former are stored, and a snapshot over the late events alone gives the latter. An answer that has
+    something newer than the last late event of every channel stays as it is; only the others are read whole.
     """
     spark = stored.sparkSession
     first = late.agg(F.min("eventTimeStamp")).first()[0]
+    event = ["obs_event_id", "obs_time"]
     reached = stored.filter(F.col("obs_time") >= F.lit(first))
-    newer = event_snapshot(late, observes=_own_rows(reached), by_instant=by_instant)
+    ends = late.groupBy("event_key").agg(F.max("eventTimeStamp").alias("end"))
+    newest = reached.join(broadcast_if_small(ends), "event_key").filter(F.col("eventTimeStamp") > F.col("end"))
+    settled = newest.groupBy(*event).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= ends.count())
+    path = scratch(spark, "reachable")
+    _own_rows(reached).join(settled, event, "left_anti").write.parquet(path)
+    open_ones = spark.read.schema(_observe_schema()).parquet(path)
+    reached = reached.join(broadcast_if_small(open_ones.select(*event)), event, "left_semi")
+    newer = event_snapshot(late, observes=open_ones, by_instant=by_instant)
     columns = [*OBSERVE_COLUMNS, "event_key", *EVENT_COLUMNS]
     both = reached.select(*columns, F.lit(0).alias("late")).unionByName(newer.select(*columns, F.lit(1).alias("late")))
     order = ["eventTimeStamp", F.col("eventName").isin(*OBSERVE_EVENTS), "eventId"]
@@ -149,7 +159,6 @@ def _with_late_events(stored: DataFrame, late: DataFrame, by_instant: bool = Fal
     path = scratch(spark, "reconciled")
     merged.write.parquet(path)
     merged = spark.read.schema(merged.schema).parquet(path)
-    event = ["obs_event_id", "obs_time"]
     changed = merged.filter("late = 1").select(*event).distinct()
     return merged.join(changed, event, "left_semi").drop("late")
 
@@ -239,7 +248,8 @@ def _newest_answers(spark: SparkSession, root: str, rows: DataFrame) -> DataFram
     Answers are known from the snapshots, in which an observe event has at least the row of its own channel.
     """
     event = ["obs_event_id", "obs_time"]
-    answers = spark.read.schema(_observe_schema().add(BATCH, T.LongType()).add(REVISION, T.IntegerType())).parquet(f"{root}/{SNAPSHOTS}")
+    own = [T.StructField("eventTimeStamp", T.TimestampType()), T.StructField("eventName", T.StringType())]
+    answers = spark.read.schema(_answer_schema(*own)).parquet(f"{root}/{SNAPSHOTS}").filter(_OWN)
     newest = answers.groupBy(*event).agg(F.max(_order()).alias("answer"))
     return rows.withColumn("answer", _order()).join(newest, [*event, "answer"], "left_semi").drop("answer", BATCH, REVISION)
 
@@ -251,7 +261,17 @@ def _answer_schema(*fields: T.StructField) -> T.StructType:
 def stored_snapshots(spark: SparkSession, root: str, params: T.StructType) -> DataFrame:
     """The snapshots the stream wrote, each as last revised."""
     schema = _answer_schema(*generations.state_schema(params).fields)
-    return _newest_answers(spark, root, spark.read.schema(schema).parquet(f"{root}/{SNAPSHOTS}"))
+    rows = spark.read.schema(schema).parquet(f"{root}/{SNAPSHOTS}")
+    # Few answers are replaced. Those are found in narrow rows, so that the wide ones need not be shuffled to be sorted out.
+    given = rows.filter(_OWN).select("obs_event_id", "obs_time", _order().alias("answer")).distinct()
+    several = given.groupBy("obs_event_id", "obs_time").agg(F.sort_array(F.collect_set("answer")).alias("answers"))
+    several = several.filter(F.size("answers") > 1)
+    replaced = several.select("obs_event_id", "obs_time", F.explode(F.slice("answers", 1, F.size("answers") - 1)).alias("answer"))
+    path = scratch(spark, "replaced")
+    replaced.write.parquet(path)
+    replaced = broadcast_if_small(spark.read.schema(replaced.schema).parquet(path))
+    kept = rows.withColumn("answer", _order()).join(replaced, ["obs_event_id", "obs_time", "answer"], "left_anti")
+    return kept.drop("answer", BATCH, REVISION)
 
 
 def stored_rejects(spark: SparkSession, root: str) -> DataFrame:

@@ -48,3 +48,22 @@ def test_the_stream_answers_by_instant_whatever_comes_late(spark):
     assert got == h.snapshot_dict(event_snapshot(h.bus(spark, rows), by_instant=True))
     assert got[("o1", h.iso(110 * second), "ESW.observe.ObserveEvent.ExposureStart")] == "o2"
     assert got[("o1", h.iso(110 * second), "IRIS.filter.event_key_2")] == "e0"
+
+
+def test_answers_newer_than_all_late_events_are_not_merged_again(spark, monkeypatch):
+    """Only o1 can see the late event; the ten observe events after e2 hold something newer of its channel."""
+    second, paths = 10**6, {}
+    rows = [h.observe("o1", 100 * second), h.event("e2", "event_key_1", 200 * second)]
+    rows += [h.observe(f"p{i}", (300 + i) * second) for i in range(10)]
+    late = [h.event("e0", "event_key_1", 50 * second)]
+    root = scratch(spark, "settled")
+    exposure.prepare_tables(spark, root, fx.PARAMS)
+    for batch_id, part in enumerate([rows, late]):
+        exposure.process_batch(h.landed(spark, part), batch_id, root)
+    store.write_archive(store.archive_rows(h.landed(spark, rows + late)), f"{root}/archive")
+    monkeypatch.setattr(exposure, "scratch", lambda s, name: paths.setdefault(name, scratch(s, name)))
+    exposure.reconcile(spark, root, store.read_archive(spark, f"{root}/archive", fx.EVENT), fx.PARAMS)
+    merged = spark.read.parquet(paths["reconciled"]).select("obs_event_id").distinct().collect()
+    assert [r.obs_event_id for r in merged] == ["o1"]
+    got = h.snapshot_dict(exposure.stored_snapshots(spark, root, fx.PARAMS))
+    assert got == h.brute_force_snapshot(rows + late)
