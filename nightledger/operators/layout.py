@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nightledger.operators.sizes import SMALL_ROWS, broadcast_if_small
@@ -13,12 +13,22 @@ from nightledger.session import scratch
 
 # Rows one task writes into one table partition before the partition is split by time.
 TARGET_ROWS = 5_000_000
+# Rows a task sorts, of one or several table partitions, before more tasks are used than shuffles are set to.
+TASK_ROWS = 500_000
 TIME_ORDER = ["eventTimeStamp", "eventId"]
 
 
-def by_channel(archive: DataFrame) -> DataFrame:
-    """One task per table partition."""
-    return archive.repartition(*CHANNEL_COLUMNS)
+def tasks_for(spark: SparkSession, rows: int, task_rows: int = TASK_ROWS) -> int:
+    """As many tasks as shuffles are set to, or as ``rows`` need at ``task_rows`` each if these are more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // task_rows))
+
+
+def by_channel(archive: DataFrame, rows: int = 0) -> DataFrame:
+    """One task per table partition. With ``rows``, their number, a task gets no more partitions than it should sort."""
+    tasks = tasks_for(archive.sparkSession, rows)
+    if tasks == tasks_for(archive.sparkSession, 0):
+        return archive.repartition(*CHANNEL_COLUMNS)
+    return archive.repartition(tasks, *CHANNEL_COLUMNS)
 
 
 def channel_layout(archive: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -30,15 +40,18 @@ def channel_layout(archive: DataFrame, target_rows: int = TARGET_ROWS) -> DataFr
     """
     sizes = archive.groupBy(*CHANNEL_COLUMNS).count()
     hot = sizes.filter(F.col("count") > target_rows)
-    n_hot, hot_rows = hot.agg(F.count(F.lit(1)), F.sum("count")).first()
+    is_hot = F.col("count") > target_rows
+    n_hot, hot_rows, n_rows = sizes.agg(
+        F.count_if(is_hot), F.sum(F.when(is_hot, F.col("count"))), F.coalesce(F.sum("count"), F.lit(0))
+    ).first()
     if n_hot == 0:
-        placed = by_channel(archive)
+        placed = by_channel(archive, n_rows)
     else:
         tasks = math.ceil(hot_rows / target_rows)
         hot = F.broadcast(hot) if n_hot <= SMALL_ROWS else hot
         same = [F.col(f"a.{c}").eqNullSafe(F.col(f"h.{c}")) for c in CHANNEL_COLUMNS]
         a, h = archive.alias("a"), hot.alias("h")
-        cold_part = by_channel(a.join(h, same, "left_anti"))
+        cold_part = by_channel(a.join(h, same, "left_anti"), n_rows - hot_rows)
         hot_part = a.join(h, same, "left_semi").repartitionByRange(tasks, *CHANNEL_COLUMNS, *TIME_ORDER)
         placed = cold_part.unionByName(hot_part)
     return placed.sortWithinPartitions(*CHANNEL_COLUMNS, *TIME_ORDER)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nightledger.functions.times import calendar_columns, event_timestamp
-from nightledger.operators.layout import TARGET_ROWS, channel_layout
+from nightledger.operators.layout import TARGET_ROWS, channel_layout, tasks_for
 from nightledger.schema import CHANNEL_COLUMNS, archive_schema, event_schema
 
 
@@ -86,15 +86,17 @@ def compact(
 def file_layout(archive: DataFrame) -> DataFrame:
     """Per table partition: rows, files, and rows that stand before an earlier row of their file.
 
-    Works on a direct read of a Parquet archive. The window is per file, and files are bounded by the layout.
+    Works on a direct read of a Parquet archive. The window is per file, and files are bounded by the layout; files are
+    dealt over as many tasks as their rows need.
     """
+    tasks = tasks_for(archive.sparkSession, archive.count())
     in_file = Window.partitionBy("file").orderBy("row_index")
     rows = archive.select(
         *CHANNEL_COLUMNS,
         "eventTimeStamp",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row_index"),
-    ).withColumn("previous", F.lag("eventTimeStamp").over(in_file))
+    ).repartition(tasks, "file").withColumn("previous", F.lag("eventTimeStamp").over(in_file))
     return rows.groupBy(*CHANNEL_COLUMNS).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("file").alias("n_files"),

@@ -1,6 +1,9 @@
 """Answers that were partial or wrong, and steps that outgrew a task."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from nightledger.operators import layout
 from nightledger.operators.snapshot import event_snapshot
 from nightledger.plans import fixtures as fx
 from nightledger.schema import EXPOSURE_END, EXPOSURE_START
@@ -61,9 +64,32 @@ def test_answers_newer_than_all_late_events_are_not_merged_again(spark, monkeypa
     for batch_id, part in enumerate([rows, late]):
         exposure.process_batch(h.landed(spark, part), batch_id, root)
     store.write_archive(store.archive_rows(h.landed(spark, rows + late)), f"{root}/archive")
-    monkeypatch.setattr(exposure, "scratch", lambda s, name: paths.setdefault(name, scratch(s, name)))
+
+    def noted(session, name):
+        paths[name] = scratch(session, name)
+        return paths[name]
+
+    monkeypatch.setattr(exposure, "scratch", noted)
     exposure.reconcile(spark, root, store.read_archive(spark, f"{root}/archive", fx.EVENT), fx.PARAMS)
     merged = spark.read.parquet(paths["reconciled"]).select("obs_event_id").distinct().collect()
     assert [r.obs_event_id for r in merged] == ["o1"]
     got = h.snapshot_dict(exposure.stored_snapshots(spark, root, fx.PARAMS))
     assert got == h.brute_force_snapshot(rows + late)
+
+
+def test_a_task_of_the_layout_sorts_a_bounded_number_of_rows(spark, monkeypatch):
+    rows = [h.event(f"e{i}", f"event_key_{i % 40}", i) for i in range(2000)]
+    monkeypatch.setattr(layout, "TASK_ROWS", 100)
+    monkeypatch.setattr(layout.tasks_for, "__defaults__", (100,))
+    placed = layout.channel_layout(store.archive_rows(h.landed(spark, rows)))
+    parts = placed.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("eventName").alias("n")).collect()
+    assert placed.rdd.getNumPartitions() == 20 and max(p.n for p in parts) <= 10
+
+
+def test_fragments_are_written_by_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(fx, "TASK_ROWS", 100)
+    monkeypatch.setattr(fx, "_built", {})
+    path = fx.fragments(spark, SMALL)
+    files = spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct()
+    tasks = files.select(F.regexp_extract("f", r"part-(\d+)", 1)).distinct().count()
+    assert tasks > 2 and spark.read.parquet(path).count() == fx.bus(spark, SMALL).count()
