@@ -83,7 +83,7 @@ def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_value_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same batch is written twice and stored once."""
     path = scratch(spark, "keyword-values")
-    values = fx.extracted(spark, sf_dir)
+    values = tables.staged(fx.extracted(spark, sf_dir))
     tables.write_keyword_values(values, path, 7)
     tables.write_keyword_values(values, path, 7)
     return tables.read_keyword_values(spark, path).select(*tables.KEYWORD_COLUMNS)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightledger.operators.sizes import narrow_to
+from nightledger.session import scratch
 
 SNAPSHOT_COLUMNS = ["exposure_id", "obs_event_name", "source", "eventname", "eventid", "eventtime", "paramset"]
 KEYWORD_COLUMNS = ["exposure_id", "keyword", "value"]
@@ -36,6 +37,13 @@ def _write(rows: DataFrame, path: str, filed_by: list[str], tasks_by: list[str],
     )
 
 
+def staged(rows: DataFrame) -> DataFrame:
+    """The rows as written to the shared folder. Range partitioning reads its input twice; this derives them once."""
+    path = scratch(rows.sparkSession, "staged")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_snapshots(snapshot: DataFrame, path: str, mode: str = "append") -> None:
     """Store a snapshot by observe date, sorted by exposure so that min/max statistics prune exposure lookups.
 

@@ -93,3 +93,17 @@ def test_fragments_are_written_by_as_many_tasks_as_their_rows_need(spark, monkey
     files = spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct()
     tasks = files.select(F.regexp_extract("f", r"part-(\d+)", 1)).distinct().count()
     assert tasks > 2 and spark.read.parquet(path).count() == fx.bus(spark, SMALL).count()
+
+
+def test_a_batch_written_twice_is_derived_once(spark, monkeypatch):
+    derived = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            derived.add(batch.num_rows)
+            yield batch
+
+    values = spark.range(0, 1000, 1, 4).selectExpr("CAST(id AS STRING) AS exposure_id", "'K' AS keyword", "'v' AS value")
+    values = values.mapInArrow(counted, values.schema)
+    monkeypatch.setattr(fx, "extracted", lambda *_: values)
+    assert entry.queries()["keyword_value_sink"](spark, SMALL).count() == 1000 and derived.value == 1000
