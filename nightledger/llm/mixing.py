@@ -222,19 +222,20 @@ def repeated(docs: DataFrame, source: str = "source", id_column: str = "doc_id",
     taken = mixed(docs, F.array(label(F.col(source))), id_column, text).filter("copies > 0")
     # Rows that share id and source share one order of the hash; they are told apart by their size.
     own = unused_prefix(docs)
-    plan = taken.groupBy(F.col("id").alias(f"{own}id"), F.col("members")[0].alias(f"{own}source"), F.col("size").alias(f"{own}size")).agg(
-        F.sort_array(F.collect_list("copies"), asc=False).alias(f"{own}copies")
-    )
-    sized = docs.withColumns({f"{own}own": F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))})
-    rank = Window.partitionBy(id_column, source, f"{own}own").orderBy(F.xxhash64(text))
-    sized = sized.withColumn(f"{own}rank", F.row_number().over(rank))
-    same = (
-        F.col(id_column).eqNullSafe(F.col(f"{own}id"))
-        & (label(F.col(source)) == F.col(f"{own}source"))
-        & (F.col(f"{own}own") == F.col(f"{own}size"))
-    )
+    # The ranks and the join deal rows by the same three columns, none of them null, so that texts are shuffled once.
+    key = [f"{own}id", f"{own}source", f"{own}size"]
+
+    def named(value: Column) -> Column:
+        return F.coalesce(value.cast("long").cast("string"), F.lit("null"))
+
+    plan = taken.groupBy(
+        named(F.col("id")).alias(key[0]), F.col("members")[0].alias(key[1]), F.col("size").cast("int").alias(key[2])
+    ).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(f"{own}copies"))
+    size = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    sized = docs.withColumns({key[0]: named(F.col(id_column)), key[1]: label(F.col(source)), key[2]: size})
+    sized = sized.withColumn(f"{own}rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(text))))
     copies = F.coalesce(F.get(f"{own}copies", F.col(f"{own}rank") - 1), F.lit(0)).cast("int")
-    rows = sized.join(plan, same).withColumn(f"{own}n", copies)
+    rows = sized.join(plan, key).withColumn(f"{own}n", copies)
     return rows.withColumn(f"{own}k", F.explode(F.array_repeat(F.lit(0), F.col(f"{own}n")))).select(*docs.columns)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from nightledger.llm.mixing import repeated
 from nightledger.operators import layout
 from nightledger.operators.snapshot import event_snapshot
 from nightledger.plans import fixtures as fx
@@ -107,3 +108,17 @@ def test_a_batch_written_twice_is_derived_once(spark, monkeypatch):
     values = values.mapInArrow(counted, values.schema)
     monkeypatch.setattr(fx, "extracted", lambda *_: values)
     assert entry.queries()["keyword_value_sink"](spark, SMALL).count() == 1000 and derived.value == 1000
+
+
+def test_the_mix_shuffles_texts_once(spark):
+    rows = [(i, f"some words of text {i}", "en", f"s{i % 3}", 10) for i in range(50)] + [(None, "a b", "en", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.mode("overwrite").parquet(path := scratch(spark, "docs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles = [line for line in h.plan(repeated(spark.read.parquet(path))).splitlines() if "Exchange hashpartitioning" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_key = [line for line in shuffles if "__source" in line and "__size" in line]
+    assert len(by_key) == 1 and not any("hashpartitioning(doc_id" in line or "coalesce(doc_id" in line for line in shuffles)
+    assert repeated(spark.read.parquet(path)).count() >= 51
