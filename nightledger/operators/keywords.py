@@ -10,6 +10,7 @@ from nightledger.functions.params import EVENT_MISSING, all_params, lookup
 from nightledger.operators.sizes import SMALL_VALUES, broadcast_if_small, few_values
 from nightledger.operators.snapshot import OBSERVE_COLUMNS, event_snapshot
 from nightledger.sources.config import CONSTANT
+from nightledger.sources.tables import staged
 
 #: What a mapping reads from its channel.
 ASKED = ["key_name", "key_index", "attribute"]
@@ -105,7 +106,8 @@ def keywords_from_bus(bus: DataFrame, observes: DataFrame, mappings: DataFrame)
     """What ``keyword_extract`` gives for the snapshots of the bus, without shuffling a parameter set.
 
     Of each event of a mapped channel only the few texts that mappings read from it take part in the snapshot; a rule
-    then takes its text by position.
+    then takes its text by position. The observe events are written to the shared folder with their subsystem, since
+    they are read for the cells, their lists and the constants.
     """
     rules = mappings.withColumn("subsystem", F.upper("subsystem"))
     rules = rules.withColumn("event_key", normal_key(F.col("event_key")))
@@ -122,7 +124,7 @@ def keywords_from_bus(bus: DataFrame, observes: DataFrame, mappings: DataFrame)
     few = keys is not None and len(keys) <= SMALL_VALUES
     mapped = bus.filter(F.col("event_key").isin(*keys)) if few else bus
     events = with_texts(mapped, config(asks))
-    asked = observes.withColumn("subsystem", exposure_subsystem(F.col("exposure_id")))
+    asked = staged(observes.withColumn("subsystem", exposure_subsystem(F.col("exposure_id"))))
     reading = asked.join(config(placed), ["subsystem", "obs_event_name"], "left_semi")
     snapshot = event_snapshot(events, observes=reading, columns=["texts"])
     met = snapshot.join(config(placed), ["subsystem", "obs_event_name", "event_key"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,16 +55,18 @@ class _Cells(NamedTuple):
     observes: int
 
 
-def _choose_cells(observes: DataFrame, cell_seconds: int | None) -> _Cells:
-    """The widest cell length that keeps observe events per cell low, or the given one.
+def _counted(counts: DataFrame, at: Column, *by: str) -> DataFrame:
+    """Counts added up by a time in seconds, with the first and last observe time."""
+    return counts.groupBy(*by, at.cast("bigint").alias("at")).agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
 
-    One job over the observe events alone; it brings back one row per candidate length.
-    """
-    candidates = CELL_SECONDS if cell_seconds is None else [cell_seconds]
-    lengths = observes.filter(F.col("obs_time").isNotNull()).select("obs_time", F.explode(F.array(*map(F.lit, candidates))).alias("seconds"))
-    found = (
-        lengths.groupBy("seconds", F.floor(F.unix_timestamp("obs_time") / F.col("seconds")).alias("cell"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("obs_time").alias("first"), F.max("obs_time").alias("last"))
+
+def _per_length(counts: DataFrame, lengths: list[int]) -> DataFrame:
+    """One row per candidate length: its densest cell, the first and last observe time, cells and observe events."""
+    each = counts.withColumn("seconds", F.explode(F.array(*map(F.lit, lengths))))
+    return (
+        _counted(each, F.floor(F.col("at") / F.col("seconds")), "seconds")
         .groupBy("seconds")
         .agg(
             F.max("n").alias("densest"),
@@ -72,8 +75,26 @@ def _choose_cells(observes: DataFrame, cell_seconds: int | None) -> _Cells:
             F.count(F.lit(1)).alias("cells"),
             F.sum("n").alias("observes"),
         )
-        .collect()
     )
+
+
+def _choose_cells(observes: DataFrame, cell_seconds: int | None) -> _Cells:
+    """The widest cell length that keeps observe events per cell low, or the given one.
+
+    One job over the observe events alone; it brings back one row per candidate length. Observe events are counted by
+    second and by minute first, so that what is counted once per length is at most the minutes there are.
+    """
+    candidates = CELL_SECONDS if cell_seconds is None else [cell_seconds]
+    at = observes.filter(F.col("obs_time").isNotNull()).select(
+        F.unix_timestamp("obs_time").alias("at"), F.lit(1).alias("n"), F.col("obs_time").alias("first"), F.col("obs_time").alias("last")
+    )
+    by_second = _counted(at, F.col("at"))
+    by_minute = _counted(by_second, F.floor(F.col("at") / 60) * 60)
+    coarse = [s for s in candidates if s % 60 == 0]
+    parts = [_per_length(counts, lengths) for counts, lengths in [
+        (by_second, [s for s in candidates if s % 60]), (by_minute, coarse)
+    ] if lengths]
+    found = reduce(DataFrame.unionByName, parts).collect()
     if not found:
         return _Cells(max(candidates), None, None, 0, 0)
     fitting = [row for row in found if row.densest <= CELL_OBSERVES]
@@ -93,7 +114,9 @@ def _carried(ends: DataFrame, asked: DataFrame, units: int, columns: list[str],
     ``ends`` holds a channel's last state in a unit ``at`` (0 to ``units`` - 1), ``asked`` the units ``at`` to answer.
     Units form blocks of ``CARRY_BLOCK``. What a channel brings into a block is found in the same way from the last
     states of the blocks; inside a block every state is given to the asked units from the next one on to the next unit
-    with a state of its own. So no window holds more than ``CARRY_BLOCK`` + 1 rows.
+    with a state of its own. So no window holds more than ``CARRY_BLOCK`` + 1 rows. A state goes through the asked units
+    of its block or through those it is valid for, whichever are fewer: the latter are at most a block for all states
+    of a channel together.
     """
     block = F.shiftright("at", CARRY_BITS)
     rows = ends.select("event_key", block.alias("block"), "at", *columns)
@@ -106,9 +129,16 @@ def _carried(ends: DataFrame, asked: DataFrame, units: int, columns: list[str],
     units_of = asked.groupBy(block.alias("block")).agg(F.collect_set("at").alias("units"))
     following = F.lead("at").over(Window.partitionBy("event_key", "block").orderBy("at"))
     until = F.coalesce(following, (F.col("block") + 1) * CARRY_BLOCK - 1)
-    met = F.filter("units", lambda unit: (unit > F.col("at")) & (unit <= F.col("until")))
+    among = F.filter("units", lambda unit: (unit > F.col("at")) & (unit <= F.col("until")))
+    valid = F.sequence(F.col("at") + 1, F.col("until"))
+    met = (
+        F.when(F.size("units") < F.col("until") - F.col("at"), among)
+        .when(F.size("units") == CARRY_BLOCK, valid)
+        .otherwise(F.filter(valid, lambda unit: F.array_contains("units", unit)))
+    )
     return (
         rows.withColumn("until", until)
+        .filter(F.col("until") > F.col("at"))
         .join(F.broadcast(units_of) if small else units_of, "block")
         .select("event_key", F.explode(met).alias("at"), *columns)
     )
@@ -153,14 +183,16 @@ def event_snapshot(
 
     observes = observes.filter(F.col("obs_time").isNotNull())
     more = [c for c in observes.columns if c not in OBSERVE_COLUMNS]
-    asking = observes.withColumn("cell", _cell(F.col("obs_time"), seconds) - earliest)
+    # Never null, for the same reason as the cells of events below: all uses of the lists share one shuffle.
+    asking = observes.withColumn("cell", F.coalesce(_cell(F.col("obs_time"), seconds) - earliest, F.lit(0).cast("bigint")))
     asks = asking.groupBy("cell").agg(
         F.sort_array(F.collect_list(F.struct("obs_time", "obs_event_id", "exposure_id", "obs_event_name", *more))).alias("asks")
     )
     # Naming the lists, which are never empty, keeps this use of the aggregate the same as the others.
     asked = asks.filter(F.size("asks") > 0).select(F.col("cell").alias("at"))
     # Beyond the sizes checked here the joins shuffle; all are inner or left equi-joins that AQE splits when skewed.
-    if OBSERVE_ROW_BYTES * chosen.observes <= BROADCAST_BYTES:
+    few = OBSERVE_ROW_BYTES * chosen.observes <= BROADCAST_BYTES
+    if few:
         asks = F.broadcast(asks)
     small = CELL_ROW_BYTES * chosen.cells <= BROADCAST_BYTES
 
@@ -182,6 +214,9 @@ def event_snapshot(
         .select("event_key", "cell", place.alias("place"), is_obs.alias("is_obs"), *kept)
     )
     seen = _last_of(placed, ["event_key", "cell", "place"], order)
+    if not few:
+        # Joined by cell, the rows need no shuffle for their window, and all that follows would join them again.
+        seen = seen.repartition("event_key", "cell")
 
     ends = _last_of(seen, ["event_key", "cell"], ["place"])
     ends = ends.select("event_key", F.col("cell").alias("at"), *kept)

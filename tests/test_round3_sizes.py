@@ -1,0 +1,93 @@
+"""What extraction reads, joins and derives once, however much there is of it."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from nightledger.operators import snapshot as sn
+from nightledger.operators.keywords import keywords_from_bus
+from nightledger.plans import fixtures as fx
+from nightledger.schema import EXPOSURE_END, EXPOSURE_START
+from nightledger.session import scratch
+from tests import helpers as h
+
+SMALL = "/root/testdata/sf0.001"
+SECOND = 1_000_000
+
+
+def random_rows(seed, events, channels, span, observes):
+    rng = random.Random(seed)
+    rows = [h.event(f"e{i}", f"event_key_{rng.randrange(channels) + 1}", rng.randrange(span), i, "ESW.filter") for i in range(events)]
+    names = (EXPOSURE_START, EXPOSURE_END)
+    return rows + [h.observe(f"o{i}", rng.randrange(span), name=rng.choice(names)) for i in range(observes)]
+
+
+def stored(spark, df):
+    df.write.parquet(path := scratch(spark, "rows"))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df, accumulator):
+    def passed(batches):
+        for batch in batches:
+            accumulator.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(passed, df.schema)
+
+
+def test_lists_too_large_to_broadcast_are_made_and_joined_once(spark, monkeypatch):
+    bus = stored(spark, h.bus(spark, random_rows(1, 300, 5, 3000 * SECOND, 60)))
+    monkeypatch.setattr(sn, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = sn.event_snapshot(bus, cell_seconds=1)
+        df._jdf.collectToPython()
+        final = h.plan(df).split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert final.count("LeftOuter") == 1 and final.count("partial_collect_list") == 1
+
+
+def test_observe_events_are_derived_once_for_keywords(spark):
+    bus = stored(spark, h.bus(spark, random_rows(2, 200, 9, 3000 * SECOND, 50)))
+    derived = spark.sparkContext.accumulator(0)
+    found = keywords_from_bus(bus, counted(sn.observe_events(bus), derived), fx.mappings(spark)).collect()
+    assert found and derived.value == 50
+
+
+@pytest.mark.parametrize("name", ["keyword_store_lookup", "keyword_values_lookup", "keyword_map"])
+def test_keyword_values_need_no_archive(spark, monkeypatch, name):
+    monkeypatch.setattr(fx, "_built", {})
+    entry.queries()[name](spark, SMALL).count()
+    assert "archive" not in {key[2] for key in fx._built}
+
+
+def test_cells_are_chosen_as_by_counting_each_length(spark):
+    rng = random.Random(3)
+    for span, n, given in [(40 * 86400, 300, None), (900, 2000, None), (3, 400, None), (5000, 90, 7)]:
+        times = [rng.randrange(span * SECOND) for _ in range(n)]
+        table = spark.createDataFrame([(t,) for t in times] + [(None,)], "t long").select(F.timestamp_micros("t").alias("obs_time"))
+        lengths = sn.CELL_SECONDS if given is None else [given]
+        counts = {s: {c: sum(1 for t in times if t // SECOND // s == c) for c in {t // SECOND // s for t in times}} for s in lengths}
+        fitting = [s for s in lengths if max(counts[s].values()) <= sn.CELL_OBSERVES]
+        best = max(fitting) if fitting else min(lengths)
+        assert tuple(sn._choose_cells(table, given)) == (best, min(times), max(times), len(counts[best]), n)
+
+
+def test_carrying_into_blocks_with_all_some_and_few_asked_cells(spark):
+    units, rng = 4 * sn.CARRY_BLOCK, random.Random(4)
+    asked = [*range(1, 2 * sn.CARRY_BLOCK + 7), *rng.sample(range(3 * sn.CARRY_BLOCK, units), 20)]
+    ends = {"dense": sorted(rng.sample(range(units), 3000)), "rare": sorted(rng.sample(range(units), 9)), "first": [0]}
+    rows = [(key, at, f"{key}-{at}") for key, own in ends.items() for at in own]
+    table = spark.createDataFrame(rows, "event_key string, at long, v string")
+    got = sn._carried(table, spark.createDataFrame([(a,) for a in asked], "at long"), units, ["v"], True).collect()
+    want = {}
+    for key, own in ends.items():
+        for a in asked:
+            earlier = [at for at in own if at < a]
+            if earlier:
+                want[key, a] = f"{key}-{earlier[-1]}"
+    assert {(r.event_key, r.at): r.v for r in got} == want and len(got) == len(want)
