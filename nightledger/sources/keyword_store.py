@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from nightledger.operators.sizes import SMALL_VALUES, few_values
 from nightledger.sources import files
-from nightledger.sources.tables import write_keyword_values
+from nightledger.sources.tables import staged, write_keyword_values
 
 BUCKETS = 64
 BATCH = "batch_id"
@@ -123,8 +123,11 @@ def lookup(spark: SparkSession, root: str, exposures: list[str]) -> DataFrame:
 
 
 def lookup_for(spark: SparkSession, root: str, requests: DataFrame, few: int = SMALL_VALUES) -> DataFrame:
-    """Keyword values of every exposure in a request table: by bucket if these are few, else by a semi join with all rows."""
-    asked = requests.select("exposure_id").distinct()
+    """Keyword values of every exposure in a request table: by bucket if these are few, else by a semi join with all rows.
+
+    The exposures asked for are written to the shared folder, since they are counted and then joined.
+    """
+    asked = staged(requests.select("exposure_id").distinct())
     found = few_values(asked, "exposure_id", few)
     return lookup(spark, root, found) if found is not None else read(spark, root).join(asked, "exposure_id", "left_semi")
 

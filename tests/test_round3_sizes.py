@@ -11,6 +11,7 @@ from nightledger.operators.keywords import keywords_from_bus
 from nightledger.plans import fixtures as fx
 from nightledger.schema import EXPOSURE_END, EXPOSURE_START
 from nightledger.session import scratch
+from nightledger.sources import keyword_store
 from tests import helpers as h
 
 SMALL = "/root/testdata/sf0.001"
@@ -91,3 +92,11 @@ def test_carrying_into_blocks_with_all_some_and_few_asked_cells(spark):
             if earlier:
                 want[key, a] = f"{key}-{earlier[-1]}"
     assert {(r.event_key, r.at): r.v for r in got} == want and len(got) == len(want)
+
+
+def test_requests_of_a_store_lookup_are_derived_once(spark):
+    values = spark.range(0, 3000).selectExpr("CAST(id % 1500 AS STRING) AS exposure_id", "'K' AS keyword", "'v' AS value")
+    keyword_store.append(values, root := scratch(spark, "store"), 0)
+    derived = spark.sparkContext.accumulator(0)
+    requests = counted(spark.range(0, 2000, 1, 2).selectExpr("CAST(id AS STRING) AS exposure_id"), derived)
+    assert keyword_store.lookup_for(spark, root, requests).count() == 3000 and derived.value == 2000
