@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.keys import EXPOSURE_PARTS, exposure_parts, exposure_subsystem
 from nightledger.operators.sizes import broadcast_if_small
-from nightledger.schema import TEXT_LIMIT
+from nightledger.schema import OBSERVE_EVENTS, TEXT_LIMIT
 
 NO_EXPOSURE_ID = "NO_EXPOSURE_ID"
 INVALID_FORMAT = "INVALID_FORMAT"
@@ -63,15 +63,28 @@ def row_constraints(rows: DataFrame, id_columns: list[str], text: list[str], req
     return rows.select(*id_columns, broken.alias("v")).select(*id_columns, "v.*")
 
 
-def empty_results(observes: DataFrame, snapshot: DataFrame, values: DataFrame) -> DataFrame:
-    """Observe events that gave no snapshot rows or no keyword values."""
-    event = ["obs_event_id", "exposure_id", "obs_event_name"]
+def before_all(observes: DataFrame, events: DataFrame, names: list[str] = OBSERVE_EVENTS) -> DataFrame:
+    """Observe events for which a snapshot of ``events`` has no rows, without making it.
+
+    A snapshot has some row for an observe event just when the very first event is at or before it, in the order of
+    ``event_snapshot``: by time, then observe events after others, then event id. Observe events without a time have none.
+    """
+    order = [F.col("eventTimeStamp").alias("at"), F.col("eventName").isin(*names).alias("is_obs"), F.col("eventId").alias("id")]
+    timed = events.filter(F.col("eventTimeStamp").isNotNull())
+    earliest = timed.agg(F.min(F.struct(*order)).alias("e")).select(F.unix_micros("e.at").alias("at"), "e.is_obs", "e.id").first()
+    if earliest.at is None:
+        return observes
+    at, first = F.unix_micros("obs_time"), F.lit(earliest.at)
+    among = F.lit(not earliest.is_obs) | (F.lit(earliest.id) <= F.col("obs_event_id"))
+    return observes.filter(~F.coalesce((first < at) | ((first == at) & among), F.lit(False)))
 
-    def without(results: DataFrame, name: str) -> DataFrame:
-        seen = results.select("obs_event_id").distinct()
-        return observes.select(*event).join(seen, "obs_event_id", "left_anti").withColumn("missing", F.lit(name))
 
-    return without(snapshot, "SNAPSHOT").unionByName(without(values, "KEYWORDS"))
+def empty_results(observes: DataFrame, events: DataFrame, values: DataFrame) -> DataFrame:
+    """Observe events for which a snapshot of ``events`` has no rows, and those that gave no keyword values."""
+    event = ["obs_event_id", "exposure_id", "obs_event_name"]
+    seen = values.select("obs_event_id").distinct()
+    without_keywords = observes.select(*event).join(seen, "obs_event_id", "left_anti").withColumn("missing", F.lit("KEYWORDS"))
+    return before_all(observes, events).select(*event, F.lit("SNAPSHOT").alias("missing")).unionByName(without_keywords)
 
 
 def header_coverage(header_lists: DataFrame, mappings: DataFrame) -> DataFrame:

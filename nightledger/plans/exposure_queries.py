@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.times import micro_text
 from nightledger.operators import headers, keywords, mapping, quality, snapshot, state
+from nightledger.operators.sizes import keep_values
 from nightledger.plans import fixtures as fx
 from nightledger.plans.fixtures import sql
 from nightledger.plans.registry import query
@@ -357,6 +358,5 @@ def keyword_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def empty_result_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observe events before any mapped channel has sent, and those of a subsystem without mappings."""
-    return quality.empty_results(
-        fx.observes(spark, sf_dir), fx.mapped_snapshot(spark, sf_dir), fx.keyword_values(spark, sf_dir)
-    )
+    mapped = keep_values(fx.bus(spark, sf_dir), "event_key", keywords.mapped_keys(fx.mappings(spark)))
+    return quality.empty_results(fx.observes(spark, sf_dir), mapped, fx.keyword_values(spark, sf_dir))

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from nightledger.operators import quality
 from nightledger.operators import snapshot as sn
 from nightledger.operators.keywords import keywords_from_bus
 from nightledger.plans import fixtures as fx
-from nightledger.schema import EXPOSURE_END, EXPOSURE_START
+from nightledger.schema import EXPOSURE_END, EXPOSURE_START, OBSERVE_EVENTS
 from nightledger.session import scratch
 from nightledger.sources import keyword_store
 from tests import helpers as h
@@ -59,7 +60,7 @@ def test_observe_events_are_derived_once_for_keywords(spark):
     assert found and derived.value == 50
 
 
-@pytest.mark.parametrize("name", ["keyword_store_lookup", "keyword_values_lookup", "keyword_map"])
+@pytest.mark.parametrize("name", ["keyword_store_lookup", "keyword_values_lookup", "keyword_map", "empty_result_check"])
 def test_keyword_values_need_no_archive(spark, monkeypatch, name):
     monkeypatch.setattr(fx, "_built", {})
     entry.queries()[name](spark, SMALL).count()
@@ -94,6 +95,17 @@ def test_carrying_into_blocks_with_all_some_and_few_asked_cells(spark):
     assert {(r.event_key, r.at): r.v for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_observe_events_without_snapshot_rows_by_the_first_event(spark, seed):
+    """Few instants, so that events and observe events meet at the first one."""
+    rows = random_rows(seed, 4, 3, 4, 12) + [h.observe(None, 2), h.event("x", "event_key_9", 0, 1, "ESW.filter")][seed % 2 :]
+    bus, observes = h.bus(spark, rows), sn.observe_events(h.bus(spark, rows))
+    for events in (bus, bus.filter(~F.col("eventName").isin(OBSERVE_EVENTS)), bus.filter("eventName = 'none'")):
+        answered = sn.event_snapshot(events, observes=observes).select("obs_event_id", "obs_time").distinct()
+        want = {tuple(r) for r in observes.select("obs_event_id", "obs_time").exceptAll(answered).collect()}
+        assert {(r.obs_event_id, r.obs_time) for r in quality.before_all(observes, events).collect()} == want
+
+
 def test_requests_of_a_store_lookup_are_derived_once(spark):
     values = spark.range(0, 3000).selectExpr("CAST(id % 1500 AS STRING) AS exposure_id", "'K' AS keyword", "'v' AS value")
     keyword_store.append(values, root := scratch(spark, "store"), 0)
