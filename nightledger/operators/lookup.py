@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from nightledger.operators.sizes import keep_values
 from nightledger.operators.snapshot import OBSERVE_COLUMNS, event_snapshot
 from nightledger.operators.state import EVENT_COLUMNS
-from nightledger.session import scratch
+from nightledger.session import brief_shuffles, scratch
+from nightledger.sources import files
 from nightledger.sources.landing import with_key
 
 #: How many days before an observe event are searched first, then next; at last, all of them.
@@ -51,7 +52,7 @@ def archive_snapshot(
     channels that are still without an answer, so that both days and channels prune the archive's partitions.
     A search that has gone over every day up to the last one is the only one. ``channels`` (a column ``event_key``) lists
     those there are; it is taken from the archive's partitions if not given.
-    The answers of each search are written to the shared folder.
+    The answers of each search are written to the shared folder, unless it is the only one.
     """
     spark = archive.sparkSession
     observes = observes.filter(F.col("obs_time").isNotNull())
@@ -66,6 +67,7 @@ def archive_snapshot(
     pair = ["obs_event_id", "obs_time", "event_key"]
     found: DataFrame | None = None
     keys: DataFrame | None = None
+    path: str | None = None
     for back in (*lookback_days, None):
         spans = [] if back is None else day_spans(days, back)
         if len(spans) == 1 and (earliest is None or spans[0][0] <= earliest):
@@ -74,10 +76,17 @@ def archive_snapshot(
         rows = event_snapshot(with_key(part), keys=keys, observes=observes, by_instant=by_instant)
         if back is not None:  # an older event may come from the days of another observe event
             rows = rows.filter(F.col("eventTimeStamp") >= F.date_sub(F.to_date("obs_time"), back))
+        rows = rows.select(*OBSERVE_COLUMNS, "event_key", *EVENT_COLUMNS)
+        if back is None and found is None:
+            return rows
+        before = path
         if found is not None:
             rows = found.unionByName(rows.join(found.select(*pair), pair, "left_anti"))
         path = scratch(spark, "lookup")
-        rows.select(*OBSERVE_COLUMNS, "event_key", *EVENT_COLUMNS).write.parquet(path)
+        with brief_shuffles(spark):
+            rows.write.parquet(path)
+        if before is not None:
+            files.remove(spark, before)
         found = spark.read.schema(rows.schema).parquet(path)
         answered = found.groupBy("event_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= asked)
         keys = channels.select("event_key").distinct().join(answered, "event_key", "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nightledger.operators.layout import TARGET_ROWS, channel_layout
 from nightledger.schema import CHANNEL_COLUMNS
-from nightledger.session import scratch
+from nightledger.session import brief_shuffles, scratch
 from nightledger.sources import files
 from nightledger.sources.archive import archive_rows
 from nightledger.sources.landing import FILE_EVENTS, landed_events, quarantined, read_landing_stream, stored_schema
@@ -79,7 +79,8 @@ def convert_batch(
         if fmt not in PLAIN_FORMATS:
             writer.mode("append").option("txnAppId", archive).option("txnVersion", batch_id).save(archive)
         else:
-            writer.mode("overwrite").save(incoming)
+            with brief_shuffles(spark):
+                writer.mode("overwrite").save(incoming)
             listed = {"files": files.files_below(spark, incoming)}
             files.write_json(spark, f"{archive}/{INCOMING}", f"{name}-list", listed)
         files.remove(spark, path)

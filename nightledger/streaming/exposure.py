@@ -8,8 +8,9 @@ how files were admitted. Readers take an observe event's rows from the newest an
 An event older than the lateness counts for the state of its channel and is kept in the ``late`` table. It may change
 answers that were given long before, and an observe event as old as that cannot be answered from a state that has let go
 of its past. ``reconcile`` mends both: late observe events are looked up in the archive, by day and channel, and stored
-answers take over late events where these are newer than what they hold. Late events, and those without a valid time, are
-listed in the rejects as well.
+answers take over late events where these are newer than what they hold; where that may be so of very many answers, all
+of that time are looked up in the archive instead, which shuffles events and not answers. Late events, and those without
+a valid time, are listed in the rejects as well.
 
 All rows are written under their batch id; running a batch again replaces what it wrote.
 """
@@ -25,11 +26,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nightledger.operators.keywords import keyword_extract
 from nightledger.operators.lookup import archive_snapshot
-from nightledger.operators.sizes import broadcast_if_small
+from nightledger.operators.sizes import SMALL_ROWS, broadcast_if_small
 from nightledger.operators.snapshot import OBSERVE_COLUMNS, event_snapshot, observe_events
 from nightledger.operators.state import EVENT_COLUMNS, latest_per_key
 from nightledger.schema import OBSERVE_EVENTS
-from nightledger.session import scratch
+from nightledger.session import brief_shuffles, scratch
 from nightledger.sources import files
 from nightledger.sources.archive import archive_rows
 from nightledger.sources.landing import with_key
@@ -47,6 +48,8 @@ REVISION = "revision"
 LATENESS_SECONDS = 60
 # Before and after every time in microseconds.
 EARLIEST, LATEST = -(1 << 62), 1 << 62
+# Stored answers that late events may change are merged with these up to so many, and looked up in the archive beyond.
+MERGED_ANSWERS = SMALL_ROWS
 NO_VALID_TIME = "NO_VALID_TIME"
 LATE = "LATE"
 
@@ -66,21 +69,31 @@ def read_state(spark: SparkSession, root: str, params: T.StructType, below: int
 
 def _write_batch(rows: DataFrame, root: str, table: str, batch_id: int) -> str:
     path = f"{root}/{table}/{BATCH}={batch_id}"
-    rows.write.mode("overwrite").parquet(path)
+    with brief_shuffles(rows.sparkSession):
+        rows.write.mode("overwrite").parquet(path)
     return path
 
 
+def _stored(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as written to the shared folder, and where."""
+    path = scratch(rows.sparkSession, name)
+    with brief_shuffles(rows.sparkSession):
+        rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
+
+
 def _write_answers(
     snapshot: DataFrame, observes: Callable[[DataFrame], DataFrame], root: str, batch_id: int, revision: int, mappings: Mappings | None
 ) -> None:
     """Store snapshots and, with ``mappings``, the keyword values of ``observes`` (made from the stored snapshots)."""
     spark = snapshot.sparkSession
     path = f"{root}/{SNAPSHOTS}/{BATCH}={batch_id}/{REVISION}={revision}"
-    snapshot.write.mode("overwrite").parquet(path)
-    if mappings is not None:
-        stored = spark.read.schema(snapshot.schema).parquet(path)
-        values = keyword_extract(observes(stored), stored, mappings(spark))
-        write_keyword_values(values, f"{root}/{KEYWORDS}", batch_id, revision)
+    with brief_shuffles(spark):
+        snapshot.write.mode("overwrite").parquet(path)
+        if mappings is not None:
+            stored, rules = spark.read.schema(snapshot.schema).parquet(path), mappings(spark)
+            values = keyword_extract(observes(stored), stored, rules)
+            write_keyword_values(values, f"{root}/{KEYWORDS}", batch_id, revision)
 
 
 def process_batch(
@@ -132,35 +145,56 @@ def _own_rows(snapshots: DataFrame) -> DataFrame:
     return snapshots.filter(_OWN).select(*OBSERVE_COLUMNS).distinct()
 
 
-def _with_late_events(stored: DataFrame, late: DataFrame, by_instant: bool = False) -> DataFrame:
-    """The snapshots among ``stored`` that late events change, with the change. Written to the shared folder.
+_EVENT = ["obs_event_id", "obs_time"]
+_ANSWER_COLUMNS = [*OBSERVE_COLUMNS, "event_key", *EVENT_COLUMNS]
 
-    The last event at or before an observe event is the later one of the last among all others and the last among the
-    late ones; the former are stored, and a snapshot over the late events alone gives the latter. An answer that has
-    something newer than the last late event of every channel stays as it is; only the others are read whole.
+
+def _open_range(stored: DataFrame, late: DataFrame) -> tuple[int, int]:
+    """The first and last time, in microseconds, of the observe events whose stored answers late events may change.
+
+    An answer is settled if it has something newer than the last late event of every channel. What a channel shows only
+    gets newer with time, so the last channel to show something newer for the first time ends the range. That takes a row
+    per channel; so do the counts that say whether all answers after it are settled, as they are if none lacks a
+    channel. Only if some do, answers are counted one by one.
     """
-    spark = stored.sparkSession
-    first = late.agg(F.min("eventTimeStamp")).first()[0]
-    event = ["obs_event_id", "obs_time"]
-    reached = stored.filter(F.col("obs_time") >= F.lit(first))
+    at = F.unix_micros("obs_time")
+    first = late.agg(F.unix_micros(F.min("eventTimeStamp"))).first()[0]
+    reached = stored.filter(at >= first)
     ends = late.groupBy("event_key").agg(F.max("eventTimeStamp").alias("end"))
+    channels = ends.count()
     newest = reached.join(broadcast_if_small(ends), "event_key").filter(F.col("eventTimeStamp") > F.col("end"))
-    settled = newest.groupBy(*event).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= ends.count())
-    path = scratch(spark, "reachable")
-    _own_rows(reached).join(settled, event, "left_anti").write.parquet(path)
-    open_ones = spark.read.schema(_observe_schema()).parquet(path)
-    reached = reached.join(broadcast_if_small(open_ones.select(*event)), event, "left_semi")
+    shown, since = newest.groupBy("event_key").agg(F.min(at).alias("since")).agg(F.count(F.lit(1)), F.max("since")).first()
+    if shown < channels:
+        return first, LATEST
+
+    def last_open(time: Column) -> int | None:
+        settled = newest.filter(time).groupBy(*_EVENT).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= channels)
+        return _own_rows(reached.filter(time)).join(settled, _EVENT, "left_anti").agg(F.max(at)).first()[0]
+
+    after = at > since
+    answers = _own_rows(reached.filter(after)).count()
+    counts = newest.filter(after).groupBy("event_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == answers)
+    until = None if answers == 0 or counts.count() == channels else last_open(after)
+    if until is None:
+        until = last_open(at == since)
+    return first, since - 1 if until is None else until
+
+
+def _with_late_events(reached: DataFrame, open_ones: DataFrame, late: DataFrame, by_instant: bool = False) -> DataFrame:
+    """Those among the snapshots ``reached``, of the observe events ``open_ones``, that late events change, with the change.
+
+    The last event at or before an observe event is the later one of the last among all others and the last among the
+    late ones; the former are stored, and a snapshot over the late events alone gives the latter. Written to the shared
+    folder.
+    """
     newer = event_snapshot(late, observes=open_ones, by_instant=by_instant)
-    columns = [*OBSERVE_COLUMNS, "event_key", *EVENT_COLUMNS]
+    columns = _ANSWER_COLUMNS
     both = reached.select(*columns, F.lit(0).alias("late")).unionByName(newer.select(*columns, F.lit(1).alias("late")))
     order = ["eventTimeStamp", F.col("eventName").isin(*OBSERVE_EVENTS), "eventId"]
     last = Window.partitionBy("obs_event_id", "obs_time", "event_key").orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order], "late")
-    merged = both.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n")
-    path = scratch(spark, "reconciled")
-    merged.write.parquet(path)
-    merged = spark.read.schema(merged.schema).parquet(path)
-    changed = merged.filter("late = 1").select(*event).distinct()
-    return merged.join(changed, event, "left_semi").drop("late")
+    merged, _ = _stored(both.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n"), "reconciled")
+    changed = merged.filter("late = 1").select(*_EVENT).distinct()
+    return merged.join(changed, _EVENT, "left_semi").drop("late")
 
 
 def reconcile(
@@ -192,12 +226,27 @@ def reconcile(
     late = spark.read.schema(schema).parquet(*[f"{root}/{LATE_EVENTS}/{BATCH}={b}" for b in new])
     revision = files.next_attempt(spark, notes, batch_id) + 1
     channels = read_state(spark, root, params).select("event_key")
-    looked_up = archive_snapshot(archive, observe_events(late), channels, by_instant=by_instant)
-    mended = _with_late_events(stored_snapshots(spark, root, params), late, by_instant)
-    columns = [*OBSERVE_COLUMNS, "event_key", *EVENT_COLUMNS]
-    answers = looked_up.select(*columns).unionByName(mended.select(*columns))
+    note, observes = {"through": new[-1]}, observe_events(late)
+    stored = stored_snapshots(spark, root, params)
+    first, until = _open_range(stored, late)
+    reached = stored.filter(F.unix_micros("obs_time").between(first, until))
+    open_ones, path = _stored(_own_rows(reached), "reachable")
+    spent = [path]
+    if open_ones.count() <= MERGED_ANSWERS:
+        mended = _with_late_events(reached, open_ones, late, by_instant)
+        looked_up = archive_snapshot(archive, observes, channels, by_instant=by_instant)
+        answers = looked_up.select(*_ANSWER_COLUMNS).unionByName(mended.select(*_ANSWER_COLUMNS))
+    else:
+        # A run that failed may have answered late observe events already.
+        again = open_ones.join(observes.select(*_EVENT), _EVENT, "left_anti").select(*OBSERVE_COLUMNS)
+        asked, path = _stored(observes.unionByName(again), "asked")
+        spent.append(path)
+        answers = archive_snapshot(archive, asked, channels, by_instant=by_instant).select(*_ANSWER_COLUMNS)
+        note |= {"first": first, "until": until}
     _write_answers(answers, _own_rows, root, batch_id, revision, mappings)
-    files.write_json(spark, notes, files.numbered(batch_id, revision - 1), {"through": new[-1]})
+    files.write_json(spark, notes, files.numbered(batch_id, revision - 1), note)
+    for path in spent:
+        files.remove(spark, path)
     return len(new)
 
 
@@ -242,16 +291,38 @@ def _order() -> Column:
     return F.col(BATCH) * (1 << 20) + F.col(REVISION)
 
 
+def _answered_whole(spark: SparkSession, root: str) -> list[tuple[int, int, int]]:
+    """(order of its answers, first and last time) of each reconciliation that answered all observe events of a time again."""
+    found: list[tuple[int, int, int]] = []
+    for name in reversed(files.names(spark, f"{root}/{RECONCILED}")):
+        note = files.read_json(spark, f"{root}/{RECONCILED}/{name}")
+        if "first" in note and not any(first <= note["first"] and note["until"] <= until for _, first, until in found):
+            found.append((int(name[:19]) * (1 << 20) + int(name[20:26]) + 1, note["first"], note["until"]))
+    return found
+
+
 def _newest_answers(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
     """Those of ``rows`` that belong to the newest answer to their observe event.
 
-    Answers are known from the snapshots, in which an observe event has at least the row of its own channel.
+    What a reconciliation has answered whole goes by its time. Few other answers are replaced; they are found in the
+    snapshots, in which an observe event has at least the row of its own channel, so that ``rows`` need not be shuffled.
     """
-    event = ["obs_event_id", "obs_time"]
+    ranges, at = _answered_whole(spark, root), F.unix_micros("obs_time")
+
+    def current(answers: DataFrame) -> DataFrame:
+        for order, first, until in ranges:
+            answers = answers.filter((_order() >= order) | ~at.between(first, until))
+        return answers
+
     own = [T.StructField("eventTimeStamp", T.TimestampType()), T.StructField("eventName", T.StringType())]
-    answers = spark.read.schema(_answer_schema(*own)).parquet(f"{root}/{SNAPSHOTS}").filter(_OWN)
-    newest = answers.groupBy(*event).agg(F.max(_order()).alias("answer"))
-    return rows.withColumn("answer", _order()).join(newest, [*event, "answer"], "left_semi").drop("answer", BATCH, REVISION)
+    answers = current(spark.read.schema(_answer_schema(*own)).parquet(f"{root}/{SNAPSHOTS}").filter(_OWN))
+    given = answers.select(*_EVENT, _order().alias("answer")).distinct()
+    several = given.groupBy(*_EVENT).agg(F.sort_array(F.collect_set("answer")).alias("answers"))
+    several = several.filter(F.size("answers") > 1)
+    replaced = several.select(*_EVENT, F.explode(F.slice("answers", 1, F.size("answers") - 1)).alias("answer"))
+    replaced = broadcast_if_small(_stored(replaced, "replaced")[0])
+    kept = current(rows).withColumn("answer", _order()).join(replaced, [*_EVENT, "answer"], "left_anti")
+    return kept.drop("answer", BATCH, REVISION)
 
 
 def _answer_schema(*fields: T.StructField) -> T.StructType:
@@ -261,17 +332,7 @@ def _answer_schema(*fields: T.StructField) -> T.StructType:
 def stored_snapshots(spark: SparkSession, root: str, params: T.StructType) -> DataFrame:
     """The snapshots the stream wrote, each as last revised."""
     schema = _answer_schema(*generations.state_schema(params).fields)
-    rows = spark.read.schema(schema).parquet(f"{root}/{SNAPSHOTS}")
-    # Few answers are replaced. Those are found in narrow rows, so that the wide ones need not be shuffled to be sorted out.
-    given = rows.filter(_OWN).select("obs_event_id", "obs_time", _order().alias("answer")).distinct()
-    several = given.groupBy("obs_event_id", "obs_time").agg(F.sort_array(F.collect_set("answer")).alias("answers"))
-    several = several.filter(F.size("answers") > 1)
-    replaced = several.select("obs_event_id", "obs_time", F.explode(F.slice("answers", 1, F.size("answers") - 1)).alias("answer"))
-    path = scratch(spark, "replaced")
-    replaced.write.parquet(path)
-    replaced = broadcast_if_small(spark.read.schema(replaced.schema).parquet(path))
-    kept = rows.withColumn("answer", _order()).join(replaced, ["obs_event_id", "obs_time", "answer"], "left_anti")
-    return kept.drop("answer", BATCH, REVISION)
+    return _newest_answers(spark, root, spark.read.schema(schema).parquet(f"{root}/{SNAPSHOTS}"))
 
 
 def stored_rejects(spark: SparkSession, root: str) -> DataFrame:
@@ -289,4 +350,5 @@ def stored_snapshot_table(spark: SparkSession, root: str, params: T.StructType)
 def stored_keyword_values(spark: SparkSession, root: str) -> DataFrame:
     """The keyword values the stream wrote, each observe event's as last revised."""
     schema = _answer_schema(T.StructField("keyword", T.StringType()), T.StructField("value", T.StringType()))
-    return _newest_answers(spark, root, spark.read.schema(schema).parquet(f"{root}/{KEYWORDS}"))
+    rows = spark.read.schema(schema).parquet(f"{root}/{KEYWORDS}").filter(F.col("obs_event_id").isNotNull())
+    return _newest_answers(spark, root, rows)
