@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from nightledger.operators.keywords import keyword_extract
+from nightledger.operators.keywords import asked_params, keyword_extract
 from nightledger.operators.lookup import archive_snapshot
 from nightledger.operators.sizes import SMALL_ROWS, broadcast_if_small
 from nightledger.operators.snapshot import OBSERVE_COLUMNS, event_snapshot, observe_events
@@ -92,7 +92,7 @@ def _write_answers(
         snapshot.write.mode("overwrite").parquet(path)
         if mappings is not None:
             stored, rules = spark.read.schema(snapshot.schema).parquet(path), mappings(spark)
-            values = keyword_extract(observes(stored), stored, rules)
+            values = keyword_extract(observes(stored), asked_params(stored, rules), rules)
             write_keyword_values(values, f"{root}/{KEYWORDS}", batch_id, revision)
 
 

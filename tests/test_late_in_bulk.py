@@ -86,3 +86,12 @@ def test_a_reconciliation_that_failed_is_repeated_whole(spark, monkeypatch):
     stored = exposure.stored_snapshots(spark, root, fx.PARAMS)
     assert h.snapshot_dict(stored) == h.brute_force_snapshot(rows + late)
     assert stored.count() == len(h.brute_force_snapshot(rows + late))
+
+
+def test_keyword_values_are_read_without_a_shuffle(spark):
+    rows = [h.event("e", "event_key_1", 0, 5, "ESW.filter"), h.observe("o", 10)]
+    root = scratch(spark, "read")
+    exposure.prepare_tables(spark, root, fx.PARAMS)
+    exposure.process_batch(h.landed(spark, rows), 0, root, fx.mappings, 60)
+    values = exposure.stored_keyword_values(spark, root)
+    assert values.count() > 0 and "Exchange hashpartitioning" not in h.plan(values)
