@@ -7,7 +7,7 @@ equal when all their bytes have been seen to be equal.
 
 Groups are counted by a partial aggregate before anything is shuffled, so a group of copies of any size is one row per
 task, and the members learn their group by a join that Spark splits when a group is hot. Each level is written to the
-shared folder; the next reads it there.
+shared folder; the next reads it there, and then it goes: the answers of the groups that have ended are kept apart.
 
 Nulls: a null text counts as empty. Of equal texts the row with the largest doc_id stays; a null doc_id is smaller than
 any other. Rows with equal text and equal doc_id are copies of each other: one row is returned for each, all of them
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from nightledger.llm.registry import query
-from nightledger.llm.tables import ascii_lower, documents, written
+from nightledger.llm.tables import ascii_lower, documents, dropped, written
 
 FIRST_WIDTH = 16
 GROWTH = 4
@@ -66,14 +66,18 @@ def exact_groups(docs: DataFrame, id_column: str, text: Column, number: Column |
         F.lit(None).cast(StructType([StructField("id", docs.select(id_column).schema[0].dataType), StructField("mark", LongType())])).alias("group"),
         "rest",
     )
-    done, width = [], FIRST_WIDTH
+    done, width, before = [], FIRST_WIDTH, None
     while True:
         level = written(split(rows, width), "radix")
+        if before is not None:
+            dropped(before)
+        before = level
         ended = level.filter(F.col("rest").isNull())
         given = ["sha"] if number is None else ["row", F.col("group").alias("last")]
-        done.append(ended.select("id", F.col("top").alias("keep"), "size", *given))
+        done.append(written(ended.select("id", F.col("top").alias("keep"), "size", *given), "ended"))
         rows = level.filter(F.col("rest").isNotNull()).select("id", "row", "sha", "group", "rest")
         if rows.isEmpty():
+            dropped(level)
             return reduce(DataFrame.unionAll, done)
         width *= GROWTH
 
